@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeatlas.llm import bpe, exact_dedup, media, near_dedup, packing, secrets, substring_dedup, toxicity
+from codeatlas.llm import bpe, exact_dedup, media, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter, warc
 from codeatlas.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.to_media(read_table(spark, sf_dir, "documents")))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row")
 
@@ -48,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
+    "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -197,10 +197,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_below(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with its columns."""
     spark = docs.sparkSession
-    model = learn(docs, labels, sample)
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.index, model.weights, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
