@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeatlas.packaging import ship
+
 #: Rows handed to a Python worker at once; keeps a batch of long texts small.
 ARROW_ROWS = 256
 
@@ -49,7 +51,8 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, as one text may be very long."""
+    """Bound the rows of an Arrow batch, as one text may be very long; the workers get the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
