@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import drop_path, shared_dir, text_or_empty
 
 WHITE = r"[\x20\x09-\x0D]+"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A digest is hot if its group holds more than this share of all rows; at most as many
 #: digests as the inverse can be hot, so the set of hot ones is small whatever the input.
 HOT_SHARE = 1 / 2048
@@ -61,8 +62,15 @@ def stream_state(spark: SparkSession, keys: DataFrame, folder: str, files_per_ba
     def hand_on(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")}
-    for key, value in zip(held, (STATE_STORE, "true", "256"), strict=True):
+    settings = {
+        f"{_STORE}.providerClass": ROCKS,
+        f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+        f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+        # With a single micro-batch a store isn't used again; open ones each hold some MB of disk.
+        f"{_STORE}.unloadOnCommit": str(files_per_batch is None).lower(),
+    }
+    held = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         query = (
