@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeatlas.functions.porter import stem
 
@@ -36,7 +37,7 @@ def plain_tokens(col: Column | str) -> Column:
     return F.filter(F.split(folded(F.coalesce(col, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 

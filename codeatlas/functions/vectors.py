@@ -38,12 +38,13 @@ def normalized(vector: Column) -> Column:
 def hashed_embedding(text: Column | str, dimensions: int) -> Column:
     """Bag of words in hashed buckets, normalised.
 
-    Buckets are counted in one pass over the tokens' sorted buckets; the number of
-    dimensions is bounded, so the dense vector is too.
+    Each token adds one to its bucket; the number of dimensions is bounded, so the dense
+    vector is too.
     """
     size = clamp_dimensions(dimensions)
     buckets = F.transform(word_tokens(text), lambda t: (fnv1a(t) % size).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    counts = F.aggregate(buckets, zeros, lambda held, b: F.transform(held, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
     return normalized(counts)
 
 
