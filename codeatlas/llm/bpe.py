@@ -15,7 +15,7 @@ strings.
 
 from __future__ import annotations
 
-import hashlib
+import gc
 import json
 import re
 import struct
@@ -25,15 +25,16 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeatlas.llm.common import small_batches
 
 #: Stands for the end-of-word suffix inside automaton keys; not in the byte alphabet.
 END = "\x00"
-#: Words kept with their ids. When that many are new, they become the old generation and the
+#: Words, and as many pieces between white space, kept with their ids. When that many are new, they become the old generation and the
 #: old one goes, so that frequent words stay and memory is bounded.
-WORD_CACHE = 250_000
+WORD_CACHE = 400_000
 LONGEST_CACHED = 64
 
 #: Texts of these characters alone are in normal form C, and for them the standard
@@ -126,7 +127,6 @@ class BacktrackingBPE:
                 self.finder.add_word(token, (len(token), i))
                 self.length[i] = len(token)
         self.finder.make_automaton()
-        self.letters = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splitter = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
@@ -137,7 +137,13 @@ class BacktrackingBPE:
             texts[i] = token.encode() + b" "
         self.blob = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        self.words = _Words(self.word_ids, words)
+        letters = byte_alphabet()
+
+        def of_word(word: str) -> bytes:
+            return little_endian(self.word_ids(word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()])))
+
+        self.words = _Known(of_word, words)
+        self.pieces = _Known(lambda piece: b"".join(map(self.words.__getitem__, _WORD.findall(piece))), words)
 
     # -- encoding ---------------------------------------------------------
 
@@ -145,41 +151,49 @@ class BacktrackingBPE:
         """Ids of one word, given in the byte alphabet."""
         key = word + END
         size = len(key)
-        fits = self.pairs.fits
+        known, fits = self.pairs.known, self.pairs.fits
         # Longest entries from the left: nothing to take back if all neighbours fit.
         out, last, covered = [], -1, 0
         for _, (length, token) in self.finder.iter_long(key):
-            if last >= 0 and not fits(last, token):
-                break
+            if last >= 0:
+                fit = known.get((last, token))
+                if not (fits(last, token) if fit is None else fit):
+                    break
             out.append(token)
-            last, covered = token, covered + length
+            last = token
+            covered += length
         if covered == size:
             return out
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (length, token) in self.finder.iter(key):
-            starts[end - length + 1].append((length, token))
-        for found in starts:
-            found.reverse()
+        # All entries by where they start; the matches come by their end, so short ones first.
+        starts: list[list[tuple[int, int]]] = [[] for _ in key]
+        for end, found in self.finder.iter(key):
+            starts[end + 1 - found[0]].append(found)
         dead = bytearray(size + 1)
-        path: list[tuple[int, int]] = []  # (position, which of its entries)
-        at, which = 0, 0
+        path: list[tuple[int, int, int]] = []  # (position, which of its entries, its id)
+        at, left, last = 0, len(starts[0]), -1
         while at < size:
-            found = starts[at]
-            while which < len(found):
-                length, token = found[which]
-                if not dead[at + length] and (not path or fits(starts[path[-1][0]][path[-1][1]][1], token)):
-                    break
-                which += 1
-            if which < len(found):
-                path.append((at, which))
-                at, which = at + found[which][0], 0
-            elif path:
-                dead[at] = 1
-                at, which = path.pop()
-                which += 1
+            choices = starts[at]
+            while left:
+                left -= 1
+                length, token = choices[left]
+                if not dead[at + length]:
+                    if last < 0:
+                        break
+                    fit = known.get((last, token))
+                    if fits(last, token) if fit is None else fit:
+                        break
             else:
-                raise ValueError(f"no encoding of {word!r}")
-        return [starts[p][w][1] for p, w in path]
+                if not path:
+                    raise ValueError(f"no encoding of {word!r}")
+                dead[at] = 1
+                at, left, _ = path.pop()
+                last = path[-1][2] if path else -1
+                continue
+            path.append((at, left, token))
+            last = token
+            at += length
+            left = len(starts[at]) if at < size else 0
+        return [token for _, _, token in path]
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -197,7 +211,8 @@ class BacktrackingBPE:
 
     def _encode_plain(self, text: str) -> bytes:
         if not _UNUSUAL.search(text):
-            return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
+            # No word reaches across white space, so what lies between is looked up as a whole.
+            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
         library = self.library
         pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
         return b"".join([little_endian(self.word_ids(w)) for w, _ in pieces])
@@ -219,24 +234,23 @@ class BacktrackingBPE:
         return b"".join(out)[:-1]
 
 
-class _Words(dict):
-    """Ids by word as written, filled on a miss; two generations of at most ``limit`` words."""
+class _Known(dict):
+    """Ids by text, filled on a miss; two generations of at most ``limit`` texts."""
 
-    def __init__(self, encode: Callable[[str], list[int]], limit: int):
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.encode, self.limit, self.letters = encode, limit, byte_alphabet()
+        self.encode, self.limit = encode, limit
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
         if ids is None:
-            letters = self.letters
-            ids = little_endian(self.encode("".join([letters[b] for b in word.encode()])))
-        if len(word) <= LONGEST_CACHED:
+            ids = self.encode(text)
+        if len(text) <= LONGEST_CACHED:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
+            self[text] = ids
         return ids
 
 
@@ -251,6 +265,10 @@ def load_bpe(path: str) -> BacktrackingBPE:
     """The encoder of a vocabulary file, built once in each process."""
     if path not in _LOADED:
         _LOADED[path] = BacktrackingBPE(path)
+        # The tables live as long as the process and hold no cycles; don't walk them again and again.
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(200_000, 20, 100)
     return _LOADED[path]
 
 
@@ -290,28 +308,8 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, ENCODED)
 
 
-DIGESTS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids_sha256", T.StringType()),
-        T.StructField("decoded_sha256", T.StringType()),
-    ]
-)
-
-
 def encoding_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Token counts and SHA-256 digests of the ids and of the decoded text of each row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_tokens": [len(x) // 4 for x in batch["ids"]],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in batch["ids"]],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in batch["decoded"]],
-                }
-            )
-
-    return encode_decode(docs, vocabulary).mapInPandas(run, DIGESTS)
+    return encode_decode(docs, vocabulary).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
