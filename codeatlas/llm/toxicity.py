@@ -16,11 +16,11 @@ of label 1.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from codeatlas.llm.common import small_batches
 
 #: Most labelled rows that the classifier is fitted on.
-SAMPLE = 16_000
+SAMPLE = 12_000
 FEATURES = 12_000
 LEAST_DOCS = 3
 THRESHOLD = 0.3
@@ -76,11 +76,18 @@ def swapped(words: set[str], seed: int) -> set[str]:
     return out
 
 
+def feature_hashes(words: set[str]) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the features of a set of words."""
+    found = {xxhash.xxh32_intdigest(f) for w in words for f in features_of(w)}
+    return np.sort(np.fromiter(found, dtype=np.uint32, count=len(found)))
+
+
 class Classifier:
-    """Weights of the chosen features; ``index`` maps a feature to its place."""
+    """Weights by feature hash."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: float):
-        self.index, self.weights, self.bias = index, weights, bias
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
+        self.hashes, self.weights, self.bias = hashes, weights, bias
+        self.index = {int(h): i for i, h in enumerate(hashes)}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def places(self, word: str) -> tuple[int, ...]:
@@ -89,7 +96,8 @@ class Classifier:
             if len(self.known) >= CACHED_WORDS:
                 self.known.clear()
             index = self.index
-            held = self.known[word] = tuple(index[f] for f in features_of(word) if f in index)
+            found = (index.get(xxhash.xxh32_intdigest(f)) for f in features_of(word))
+            held = self.known[word] = tuple(i for i in found if i is not None)
         return held
 
     def score(self, text: str | None) -> float:
@@ -100,43 +108,59 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def _rows(texts: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and feature places of a set of texts."""
+def _rows(held: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and places in ``chosen`` of the features of several texts."""
     rows, places = [], []
-    for n, words in enumerate(texts):
-        found = {index[f] for w in words for f in features_of(w) if f in index}
-        rows += [n] * len(found)
-        places += sorted(found)
-    return np.array(rows, dtype=np.int64), np.array(places, dtype=np.int64)
-
-
-def fit(texts: list[set[str]], labels: list[int], penalty: float = PENALTY, rounds: int = 400) -> Classifier:
-    """Logistic regression with ridge and counterfactual penalties, by Adam on all rows."""
+    for n, features in enumerate(held):
+        at = np.searchsorted(chosen, features)
+        at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == features)]
+        rows.append(np.full(len(at), n, dtype=np.int64))
+        places.append(at.astype(np.int64))
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *places])
+
+
+def _counts(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature and in how many texts it occurs; texts are joined a block at a time."""
+    hashes, counts = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+    for at in range(0, len(held), 1000):
+        new, n = np.unique(np.concatenate(held[at : at + 1000]), return_counts=True)
+        every, back = np.unique(np.concatenate([hashes, new]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(every)).astype(np.int64)
+        hashes = every
+    return hashes, counts
+
+
+def choose(held: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The features whose shares in the two classes lie furthest apart, in standard errors."""
+    hashes, total = _counts(held)
+    toxic_hashes, toxic = _counts([x for x, label in zip(held, y, strict=True) if label])
+    a = np.zeros(len(hashes))
+    a[np.searchsorted(hashes, toxic_hashes)] = toxic
+    n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
+    share = np.minimum((total + 1) / (n0 + n1), 0.999)
+    apart = np.abs(a / n1 - (total - a) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    often = np.flatnonzero(total >= LEAST_DOCS)
+    best = often[np.lexsort((hashes[often], -apart[often]))[:FEATURES]]
+    terms = [xxhash.xxh32_intdigest(t) for t in _SWAP]
+    return np.unique(np.concatenate([hashes[best], np.array(terms, dtype=np.uint32)]))
+
+
+def fit(held: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY, rounds: int = 300) -> Classifier:
+    """Logistic regression with ridge and counterfactual penalties, by Adam on all rows.
+
+    ``held``: features of each labelled text; ``pairs``: features of the texts that name a
+    group, as they are and with the group swapped.
+    """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Classifier({}, np.zeros(0), float(np.log(share / (1 - share))))
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label in zip(texts, labels, strict=True):
-        seen[int(label)].update({f for w in words for f in features_of(w)})
-    size = (len(y) - y.sum() + 1, y.sum() + 1)
-
-    def contrast(f: str) -> float:
-        """How far the two classes' shares of a feature lie apart, in standard errors."""
-        a, b = seen[1][f], seen[0][f]
-        p = (a + b + 1) / (size[0] + size[1])
-        return abs(a / size[1] - b / size[0]) / np.sqrt(p * (1 - min(p, 0.999)) * (1 / size[0] + 1 / size[1]))
-
-    often = [f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= LEAST_DOCS]
-    chosen = sorted(sorted(often, key=lambda f: (-contrast(f), f))[:FEATURES])
-    chosen += sorted(t for t in _SWAP if t not in set(chosen))
-    index = {f: i for i, f in enumerate(chosen)}
-    rows, places = _rows(texts, index)
-    named = [(n, words) for n, words in enumerate(texts) if any(w in _SWAP for w in words)]
-    pairs = [(words, swapped(words, n)) for n, words in named]
-    rows_a, places_a = _rows([a for a, _ in pairs], index)
-    rows_b, places_b = _rows([b for _, b in pairs], index)
-    w, bias = np.zeros(len(chosen)), float(np.log(size[1] / size[0]))
+        return Classifier(np.empty(0, dtype=np.uint32), np.zeros(0), float(np.log(share / (1 - share))))
+    chosen = choose(held, y)
+    rows, places = _rows(held, chosen)
+    rows_a, places_a = _rows([a for a, _ in pairs], chosen)
+    rows_b, places_b = _rows([b for _, b in pairs], chosen)
+    w, bias = np.zeros(len(chosen)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
         z = bias + np.bincount(rows, w[places], len(y))
@@ -151,7 +175,7 @@ def fit(texts: list[set[str]], labels: list[int], penalty: float = PENALTY, roun
         move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
-    return Classifier(index, w, bias)
+    return Classifier(chosen, w, bias)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -167,11 +191,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [" ".join(sorted(words_of(x))) for x in batch["text"]]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, words string")
-    held = sorted(rows.collect(), key=lambda r: (r[0], r[2]))
-    return fit([set(r[2].split()) for r in held], [int(r[1] > 0) for r in held])
+            own, other = [], []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                words = words_of(text)
+                own.append(feature_hashes(words).tobytes())
+                named = any(w in _SWAP for w in words)
+                other.append(feature_hashes(swapped(words, int(doc))).tobytes() if named else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "own": own, "other": other})
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, own binary, other binary")
+    # At most ``sample`` rows of a few kilobytes; hashes, not texts.
+    held = sorted(rows.collect(), key=lambda r: (r[0], bytes(r[2])))
+    array = lambda x: np.frombuffer(x, dtype=np.uint32)
+    pairs = [(array(r[2]), array(r[3])) for r in held if r[3] is not None]
+    return fit([array(r[2]) for r in held], [int(r[1] > 0) for r in held], pairs)
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -181,7 +214,7 @@ def scores(docs: DataFrame, model: Classifier) -> DataFrame:
     """``doc_id, score`` of each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.index, model.weights, model.bias))  # at most FEATURES entries
+    sent = spark.sparkContext.broadcast((model.hashes, model.weights, model.bias))  # at most FEATURES entries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Classifier(*sent.value)
@@ -201,7 +234,7 @@ def keep_below(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with its columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.index, model.weights, model.bias))
+    sent = spark.sparkContext.broadcast((model.hashes, model.weights, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Classifier(*sent.value)
