@@ -137,8 +137,8 @@ def is_source(path: Column | str) -> Column:
 
 
 def signature_of(kind: Column, content: Column, name: Column) -> Column:
-    """The beginning of a function's or method's text, else the name."""
-    return F.when(kind.isin("function", "method"), F.substring(content, 1, SIGNATURE_CHARS)).otherwise(name)
+    """The beginning of a function's text, else the name."""
+    return F.when(kind == "function", F.substring(content, 1, SIGNATURE_CHARS)).otherwise(name)
 
 
 def version_parts(col: Column | str) -> Column:

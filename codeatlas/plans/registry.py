@@ -329,7 +329,7 @@ def path_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     with_views("""
-SELECT f.path AS file_path, s.name AS symbol_name, s.start_line, s.end_line, 200.0 AS score, 'exact symbol match' AS rationale, s.name AS content
+SELECT f.path AS file_path, s.name AS symbol_name, s.start_line, s.end_line, CAST(200.0 AS DOUBLE) AS score, 'exact symbol match' AS rationale, s.name AS content
 FROM vsymbols s JOIN vsymfiles f ON s.file_id = f.id WHERE s.name = 'red widget' ORDER BY s.exported DESC, f.path, s.id LIMIT 8""")
 )
 def exact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,8 +340,8 @@ def exact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- full-text search ---------------------------------------------------------
 
 _TOKENS = rf"""
-fields AS (SELECT id AS chunk_id, 1.0 AS weight, 'content' AS col, text_ AS x FROM (SELECT id, content AS text_ FROM vchunks)
-           UNION ALL SELECT id, 0.5, 'file_path', path FROM vfiles),
+fields AS (SELECT id AS chunk_id, CAST(1.0 AS DOUBLE) AS weight, 'content' AS col, text_ AS x FROM (SELECT id, content AS text_ FROM vchunks)
+           UNION ALL SELECT id, CAST(0.5 AS DOUBLE), 'file_path', path FROM vfiles),
 tok AS (SELECT chunk_id, weight, col, unnest(list_filter(regexp_split_to_array(strip_accents(lower(x)), '{NOT_WORD}'), lambda t: length(t) > 0)) AS term FROM fields),
 lens AS (SELECT chunk_id, count(*) AS length FROM tok GROUP BY chunk_id),
 corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM lens)"""
@@ -534,7 +534,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         f""", q AS ({_COSINE}),
 sims AS (SELECT vec_id AS chunk_id, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), q)
       / (sqrt(list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(q, q))) AS sim FROM embeddings, q)
-SELECT s.chunk_id, round(score + CASE WHEN coalesce(sim, 0) > 0 THEN 40 * sim ELSE 0 END, 1) AS score FROM scored s LEFT JOIN sims USING (chunk_id)""",
+SELECT s.chunk_id, round(score + CASE WHEN coalesce(sim, 0) > 0 THEN 40 * sim ELSE 0 END, 2) AS score FROM scored s LEFT JOIN sims USING (chunk_id)""",
         limit=1_000_000,
     )
 )
@@ -544,7 +544,7 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = v.embeddings().join(F.broadcast(merged.select("chunk_id")), "chunk_id", "left_semi").crossJoin(asked)
     sims = near.select("chunk_id", V.cosine(F.col("embedding"), F.col("q")).alias("similarity"))
     hits = S.ranked_hits(merged, S.searchable(v.chunks(), v.files()), _RERANK_QUERY, _RERANK_TOKENS, _RERANK_HINTS, 1_000_000, sims)
-    return hits.select("chunk_id", F.round("score", 1).alias("score"))
+    return hits.select("chunk_id", "score")
 
 
 # -- relations ----------------------------------------------------------------

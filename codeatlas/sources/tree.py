@@ -86,5 +86,5 @@ def read_tree(spark: SparkSession, root: str, include=DEFAULT_INCLUDE, exclude=D
         language_of("path").alias("language"),
         F.col("length").alias("size_bytes"),
         F.unix_millis("modificationTime").alias("mtime_ms"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
     ).withColumn("sha1", F.sha1(F.col("text").cast("binary")))
