@@ -31,7 +31,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("url_key", "position")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,29 @@ SELECT doc_id,
        text_sha256
 FROM t
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY size DESC, doc_id)
+""",
+    "op3_near_dedup": r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+sh AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, ways.v FROM r JOIN ways ON ways.u = r.c)
+SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.id = min(r.c) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+c AS (SELECT payload_digest, max(page_id) AS carrier FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> carrier THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> carrier THEN carrier END AS refers_to
+FROM p LEFT JOIN c ON p.payload_bytes >= 1000 AND p.payload_digest = c.payload_digest
 """,
 }
