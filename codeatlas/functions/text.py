@@ -29,7 +29,7 @@ SIGNATURE_CHARS = 256
 
 
 def ascii_lower(col: Column | str) -> Column:
-    """Lower-case A-Z alone, as the reference store does for column values."""
+    """Lower-case A-Z alone; other letters keep their case in stored values."""
     return F.translate(col, UPPER, LOWER)
 
 

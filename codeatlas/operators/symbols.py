@@ -37,7 +37,7 @@ def _neighbours(symbols: DataFrame, files: DataFrame, relations: DataFrame, sele
     edges = relations.join(F.broadcast(matched), anchor, "left_semi").select(F.col(other).alias("id"), "relation_type")
     hits = placed.join(edges, "id").select("name", "kind", "parent_name", "path", "start_line", "end_line", "relation_type", "id")
     top = hits.orderBy("path", "start_line", "id").limit(limit)
-    # The limit comes first, as in the reference; what is left is at most ``limit`` rows.
+    # The limit comes before the deduplication, so fewer than ``limit`` rows may come back.
     key = ("name", "kind", "parent_name", "path", "start_line", "end_line", "relation_type")
     first = top.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("nth = 1")
     return first.orderBy("path", "start_line", "id").select(

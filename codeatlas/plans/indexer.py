@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import UTC, datetime
 from typing import Any
 
@@ -20,6 +21,8 @@ from codeatlas.sources.schema import SCHEMA_VERSION, TABLES
 from codeatlas.sources.store import IndexStore
 from codeatlas.sources.tree import list_tree, read_tree
 
+log = logging.getLogger(__name__)
+
 NOTHING = {"scanned": 0, "inserted": 0, "updated": 0, "removed": 0, "symbols": 0, "relations": 0, "chunks": 0}
 
 
@@ -72,7 +75,13 @@ def index_repository(spark: SparkSession, root: str, config: dict[str, Any]) ->
         new = missing.select(
             F.col("id").alias("chunk_id"), F.lit(provider.model).alias("model"), F.lit(provider.dimensions).alias("dimensions"), provider.embed(F.col("content")).alias("embedding"), F.lit(now).alias("updated_at")
         ).where(F.size("embedding") > 0)
-        tables["chunk_embeddings"] = M.upsert(tables["chunk_embeddings"], new, "chunk_id")
+        try:
+            new.write.mode("overwrite").parquet(store.stage("vectors"))
+        except Exception as error:  # a provider may fail in any way; the index is useful without vectors
+            log.warning("no vectors were added: %s", error)
+        else:
+            new = spark.read.schema(new.schema).parquet(store.stage("vectors"))
+            tables["chunk_embeddings"] = M.upsert(tables["chunk_embeddings"], new, "chunk_id")
     meta = spark.createDataFrame([("schema_version", SCHEMA_VERSION), ("last_indexed_at", now)], TABLES["index_metadata"])
     tables["index_metadata"] = M.upsert(tables["index_metadata"], meta, "key")
     store.write(tables)
