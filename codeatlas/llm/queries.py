@@ -100,5 +100,26 @@ c AS (SELECT payload_digest, max(page_id) AS carrier FROM p WHERE payload_bytes
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> carrier THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> carrier THEN carrier END AS refers_to
 FROM p LEFT JOIN c ON p.payload_bytes >= 1000 AND p.payload_digest = c.payload_digest
+""",
+    # For texts whose white space is ASCII and that don't hold the character U+0001.
+    "op10_substring_dedup": r"""
+WITH pieces AS (
+    SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1) || chr(10)), chr(1)) AS p
+    FROM documents),
+each AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k FROM pieces),
+placed AS (SELECT doc_id, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM each),
+units AS (
+    SELECT doc_id, k, stop - length(ltrim(piece, E' \t\n\r\f' || chr(11))) AS start, stop,
+           trim(regexp_replace(lower(piece), '\s+', ' ', 'g'), E' \t\r\f.,;:!?"''()[]{}*#$%&' || chr(11)) AS normal
+    FROM placed),
+named AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM units WHERE normal <> ''),
+firsts AS (SELECT normal, min({'d': doc_id, 's': start}) AS f, count(*) AS copies FROM named GROUP BY normal HAVING count(*) > 1),
+later AS (
+    SELECT n.doc_id, start, stop, unit, len(string_split(n.normal, ' ')) AS words, copies, f,
+           unit - row_number() OVER (PARTITION BY n.doc_id ORDER BY unit) AS run
+    FROM named n JOIN firsts USING (normal) WHERE n.doc_id <> f.d OR n.start <> f.s)
+SELECT doc_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end", CAST(sum(words) AS BIGINT) AS n_words, count(*) AS n_units,
+       max(copies) AS copies, arg_min(f.d, start) AS keep_doc_id, CAST(arg_min(f.s, start) AS INT) AS keep_start
+FROM later GROUP BY doc_id, run HAVING sum(words) >= 15
 """,
 }
