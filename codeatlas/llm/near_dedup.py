@@ -9,7 +9,9 @@ do nearly all beyond it: at similarity 0.75 a pair is missed with a chance of on
 
 Buckets never emit all their pairs. First every member is linked to its bucket's smallest
 member, its leader. After full-set checks and components of those links, only buckets that
-still hold more than one component go on, and only pairs across components are looked at.
+still hold more than one component go on, and only pairs across components are looked at:
+signatures first, which gives clusters, then the full sets within a cluster, two blocks of
+rows at a time.
 Texts with the same shingle set are one class, which enters with its smallest ``doc_id``.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer words
@@ -37,6 +39,8 @@ CHUNKS, SYMBOLS, ERRORS = 18, 6, 1
 #: Largest distance that a candidate pair may have before its full sets are compared; at
 #: similarity 0.75 a pair lies beyond it with a chance below one in a million.
 FARTHEST = 51
+#: Rows of a block; a task compares two blocks, by signatures under a key and by texts in a cluster.
+KEY_BLOCK, TEXT_BLOCK = 1024, 256
 #: Members that share one copy of their leader's text when full sets are compared.
 SHARE = 128
 WORDS = 300_000
@@ -166,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     leaders = sizes.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("u").alias("doc_id"), F.lit(0).alias("role"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     dealt = (
-        texts.join(members.unionByName(leaders), "doc_id")
+        texts.join(members.unionByName(leaders).hint("merge"), "doc_id")  # grows with the data: not for broadcasting
         .repartition(max(8, shuffle_partitions(spark)), "u", "copy")
         .sortWithinPartitions("u", "copy", "role", "doc_id")
         .select("u", "copy", "role", "doc_id", "text")
@@ -190,20 +194,143 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long").distinct()
 
 
-def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures differ in at most :data:`FARTHEST` symbols."""
-    left = classes.select(F.col("id").alias("u"), F.col("signature").alias("su"))
-    right = classes.select(F.col("id").alias("v"), F.col("signature").alias("sv"))
+def blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Deal the rows of each group into pairs of blocks ``p <= q``: any two rows meet, and no task holds a large group.
+
+    Adds ``p, q`` and ``mine``, the row's own block.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+    placed = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    paired = both.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("other", "n_blocks")
+    return paired.repartition(max(8, shuffle_partitions(spark)), group, "p", "q").sortWithinPartitions(group, "p", "q", "id")
+
+
+def each_group(batches: Iterator[pd.DataFrame], group: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one ``(group, p, q)`` at a time, from a sorted stream; groups of one row are left out."""
+    held: list[dict[str, np.ndarray]] = []
+    last = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        marks = np.stack([columns[group], columns["p"], columns["q"]])
+        cuts = (np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            mark = tuple(marks[:, lo].tolist())
+            if held and mark != last:
+                if len(held) > 1 or len(held[0]["id"]) > 1:
+                    yield whole()
+                held = []
+            last = mark
+            held.append({c: x[lo:hi] for c, x in columns.items()})
+    if held and (len(held) > 1 or len(held[0]["id"]) > 1):
+        yield whole()
+
+
+def in_frames(edges: Iterator[list[tuple[int, int]]], size: int = 5000) -> Iterator[pd.DataFrame]:
+    """Edges of many groups in few frames."""
+    held: list[tuple[int, int]] = []
+    for more in edges:
+        held += more
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=["u", "v"], dtype=np.int64)
+            held = []
+    yield pd.DataFrame(held, columns=["u", "v"], dtype=np.int64)
+
+
+def stars_of(ids: np.ndarray, edges: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Components of ``edges`` (a place, and the places it is linked to) as (smallest id, other id)."""
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, linked in edges:
+        for j in linked.tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                low, high = (a, b) if ids[a] < ids[b] else (b, a)
+                root[high] = low
+    return [(int(ids[find(i)]), int(ids[i])) for i in range(len(ids)) if find(i) != i]
+
+
+def open_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of its group that may be linked to it.
+
+    They lie in the other block (or in the one block), in another component, have a fitting
+    size and a close signature.
+    """
+    part, n, mine = rows["part"], rows["n"], rows["mine"]
+    found = np.frombuffer(b"".join(rows["signature"].tolist()), dtype=np.uint16).reshape(len(part), -1)
+    two = rows["p"][0] != rows["q"][0]
+    for i in range(len(part) - 1):
+        later = slice(i + 1, None)
+        may = part[later] != part[i]
+        if two:
+            may &= mine[later] != mine[i]
+        small, large = np.minimum(n[later], n[i]), np.maximum(n[later], n[i])
+        may &= small * 100 >= large * PERCENT
+        at = np.flatnonzero(may) + i + 1
+        if len(at):
+            at = at[(found[at] != found[i]).sum(axis=1) <= FARTHEST]
+            if len(at):
+                yield i, at
+
+
+def close_clusters(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, cluster``: rows that share a key, lie in different components and have close signatures meet in a cluster.
+
+    ``rows``: ``key, id, n, part``. Tasks hand on stars, never all pairs.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                su = np.frombuffer(b"".join(batch["su"]), dtype=np.uint16).reshape(len(batch), -1)
-                sv = np.frombuffer(b"".join(batch["sv"]), dtype=np.uint16).reshape(len(batch), -1)
-                batch = batch[(su != sv).sum(axis=1) <= FARTHEST]
-            yield batch[["u", "v"]]
+        yield from in_frames(stars_of(group["id"], list(open_pairs(group))) for group in each_group(batches, "key"))
+
+    signed = rows.join(classes.select("id", "signature"), "id")
+    edges, path = stored(blocks(signed, "key", KEY_BLOCK).mapInPandas(run, "u long, v long"), "close")
+    found = connected_components(edges).withColumnRenamed("component", "cluster")
+    drop_path(rows.sparkSession, path)
+    return found
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInPandas(run, "u long, v long")
+
+def links_across(clusters: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between different components of a cluster, ``u, v``, confirmed on full sets.
+
+    A task has the texts of two blocks; intersections of one set with many are counted at once.
+    """
+
+    def linked(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        sets = [shingle_set(x) for x in group["text"]]
+        sizes = np.array([len(x) for x in sets])
+        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        places = [inverse[e - k : e] for e, k in zip(ends, sizes, strict=True)]
+        mark = np.zeros(len(words), dtype=np.int64)
+        edges = []
+        for i, at in open_pairs(group):
+            mark[places[i]] = 1
+            lengths = sizes[at]
+            both = np.add.reduceat(mark[np.concatenate([places[j] for j in at])], np.cumsum(lengths) - lengths)
+            mark[places[i]] = 0
+            edges.append((i, at[100 * both >= PERCENT * (sizes[i] + lengths - both)]))
+        return stars_of(group["id"], edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_frames(map(linked, each_group(batches, "cluster")))
+
+    placed = clusters.join(parts.select("id", F.col("component").alias("held")), "id", "left").join(classes.select("id", "n", "signature"), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = placed.select("cluster", "id", F.coalesce("held", "id").alias("part"), "n", "signature").hint("merge").join(texts, "id")
+    return blocks(rows, "cluster", TEXT_BLOCK).mapInPandas(run, "u long, v long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -219,7 +346,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     leader = F.min(F.struct("id", "n")).alias("leader")
     buckets, bucket_path = stored(keys.groupBy("key").agg(leader, F.count("*").alias("members")).where("members > 1").select("key", "leader"), "buckets")
-    shared, shared_path = stored(keys.join(buckets, "key"), "shared")
+    shared, shared_path = stored(keys.join(buckets.hint("merge"), "key"), "shared")
     drop_path(spark, key_path)
     drop_path(spark, bucket_path)
     release(spark)
@@ -242,17 +369,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
     open_rows, open_path = stored(placed.join(mixed, "key", "left_semi"), "open")
     drop_path(spark, shared_path)
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    across = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & F.expr(near_size("a.n", "b.n")))
-        .select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-        .distinct()
-    )
-    rest, _ = stored(close(across, classes).join(best, ["u", "v"], "left_anti"), "across")
+    clusters, _ = stored(close_clusters(open_rows, classes), "clusters")
     drop_path(spark, open_path)
     drop_path(spark, star_path)
     release(spark)
-    links = first.unionByName(confirmed(rest, docs))
+    second, _ = stored(links_across(clusters, parts, classes, docs), "links")
+    release(spark)
+    links = first.unionByName(second)
     whole, _ = stored(connected_components(links), "components")
     reached = classes.join(whole, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     return held.join(reached, "set_hash", "left").select(
