@@ -116,6 +116,28 @@ def test_search(atlas):
     assert atlas.query("x")["error"]["code"] == "INVALID_INPUT" and atlas.query("tool", 21)["error"]["code"] == "INVALID_INPUT"
 
 
+def test_server(atlas):
+    import io
+
+    from codeatlas.plans.server import serve
+
+    asked = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize"},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "find_callees", "arguments": {"symbol": "formRoute"}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "search_code", "arguments": {"query": "x"}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "nope"}},
+    ]
+    sink = io.StringIO()
+    serve(atlas, io.StringIO("\n".join([*map(json.dumps, asked), "{"])), sink)
+    replies = [json.loads(x) for x in sink.getvalue().splitlines()]
+    assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, None]
+    assert [t["name"] for t in replies[1]["result"]["tools"]] == ["search_code", "get_symbol", "find_callers", "find_callees"]
+    assert replies[2]["result"]["structuredContent"]["hits"][0]["callee_symbol_name"] == "execute" and "TakeForm.execute" in replies[2]["result"]["content"][0]["text"]
+    assert replies[3]["result"]["isError"] and replies[4]["error"]["code"] == -32602 and replies[5]["error"]["code"] == -32700
+
+
 def test_status_and_doctor(atlas):
     status = atlas.status()
     assert status["freshness"] == "fresh" and status["counts"]["files"] == 6 and status["counts"]["relations"] >= 10
