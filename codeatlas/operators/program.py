@@ -2,21 +2,30 @@
 
 The parser hands on facts by file; here they meet. A name is followed through imports and
 re-exports to the file that declares it, and a chain like ``deps.store.save`` from type to type
-until its last step names a method and its class. Chains and re-exports are followed for a
-fixed number of steps, so the plan has a bounded size.
+until its last step names a method and its class. Re-exports are followed to their end, member
+chains for a fixed number of steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RE_EXPORTS = 4
+#: Most rounds of re-exports; they end earlier when a round finds nothing.
+RE_EXPORTS = 32
 STEPS = 3
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def in_memory(df: DataFrame, _: str) -> DataFrame:
+    return df.persist()
+
+
 def facts(rows: DataFrame, kind: str, **names: str) -> DataFrame:
     """Rows of one kind with readable column names (``a="local"`` and so on) beside ``path`` and ``ord``."""
     return rows.where(F.col("fact") == kind).select("path", "ord", *[F.col(k).alias(v) for k, v in names.items()])
@@ -28,8 +37,12 @@ def key_of(path: Column) -> Column:
     return F.regexp_replace(plain, r"(^|/)index$", "")
 
 
-def definitions(rows: DataFrame) -> DataFrame:
-    """``key, exported, def_key, def_name``: where an exported name of a module is declared."""
+def definitions(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
+    """``key, exported, def_key, def_name``: where an exported name of a module is declared.
+
+    Each round follows re-exports one step further, until nothing is found; ``keep`` stores a
+    round's rows, as the next one reads them more than once.
+    """
     exports = facts(rows, "export", a="exported", b="local", c="module", d="raw").withColumn("key", key_of(F.col("path")))
     imports = facts(rows, "import", a="local", b="original", c="module").where("module is not null and original != '*'").withColumn("key", key_of(F.col("path")))
     own = exports.where("raw is null").select("key", "exported", "local")
@@ -38,12 +51,16 @@ def definitions(rows: DataFrame) -> DataFrame:
     direct = own.join(imports.select("key", "local"), ["key", "local"], "left_anti").select("key", "exported", F.col("key").alias("def_key"), F.col("local").alias("def_name"))
     links = exports.where("raw is not null and module is not null and exported != '*'").select("key", "exported", F.col("module").alias("next"), F.col("local").alias("name")).unionByName(passed)
     stars = exports.where("exported = '*' and module is not null").select("key", F.col("module").alias("next"))
-    found = direct
-    for _ in range(RE_EXPORTS):
+    found, size = keep(direct.distinct(), "definitions_0"), -1
+    for step in range(1, RE_EXPORTS + 1):
+        now = found.count()
+        if now == size:
+            break
+        size = now
         known = found.select(F.col("key").alias("next"), F.col("exported").alias("name"), "def_key", "def_name")
         named = links.join(known, ["next", "name"]).select("key", "exported", "def_key", "def_name")
         all_ = stars.join(known, "next").where("name != 'default'").select("key", F.col("name").alias("exported"), "def_key", "def_name")
-        found = found.unionByName(named).unionByName(all_).distinct()
+        found = keep(found.unionByName(named).unionByName(all_).distinct(), f"definitions_{step}")
     return found
 
 
@@ -54,9 +71,9 @@ def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:
     return imports.join(known, ["module", "original"]).select("path", "local", "def_key", "def_name").distinct()
 
 
-def semantic_refs(rows: DataFrame) -> DataFrame:
+def semantic_refs(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
     """``path, source, target_name, target_parent`` that follow from imports and declared types."""
-    bound = bindings(rows, definitions(rows))
+    bound = keep(bindings(rows, definitions(rows, keep)), "bindings")
     chains = facts(rows, "chain", a="source", b="root", c="steps").withColumns({"id": F.concat_ws(":", "path", F.lpad(F.col("ord").cast("string"), 9, "0")), "steps": F.filter(F.split("steps", r"\."), lambda x: x != "")})
     # Where the root's type is declared: by the import that binds it, else in the file itself.
     at = chains.join(bound.withColumnRenamed("local", "root"), ["path", "root"], "left").select(

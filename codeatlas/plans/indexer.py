@@ -13,7 +13,7 @@ from codeatlas.functions.text import signature_of
 from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
-from codeatlas.operators.program import facts, semantic_refs
+from codeatlas.operators.program import Keep, facts, in_memory, semantic_refs
 from codeatlas.operators.relations import dedupe_targets, resolve_targets
 from codeatlas.plans.providers import resolve_provider
 from codeatlas.sources.parser import parse_files
@@ -30,7 +30,7 @@ def _highest(df: DataFrame) -> int:
     return df.agg(F.max("id")).first()[0] or 0
 
 
-def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_memory) -> DataFrame:
     """Edges of the whole program: references of each file and across files, resolved to symbols.
 
     ``parsed``: facts of all files; ``symbols`` and ``files``: their stored rows.
@@ -42,9 +42,14 @@ def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame) ->
     same = ["path", "kind", "name", "start_line", "end_line"]
     identified = declared.join(placed.select("id", "file_id", "parent_name", *same), same).where(F.col("parent").eqNullSafe(F.col("parent_name")))
     # Several declarations under one local key: their edges start at the last one.
-    sources = identified.groupBy("path", "key").agg(F.max_by(F.struct("id", "file_id"), F.struct("ord", "id")).alias("s")).select("path", "key", F.col("s.id").alias("source_id"), F.col("s.file_id").alias("source_file"))
+    sources = keep(
+        identified.groupBy("path", "key")
+        .agg(F.max_by(F.struct("id", "file_id"), F.struct("ord", "id")).alias("s"))
+        .select("path", "key", F.col("s.id").alias("source_id"), F.col("s.file_id").alias("source_file")),
+        "sources",
+    )
     syntactic = facts(parsed, "ref", a="key", b="target_name", c="target_parent").select("path", "key", "target_name", "target_parent", "ord")
-    semantic = semantic_refs(parsed).select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
+    semantic = semantic_refs(parsed, keep).select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
     refs = syntactic.unionByName(semantic).join(sources, ["path", "key"])
     unique = dedupe_targets(refs, "source_id").withColumn("ref_id", F.xxhash64("target_name", "target_parent"))
     wanted = unique.join(sources.select("source_id", "source_file").distinct(), "source_id")
@@ -144,7 +149,7 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
     new_chunks = staged(new_chunks, "new_chunks")
     tokens = staged(S.field_tokens(S.searchable(new_chunks, files, symbols), porter=True), "tokens")
     all_symbols = staged(symbols, "symbols")
-    edges = numbered(build_relations(parsed, all_symbols, files), ["source_symbol_id", "target_symbol_id", "ref_id"], 1, store.stage("edge_ids"))
+    edges = numbered(build_relations(parsed, all_symbols, files, staged), ["source_symbol_id", "target_symbol_id", "ref_id"], 1, store.stage("edge_ids"))
     after = tables | left | {
         "files": files,
         "symbols": all_symbols,
