@@ -120,6 +120,6 @@ later AS (
     FROM named n JOIN firsts USING (normal) WHERE n.doc_id <> f.d OR n.start <> f.s)
 SELECT doc_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end", CAST(sum(words) AS BIGINT) AS n_words, count(*) AS n_units,
        max(copies) AS copies, arg_min(f.d, start) AS keep_doc_id, CAST(arg_min(f.s, start) AS INT) AS keep_start
-FROM later GROUP BY doc_id, run HAVING sum(words) >= 15
+FROM later GROUP BY doc_id, run HAVING sum(words) >= 25
 """,
 }

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from codeatlas.llm.common import drop_path, release, small_batches, stored
 
-MIN_WORDS = 15
+MIN_WORDS = 25
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _EDGE = " \t\r\f\v.,;:!?\"'()[]{}*#$%&"
 
