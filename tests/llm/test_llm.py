@@ -438,7 +438,7 @@ def test_distrust_flows_back(spark):
 
 # -- passages -------------------------------------------------------------------
 
-PASSAGE = "The committee met on the first day. It agreed on many small points of order. Nobody spoke against the plan at all. The vote was held before noon. "
+PASSAGE = "The committee met on the first day. It agreed on many small points of order. Nobody spoke against the plan at all. The vote was held before noon. Everyone went home in good time afterwards. "
 
 
 def test_passages(spark, nothing):
