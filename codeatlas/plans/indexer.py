@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions.text import signature_of
+from codeatlas.functions.text import is_source, signature_of
 from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
@@ -49,7 +49,7 @@ def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, kee
         "sources",
     )
     syntactic = facts(parsed, "ref", a="key", b="target_name", c="target_parent").select("path", "key", "target_name", "target_parent", "ord")
-    semantic = semantic_refs(parsed, keep).select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
+    semantic = semantic_refs(parsed.where(is_source("path")), keep).select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
     refs = syntactic.unionByName(semantic).join(sources, ["path", "key"])
     unique = dedupe_targets(refs, "source_id").withColumn("ref_id", F.xxhash64("target_name", "target_parent"))
     wanted = unique.join(sources.select("source_id", "source_file").distinct(), "source_id")

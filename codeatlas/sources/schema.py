@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = "2"
 
@@ -22,10 +21,6 @@ TABLES: dict[str, str] = {
 ADDED = {"files": {"size_bytes": 0, "mtime_ms": 0}}
 
 
-def schema_of(table: str) -> T.StructType:
-    return T._parse_datatype_string(TABLES[table])
-
-
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
