@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from codeatlas.llm.common import drop_path, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _least(both: DataFrame) -> DataFrame:
+    return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -32,7 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now, path = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        after, new_path = stored(_small_star(_large_star(now)), "edges")
+        both = _both_ways(now)
+        # Read from storage, so that the join may split the edges of a node with very many.
+        least, least_path = stored(_least(both), "least")
+        after, new_path = stored(_small_star(_large_star(both, least)), "edges")
+        drop_path(spark, least_path)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
         now, path = after, new_path

@@ -165,7 +165,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     small_batches(spark)
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).alias("copies"))
+    # Counts are read from storage, so that joins with them may split a large group.
+    sizes, _ = stored(pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).alias("copies")), "sizes")
     members = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("copies")).alias("copy"), F.col("v").alias("doc_id"), F.lit(1).alias("role"))
     leaders = sizes.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("u").alias("doc_id"), F.lit(0).alias("role"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -194,13 +195,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long").distinct()
 
 
-def blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+def blocks(rows: DataFrame, group: str, size: int, counted: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each group into pairs of blocks ``p <= q``: any two rows meet, and no task holds a large group.
 
-    Adds ``p, q`` and ``mine``, the row's own block.
+    Adds ``p, q`` and ``mine``, the row's own block. ``counted`` has the same groups in fewer
+    columns, for counting.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+    counts, _ = stored((rows if counted is None else counted).groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks")), "blocks")
     placed = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     paired = both.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("other", "n_blocks")
@@ -295,10 +297,11 @@ def close_clusters(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from in_frames(stars_of(group["id"], list(open_pairs(group))) for group in each_group(batches, "key"))
 
-    signed = rows.join(classes.select("id", "signature"), "id")
+    signed, signed_path = stored(rows.join(classes.select("id", "signature"), "id"), "signed")
     edges, path = stored(blocks(signed, "key", KEY_BLOCK).mapInPandas(run, "u long, v long"), "close")
     found = connected_components(edges).withColumnRenamed("component", "cluster")
-    drop_path(rows.sparkSession, path)
+    for used in (path, signed_path):
+        drop_path(rows.sparkSession, used)
     return found
 
 
@@ -328,9 +331,9 @@ def links_across(clusters: DataFrame, parts: DataFrame, classes: DataFrame, docs
         yield from in_frames(map(linked, each_group(batches, "cluster")))
 
     placed = clusters.join(parts.select("id", F.col("component").alias("held")), "id", "left").join(classes.select("id", "n", "signature"), "id")
+    rows, _ = stored(placed.select("cluster", "id", F.coalesce("held", "id").alias("part"), "n", "signature"), "placed")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = placed.select("cluster", "id", F.coalesce("held", "id").alias("part"), "n", "signature").hint("merge").join(texts, "id")
-    return blocks(rows, "cluster", TEXT_BLOCK).mapInPandas(run, "u long, v long")
+    return blocks(rows.hint("merge").join(texts, "id"), "cluster", TEXT_BLOCK, rows).mapInPandas(run, "u long, v long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -366,7 +369,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # What is left: pairs under one key that are not in one component yet.
     part = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"{name}_part"))
     placed = shared.select("key", "id", "n").join(part("id"), "id", "left").withColumn("part", F.coalesce("id_part", "id")).select("key", "id", "n", "part")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    mixed, _ = stored(placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key"), "mixed")
     open_rows, open_path = stored(placed.join(mixed, "key", "left_semi"), "open")
     drop_path(spark, shared_path)
     clusters, _ = stored(close_clusters(open_rows, classes), "clusters")
