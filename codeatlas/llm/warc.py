@@ -171,7 +171,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long = rows.where(F.octet_length("html") >= LEAST_REVISIT)
-    carriers = long.groupBy("digest").agg(F.max("page_id").alias("carrier"), F.count("*").alias("n")).where("n > 1 and carrier is not null").select("digest", "carrier")
+    # Read from storage, so that the join may split the rows of one payload.
+    carriers, _ = stored(
+        long.groupBy("digest").agg(F.max("page_id").alias("carrier"), F.count("*").alias("n")).where("n > 1 and carrier is not null").select("digest", "carrier"), "carriers"
+    )
     revisit = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("carrier")), F.col("carrier"))
     return rows.join(carriers, "digest", "left").select("page_id", "url", "html", revisit.alias("refers_to"))
 
@@ -284,11 +287,12 @@ def read_archives(index: DataFrame) -> DataFrame:
 
     held, _ = stored(dealt.mapInPandas(run, READ), "records")
     targets = held.where("record_type = 'revisit'").select(F.col("refers_to").alias("wanted")).distinct()
-    carriers = (
+    carriers, _ = stored(
         held.where("record_type = 'response'")
         .join(targets, F.col("page_id") == F.col("wanted"), "left_semi")
         .groupBy(F.col("page_id").alias("carrier"))
-        .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full"))
+        .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full")),
+        "carriers",
     )
     return held.join(carriers, F.col("refers_to") == F.col("carrier"), "left").select(
         "page_id",
