@@ -2,8 +2,9 @@
 
 Features are the distinct words of a text and the beginnings of its words. Training adds, for
 every labelled text that names a group of people, the same text with the group swapped for
-another one, and penalises the squared change of its score. A mention alone then can't carry
-the score, which keeps neutral texts about a group from being flagged.
+another one and with a word that names none, and penalises the squared changes of its score. A
+mention alone then can't carry the score, which keeps neutral texts about a group from being
+flagged.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``, the rows with the
 smallest hash of their id); every row of the table is scored on its whole text.
@@ -32,7 +33,7 @@ SAMPLE = 12_000
 FEATURES = 12_000
 LEAST_DOCS = 3
 THRESHOLD = 0.3
-PENALTY = 2.0
+PENALTY = 6.0
 #: Weight of a toxic text in the loss; one in ten is toxic, and missing one is worse.
 TOXIC_WEIGHT = 3.0
 RIDGE = 1e-4
@@ -57,6 +58,7 @@ IDENTITIES = (
     ("femmes", "hommes"),
     ("mujeres", "hombres"),
 )
+NEUTRAL = "people"
 _SWAP = {term: [x for x in kind if x != term] for kind in IDENTITIES for term in kind}
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,6 +81,11 @@ def swapped(words: set[str], seed: int) -> set[str]:
     return out
 
 
+def neutral(words: set[str]) -> set[str]:
+    """The same words with one word that names no group in place of all identity terms."""
+    return {word for word in words if word not in _SWAP} | {NEUTRAL}
+
+
 def feature_hashes(words: set[str]) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the features of a set of words."""
     found = {xxhash.xxh32_intdigest(f) for w in words for f in features_of(w)}
@@ -153,7 +160,7 @@ def fit(held: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray,
     """Logistic regression with ridge and counterfactual penalties, by Adam on all rows.
 
     ``held``: features of each labelled text; ``pairs``: features of the texts that name a
-    group, as they are and with the group swapped.
+    group, as they are and with the group swapped or left unnamed.
     """
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -194,19 +201,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own, other = [], []
+            own, other, none = [], [], []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
                 own.append(feature_hashes(words).tobytes())
                 named = any(w in _SWAP for w in words)
                 other.append(feature_hashes(swapped(words, int(doc))).tobytes() if named else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "own": own, "other": other})
+                none.append(feature_hashes(neutral(words)).tobytes() if named else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "own": own, "other": other, "none": none})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, own binary, other binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, own binary, other binary, none binary")
     # At most ``sample`` rows of a few kilobytes; hashes, not texts.
     held = sorted(rows.collect(), key=lambda r: (r[0], bytes(r[2])))
     array = lambda x: np.frombuffer(x, dtype=np.uint32)
-    pairs = [(array(r[2]), array(r[3])) for r in held if r[3] is not None]
+    pairs = [(array(r[2]), array(x)) for r in held for x in (r[3], r[4]) if x is not None]
     return fit([array(r[2]) for r in held], [int(r[1] > 0) for r in held], pairs)
 
 

@@ -507,11 +507,13 @@ def test_mentions_alone_do_not_carry_the_score():
         texts.append(text)
         labels.append(int(bad))
     held = [toxicity.feature_hashes(t) for t in texts]
-    pairs = [(toxicity.feature_hashes(t), toxicity.feature_hashes(toxicity.swapped(t, n))) for n, t in enumerate(texts) if "muslim" in t]
+    named = [(n, t) for n, t in enumerate(texts) if "muslim" in t]
+    pairs = [(toxicity.feature_hashes(t), toxicity.feature_hashes(x)) for n, t in named for x in (toxicity.swapped(t, n), toxicity.neutral(t))]
     with_penalty, without = toxicity.fit(held, labels, pairs), toxicity.fit(held, labels, [])
     gap = lambda m: abs(m.score("muslim plain1") - m.score("christian plain1"))
     assert with_penalty.score("vile plain1") > 0.5 > 0.3 > with_penalty.score("muslim plain1 plain2")
     assert gap(with_penalty) < gap(without)
+    assert with_penalty.score("muslim plain1 plain2") < without.score("muslim plain1 plain2")
 
 
 def test_toxicity_awkward(spark, awkward, nothing):
