@@ -111,7 +111,7 @@ def host_scores(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES, factor: float = FACTOR) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of each row of ``pages``."""
-    scores = host_scores(pages, rules)
+    scores, _ = stored(host_scores(pages, rules), "scores")
     rows = host_and_path(pages.select("page_id", "url"), "url")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     trust, distrust = (F.round(F.coalesce(x, F.lit(0.0)), 9) for x in ("trust", "distrust"))
