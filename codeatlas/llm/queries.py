@@ -47,7 +47,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row")
+    """Every repeated unit, however short; ``n_words`` tells short runs from long ones."""
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=1).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeatlas.llm import bpe, components, exact_dedup, media, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter, warc
+from codeatlas.llm import bpe, components, exact_dedup, media, near_dedup, packing, queries, secrets, substring_dedup, toxicity, url_filter, warc
 from codeatlas.llm.common import shared_dir
 from tests.conftest import DATA
 
@@ -485,6 +486,34 @@ def test_passages_brute_force(spark, documents):
     assert {(r.doc_id, r.start, r.end, r.n_units, (r.keep_doc_id, r.keep_start)) for r in got} == wanted
 
 
+def test_short_repeats_are_returned(spark):
+    """Registered query: a boilerplate line counts, and so do passages with a changed sentence or glued ends."""
+    line = "Subscribe to our letter for more."
+    changed = PASSAGE.replace("Nobody spoke against the plan at all.", "Somebody spoke against it.")
+    rows = [(i, f"Text {i} stands here. {line} Ending {i} follows.") for i in range(1, 6)] + [(11, "Opening a. " + PASSAGE), (12, "Opening b. " + changed), (13, "glued to " + PASSAGE.strip() + "and on")]
+    folder = shared_dir(spark, "given")
+    table(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    got = queries.op10_substring_dedup(spark, folder).collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.doc_id].append(dict(rows)[r.doc_id][r.start : r.end])
+    assert {i: found[i] for i in range(1, 6)} == {1: []} | {i: [line] for i in range(2, 6)}
+    assert found[12] == ["The committee met on the first day. It agreed on many small points of order.", "The vote was held before noon. Everyone went home in good time afterwards."]
+    assert found[13] == ["It agreed on many small points of order. Nobody spoke against the plan at all. The vote was held before noon."]
+    assert all(r.copies == 5 and r.keep_doc_id == 1 for r in got if r.doc_id < 6)
+
+
+def test_long_repeats_equal_sql(spark):
+    """The SQL keeps its floor of 25 words: it gives the long rows of the query."""
+    got = queries.op10_substring_dedup(spark, DATA)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    wanted = duck.sql(queries.ORACLE["op10_substring_dedup"])
+    assert sorted(tuple(r) for r in got.where("n_words >= 25").select(*wanted.columns).collect()) == sorted(wanted.fetchall())
+    assert got.where("n_words < 25").count() > 0
+
+
+
 # -- toxicity -------------------------------------------------------------------
 
 
