@@ -29,9 +29,11 @@ RULES = (
 DAMPING = 0.85
 #: A host is a seed if a rule gives more than this share of its pages the same verdict.
 SEED_SHARE = 0.5
+#: Rounds end when no host's score moves by more than this share of itself.
 TOLERANCE = 1e-7
-MOST_ROUNDS = 60
 FACTOR = 1.0
+#: Distrust must exceed trust by this share of it; what is left after the last round lies below.
+MARGIN = 1e-6
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -71,16 +73,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
     ``edges``: ``side, src, dst, share`` with shares summing to at most 1 for each source;
     ``seeds``: ``side, host, weight``. Every round is written to the shared folder; rounds end
-    when the scores move less than ``tolerance`` in total.
+    when no score moves by more than ``tolerance`` times itself and no host is new, so that
+    neither the number of seeds nor the distance from them decides who gets a score.
     """
     spark = edges.sparkSession
     base = seeds.select("side", "host", (F.col("weight") * (1 - damping)).alias("score"))
     now, path = stored(base, "ranks")
-    for _ in range(MOST_ROUNDS):
+    while True:
         sent = edges.join(now.select("side", F.col("host").alias("src"), "score"), ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         after, new_path = stored(sent.unionByName(base).groupBy("side", "host").agg(F.sum("score").alias("score")), "ranks")
         old = now.select("side", "host", F.col("score").alias("old"))
-        moved = after.join(old, ["side", "host"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        share = F.when(F.col("score") > 0, F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) / F.col("score"))
+        moved = after.join(old, ["side", "host"], "left").agg(F.max(share)).first()[0]
         drop_path(spark, path)
         now, path = after, new_path
         if (moved or 0.0) < tolerance:
@@ -114,8 +118,8 @@ def judge(pages: DataFrame, rules=RULES, factor: float = FACTOR) -> DataFrame:
     scores, _ = stored(host_scores(pages, rules), "scores")
     rows = host_and_path(pages.select("page_id", "url"), "url")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    trust, distrust = (F.round(F.coalesce(x, F.lit(0.0)), 9) for x in ("trust", "distrust"))
-    own = F.when(distrust > trust * factor, "block").otherwise("allow")
+    trust, distrust = (F.coalesce(x, F.lit(0.0)) for x in ("trust", "distrust"))
+    own = F.when(distrust > trust * factor * (1 + MARGIN), "block").otherwise("allow")
     return rows.join(scores, "host", "left").select(
         "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

@@ -437,6 +437,31 @@ def test_distrust_flows_back(spark):
     assert got[5].trust == pytest.approx(score["neutral.org"], abs=1e-5)
 
 
+def test_distrust_reaches_far_and_thin(spark):
+    """Neither distance from a seed nor many links beside one's own make a score vanish."""
+    rows, at = [(0, "http://bad.net/es/1", ""), (1, "http://worse.net/fr/1", "")], 2
+    chains = {"far": ("bad.net", 62, 0), "thin": ("worse.net", 5, 100)}
+    for name, (above, steps, others) in chains.items():
+        for step in range(steps):
+            link = f'<a href="http://{above}/x">x</a>'
+            above = f"{name}{step}.org"
+            for host in [above, *(f"{name}{step}-{i}.org" for i in range(others))]:
+                rows.append((at, f"http://{host}/", link))
+                at += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_filter.judge(pages).collect()
+    assert [r.host for r in got if r.verdict != "block"] == []
+    least = min(r.distrust for r in got)
+    assert least == pytest.approx(0.15 / 2 * (0.85 / 101) ** 5, rel=1e-6) and round(least, 9) == 0
+
+
+def test_even_scores_allow(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">x</a>' for h in hosts)
+    rows = [(1, "http://bad.net/es/1", ""), (2, "http://good.com/", link("even.org")), (3, "http://even.org/", link("bad.net"))]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].trust == pytest.approx(got[3].distrust) and got[3].verdict == "allow"
+
+
 # -- passages -------------------------------------------------------------------
 
 PASSAGE = "The committee met on the first day. It agreed on many small points of order. Nobody spoke against the plan at all. The vote was held before noon. Everyone went home in good time afterwards. "
