@@ -33,7 +33,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 2.5
 
-#: Parts of names that call for secrecy, with their weight.
+#: Parts of names that call for secrecy, with their weight. A mixed, random literal adds 1.0, so that
+#: the least weight still reaches the threshold.
 SENSITIVE = {
     "password": 3.0,
     "passwd": 3.0,
@@ -48,9 +49,9 @@ SENSITIVE = {
     "credentials": 2.5,
     "auth": 1.5,
     "bearer": 2.0,
-    "signature": 1.0,
-    "salt": 1.0,
-    "key": 1.0,
+    "signature": 1.5,
+    "salt": 1.5,
+    "key": 1.5,
 }
 #: Values that stand for a secret but are none.
 PLACEHOLDERS = re.compile(r"(?:x+|\*+|your[-_ ].*|change[-_ ]?me|example.*|none|null|true|false|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|process\.env.*|os\.environ.*)", re.IGNORECASE)

@@ -298,6 +298,14 @@ def test_assignments(text, wanted):
     assert [text[a:b] for a, b, kind in secrets.scan(text)[1] if kind == "lexed"] == wanted
 
 
+@pytest.mark.parametrize("name", ["encryption_key", "signingKey", "ssh-key", "MASTER_KEY", "salt", "request_signature"])
+def test_every_listed_name_can_be_reported(name):
+    lexed = lambda value: [kind for _, _, kind in secrets.scan(f'{name} = "{value}"')[1]]
+    assert lexed("q7Rm2xVt9KpL") == ["lexed"]
+    assert lexed("primary") == lexed("plain words only") == lexed("aaaa1111") == []
+    assert min(secrets.SENSITIVE.values()) + 1.0 >= secrets.THRESHOLD
+
+
 def test_secret_rows(awkward, nothing):
     rows = secrets.secret_spans(awkward).collect()
     assert len(rows) == len(AWKWARD)
