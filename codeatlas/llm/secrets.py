@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and assignments read from source and configuration syntax.
 
 The assignment reader lexes ``name = "literal"``, ``"name": "literal"``, ``name: literal``
-and ``<name>literal</name>`` into name-literal pairs, joins literals with ``+``, carries constants
+and ``<name>literal</name>`` into name-literal pairs, past type annotations and subscripts, in
+comments too, and with the literal on the next line; it joins literals with ``+``, carries constants
 along ``name = other_name``, and scores each literal by the sensitivity of the names that it
 reaches and by how random it looks. Literals at or above the threshold are added as kind
 ``lexed``, unless a fixed pattern covers them already.
@@ -57,7 +58,8 @@ SENSITIVE = {
 PLACEHOLDERS = re.compile(r"(?:x+|\*+|your[-_ ].*|change[-_ ]?me|example.*|none|null|true|false|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|process\.env.*|os\.environ.*)", re.IGNORECASE)
 
 _TOKEN = re.compile(
-    r"""(?P<comment>//[^\n]*|\#[^\n]*)
+    r"""(?P<comment>//|\#)
+    |(?P<scheme>[A-Za-z][A-Za-z\d+.-]*://)
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)
     |(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
     |(?P<number>\d[\w.]*)
@@ -66,6 +68,10 @@ _TOKEN = re.compile(
     |(?P<other>\S)""",
     re.VERBOSE | re.ASCII,
 )
+#: A type between a colon and ``=``: a literal, a bracket or the line's end follows, or a blank stands before ``=``.
+_TYPED = re.compile(r"(?:&[ \t]*)?(?:'static[ \t]+)?[A-Za-z_$](?:[\w$.\[\]<>?]++|[ \t]*+[|&,][ \t]*+)*+(?:[ \t]*+=(?=[ \t]*[\"'`(\\])|[ \t]++=(?![=>]))", re.ASCII)
+#: Behind a string that is a name itself.
+_KEY = re.compile(r"[ \t]*(?:\][ \t]*)?(?:=(?!=)|:)")
 _BARE = re.compile(r"[^\s\"'`,;<>()\[\]{}]+")
 _TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\s]+)</\1>", re.ASCII)
 _SIGN = re.compile(r"[=:<]")
@@ -115,31 +121,49 @@ def name_literal_pairs(text: str) -> list[tuple[str, str, int, int]]:
     aliases: list[tuple[str, str]] = []
     if "</" in text:
         pairs += [(m[1], m[2], m.start(2), m.end(2)) for m in _TAG.finditer(text)]
-    lines = [line for line in _lines(text) if _SIGN.search(text, *line)]
-    for lo, hi in lines:
-        at, target, after = lo, "", False
+    target, sign = "", ""
+    for lo, hi in _lines(text):
+        if not sign:
+            target = ""
+            if _SIGN.search(text, lo, hi) is None:
+                continue
+        # A sign at the end of the line before takes a literal only, as does a bracket.
+        at, literal, held = lo, bool(sign), ""
         while (m := _TOKEN.search(text, at, hi)) is not None:
             kind, at = m.lastgroup, m.end()
             if kind == "comment":
-                if m[0][0] == "#" and not after:
-                    at = m.start() + 1
+                # What stands behind the mark is read too; a sign before it waits for the next line.
+                if sign:
+                    held, target, sign = held or target, "", ""
+                continue
+            if sign and m[0] in ("(", "\\"):
+                literal = True
+                continue
+            if sign and literal and (kind != "string" or _KEY.match(text, at, hi)):
+                target, sign = "", ""
+            if sign:
+                if sign == ":" and (typed := _TYPED.match(text, m.start(), hi)):
+                    at, sign = typed.end(), "="
                     continue
-                break
-            if after and target:
                 values, at, names = _value(text, m, hi)
                 for value in values:
                     pairs.append((target, *value))
                     constants.setdefault(target, []).append(value)
                 aliases += [(target, name) for name in names]
-                target, after = "", False
+                target, sign = "", ""
             elif kind == "op" and m[0] in ("=", ":", ":=", "=>"):
-                after = bool(target)
+                sign, literal = m[0] if target else "", False
             elif kind == "name":
                 target = m[0]
             elif kind == "string":
                 target = m[0][1:-1]
-            elif kind != "number" or m[0] == ")":
+            elif m[0] in ("[", "]") or (m[0] in ("?", "!") and text[at : at + 1] == ":"):
+                continue
+            elif kind != "number":
                 target = ""
+        if held and not sign:
+            target, sign = held, "="
+    aliases = list(dict.fromkeys(aliases))
     reached = {(n, v) for n, held in constants.items() for v in held}
     for _ in range(len(aliases)):
         new = {(target, v) for target, name in aliases for v in constants.get(name, ()) if (target, v) not in reached}

@@ -306,6 +306,43 @@ def test_every_listed_name_can_be_reported(name):
     assert min(secrets.SENSITIVE.values()) + 1.0 >= secrets.THRESHOLD
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ('const dbPwd: string = "hunter2xyz9";', ["hunter2xyz9"]),
+        ('const dbPwd?: string | null="hunter2xyz9";', ["hunter2xyz9"]),
+        ('db_pwd: str = "hunter2xyz9"', ["hunter2xyz9"]),
+        ("def f(user: str, db_pwd: Optional[dict[str, str]] = 'hunter2xyz9'):", ["hunter2xyz9"]),
+        ('const DB_PWD: &\'static str = "hunter2xyz9";', ["hunter2xyz9"]),
+        ('V = "hunter2xyz9"\ndb_pwd: str = V', ["hunter2xyz9"]),
+        ("db_pwd: hunter2xyz9==", ["hunter2xyz9=="]),
+        ('db_pwd: hunter2xyz9\nx = "q1w2e3r4t5"', ["hunter2xyz9"]),
+        ('cfg["db_pwd"] = "hunter2xyz9"', ["hunter2xyz9"]),
+        ("cfg[db_pwd] = 'hunter2xyz9'", ["hunter2xyz9"]),
+        ('see http://host then db_pwd = "hunter2xyz9"', ["hunter2xyz9"]),
+        ("http://host/a?db_pwd=hunter2xyz9", ["hunter2xyz9"]),
+        ('// db_pwd = "hunter2xyz9"', ["hunter2xyz9"]),
+        ('run(); // was db_pwd = "hunter2xyz9"', ["hunter2xyz9"]),
+        ('db_url = https://host/a // db_pwd = "hunter2xyz9"', ["hunter2xyz9"]),
+        ('db_pwd =\n    "hunter2xyz9"', ["hunter2xyz9"]),
+        ('db_pwd: str = (\n\n    "hunter2xyz9"\n)', ["hunter2xyz9"]),
+        ('db_pwd = // x = "q1w2e3r4t5"\n  "hunter2xyz9"', ["hunter2xyz9"]),
+        ('db_pwd = \\\n  "hunter2xyz9"', ["hunter2xyz9"]),
+        ("db_pwd=\nother=hunter2xyz9", []),
+        ('auth:\n  "db_pwd": "hunter2xyz9"', ["hunter2xyz9"]),
+        ('auth:\n  user: "q1w2e3r4t5"', []),
+        ('key: value pairs and x = "q1w2e3r4t5"', []),
+    ],
+)
+def test_common_syntax(text, wanted):
+    assert [text[a:b] for a, b, kind in secrets.scan(text)[1] if kind == "lexed"] == wanted
+
+
+def test_reading_stays_linear():
+    for piece in ("a: b[", "a: b | ", "k // = ", "a = (", "x://", "a: " + "b." * 50, 'a =\n"b" '):
+        secrets.scan(piece * 20_000)
+
+
 def test_secret_rows(awkward, nothing):
     rows = secrets.secret_spans(awkward).collect()
     assert len(rows) == len(AWKWARD)
