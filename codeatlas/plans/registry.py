@@ -566,7 +566,7 @@ def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names to symbols: wanted parent, then same file, then exported, then the first."""
     v = VirtualIndex(spark, sf_dir)
     symbols = v.symbols()
-    lines = v.table("lineitem").where("l_suppkey < 20")
+    lines = v.table("lineitem")
     ref = (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ref_id")
     refs = lines.select(ref, F.col("l_partkey").alias("source_id"), "l_suppkey").distinct()
     source = symbols.select(F.col("id").alias("source_id"), F.col("file_id").alias("source_file"))
