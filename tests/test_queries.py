@@ -54,6 +54,11 @@ def test_all_references_are_resolved(spark):
     assert {r.ref_id % 1000 for r in rows} > set(range(1, 21))
 
 
+def test_whole_texts_of_all_items_are_asked(spark):
+    rows = same_on(spark, "bm25_batch", without("bm25_batch", ("[1:3]", ""), ("WHERE item_id < 25", ""), (" HAVING count(*) = (SELECT wanted FROM w WHERE w.qid = q.qid)", "")), DATA)
+    assert {r.qid for r in rows} == {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+
+
 def test_every_query_without_sql_runs(spark):
     for name in QUERIES.keys() - SQL.keys():
         assert QUERIES[name](spark, DATA).count() >= 0
