@@ -167,7 +167,7 @@ cand AS (SELECT * FROM (SELECT q.selector, s.id, row_number() OVER (PARTITION BY
 
 def _selectors(v: VirtualIndex) -> DataFrame:
     name = F.concat(F.lit("Brand_"), F.substring_index("p_brand", "#", -1), F.lit("."), F.col("p_name"))
-    return v.table("part").where("p_size <= 5").select(name.alias("qid"), name.alias("selector")).distinct()
+    return v.table("part").select(name.alias("qid"), name.alias("selector")).distinct()
 
 
 @registered(with_views(_BATCH + "SELECT selector AS qid, id, n AS nth FROM cand"))

@@ -54,6 +54,14 @@ def test_all_references_are_resolved(spark):
     assert {r.ref_id % 1000 for r in rows} > set(range(1, 21))
 
 
+@pytest.mark.parametrize("name", ["lookup_batch", "callers_batch"])
+def test_selectors_of_all_parts(spark, name):
+    rows = same_on(spark, name, without(name, (" WHERE p_size <= 5", "")), DATA)
+    parts = spark.read.parquet(f"{DATA}/part.parquet").selectExpr("concat('Brand_', substring_index(p_brand, '#', -1), '.', p_name) AS s").distinct()
+    if name == "lookup_batch":
+        assert {r.qid for r in rows} == {r.s for r in parts.collect()}
+
+
 def test_whole_texts_of_all_items_are_asked(spark):
     rows = same_on(spark, "bm25_batch", without("bm25_batch", ("[1:3]", ""), ("WHERE item_id < 25", ""), (" HAVING count(*) = (SELECT wanted FROM w WHERE w.qid = q.qid)", "")), DATA)
     assert {r.qid for r in rows} == {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
