@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rounds of re-exports; they end earlier when a round finds nothing.
-RE_EXPORTS = 32
 STEPS = 3
 
 
@@ -23,7 +22,7 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def in_memory(df: DataFrame, _: str) -> DataFrame:
-    return df.persist()
+    return df.localCheckpoint()  # without its lineage: plans don't grow with the rounds
 
 
 def facts(rows: DataFrame, kind: str, **names: str) -> DataFrame:
@@ -52,16 +51,15 @@ def definitions(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
     links = exports.where("raw is not null and module is not null and exported != '*'").select("key", "exported", F.col("module").alias("next"), F.col("local").alias("name")).unionByName(passed)
     stars = exports.where("exported = '*' and module is not null").select("key", F.col("module").alias("next"))
     found, size = keep(direct.distinct(), "definitions_0"), -1
-    for step in range(1, RE_EXPORTS + 1):
+    for step in count(1):
         now = found.count()
         if now == size:
-            break
+            return found
         size = now
         known = found.select(F.col("key").alias("next"), F.col("exported").alias("name"), "def_key", "def_name")
         named = links.join(known, ["next", "name"]).select("key", "exported", "def_key", "def_name")
         all_ = stars.join(known, "next").where("name != 'default'").select("key", F.col("name").alias("exported"), "def_key", "def_name")
         found = keep(found.unionByName(named).unionByName(all_).distinct(), f"definitions_{step}")
-    return found
 
 
 def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:

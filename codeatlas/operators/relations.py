@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: After so many steps the pairs of an alias closure are written together, to keep partitions few.
+MERGED_STEPS = 16
+
 
 def dedupe_targets(refs: DataFrame, source: str = "source_id") -> DataFrame:
     """Each (name, parent) of a source once; names without a parent go where one with a parent exists.
@@ -40,25 +45,23 @@ def resolve_targets(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return best.select("ref_id", "source_id", F.col("best.target_id").alias("target_id"))
 
 
-def alias_closure(edges: DataFrame, most_steps: int = 32) -> DataFrame:
+def alias_closure(edges: DataFrame) -> DataFrame:
     """``name, reach``: every name that a name stands for, itself included.
 
     ``edges``: ``name, target``, where cycles and self loops may occur. Pairs that are new in a
-    step are all that the next one extends; the loop ends when there are none.
+    step are all that the next one extends; the loop ends when there are none. Each step's pairs
+    are cut from their lineage, so that plans don't grow with the depth.
     """
-    spark = edges.sparkSession
-    steps = edges.where("name != target").distinct()
+    shared = bool(edges.sparkSession.sparkContext.getCheckpointDir())
+    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    steps = cut(edges.where("name != target").distinct())
     names = edges.select("name").union(edges.select("target")).distinct()
-    known = names.select("name", F.col("name").alias("reach"))
-    fresh = known
-    for _ in range(most_steps):
+    known = fresh = cut(names.select("name", F.col("name").alias("reach")))
+    for step in count(1):
         following = fresh.join(steps.select(F.col("name").alias("reach"), "target"), "reach").select("name", F.col("target").alias("reach")).distinct()
-        fresh = following.join(known, ["name", "reach"], "left_anti")
-        if spark.sparkContext.getCheckpointDir():
-            fresh = fresh.checkpoint()
-        else:
-            fresh = fresh.persist()
+        fresh = cut(following.join(known, ["name", "reach"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return known
         known = known.union(fresh)
-    return known
+        if step % MERGED_STEPS == 0:
+            known = cut(known.repartition("name", "reach"))

@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from codeatlas.operators import program as P
+from codeatlas.operators import relations as R
 from codeatlas.plans.registry import QUERIES, SQL
 from tests.conftest import DATA
 
@@ -67,6 +69,24 @@ def test_whole_texts_of_all_items_are_asked(spark):
     assert {r.qid for r in rows} == {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
 
 
+def test_aliases_of_all_suppliers(spark):
+    same_on(spark, "alias_closure", without("alias_closure", (" WHERE s_suppkey % 60 < 45", "")), DATA.replace("sf0.001", "sf0.01"))
+
+
+def test_alias_chains_have_no_depth_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 38), (7, 7)], "name long, target long")
+    got = {(r.name, r.reach) for r in R.alias_closure(edges).collect()}
+    assert got == {(i, j) for i in range(41) for j in range(41) if i <= j or min(i, j) >= 38}
+
+
+def test_re_exports_have_no_depth_limit(spark):
+    rows = [("m0.ts", 1, "export", "thing", "thing", None, None)]
+    rows += [(f"m{i}.ts", 1, "export", "thing", "thing", f"m{i - 1}", "from") for i in range(1, 41)]
+    facts = spark.createDataFrame(rows, "path string, ord long, fact string, a string, b string, c string, d string")
+    got = {(r.key, r.def_key) for r in P.definitions(facts).collect()}
+    assert got == {(f"m{i}", "m0") for i in range(41)}
+
+
 def test_every_query_without_sql_runs(spark):
     for name in QUERIES.keys() - SQL.keys():
         assert QUERIES[name](spark, DATA).count() >= 0
