@@ -3,45 +3,22 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeatlas.packaging import ship
+from codeatlas.shared import drop_path, qualified, shared_dir, stored
 
-#: Rows handed to a Python worker at once; keeps a batch of long texts small.
-ARROW_ROWS = 256
+__all__ = ["drop_path", "fresh", "mapped", "qualified", "read_table", "release", "shared_dir", "shuffle_partitions", "small_batches", "stored", "text_or_empty"]
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share.
-
-    ``spark.checkpoint.dir`` names that folder; it is set here only where the session
-    has none (local tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or "file://" + tempfile.mkdtemp(prefix="codeatlas-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/codeatlas/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`stored`, through Spark's own file system layer."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, schema = df.sparkSession, df.schema
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path), path
+#: Rows and bytes handed to a Python worker at once; keeps a batch of long texts small.
+ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -50,12 +27,42 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, as one text may be very long; the workers get the package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound rows and bytes of an Arrow batch, as texts may be very long; the workers get the package."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(name).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[Any]], schema: T.StructType) -> DataFrame:
+    """``df`` through ``run``, which gets Arrow batches and yields rows (tuples) or columns by name.
+
+    Values don't pass through pandas, where a null beside them would turn 64-bit ids into floats.
+    """
+    small_batches(df.sparkSession)
+    made = to_arrow_schema(schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            if isinstance(out, dict):
+                columns = [out[name] for name in made.names]
+            else:
+                columns = list(zip(*out, strict=True)) if out else [()] * len(made)
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=made)
+
+    return df.mapInArrow(whole, schema)
+
+
+def fresh(name: str, *taken: DataFrame) -> str:
+    """``name``, or with underscores behind it, so that no column of ``taken`` has it."""
+    held = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,8 +7,11 @@ bitset subset-sum over the others finds the fullest feasible combination. That c
 removed as often as the histogram allows, so the plan has few distinct bins. Pieces then find
 their place by their ordinal within their length; no group of pieces meets in one task.
 
-Edge cases: null and empty texts are one piece holding the end id alone; repeated rows are
-packed as often as they come; a null ``doc_id`` is kept.
+Edge cases: null and empty texts are one piece holding the end id alone; repeated rows, and rows
+with a null or repeated ``doc_id``, are packed as often as they come, each of them by itself;
+among pieces of equal length any may take a place, but once they are stored the places don't
+change; an empty table gives an empty one; very long texts are cut into as many pieces as they
+need; columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeatlas.llm.bpe import load_bpe, resolve_vocabulary
-from codeatlas.llm.common import shuffle_partitions, small_batches, stored
+from codeatlas.llm.common import mapped, shuffle_partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -111,21 +114,20 @@ PIECES = T.StructType(
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of each row, with a checksum of their ids."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         bpe = load_bpe(resolve_vocabulary(vocabulary))
         end, width = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = bpe.encode(text) + end
+            for doc, encoded in zip(batch["doc_id"].to_pylist(), bpe.encode_all(batch["text"].to_pylist()), strict=True):
+                ids = encoded + end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=PIECES.names)
+            yield rows
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return mapped(docs.select("doc_id", "text"), run, PIECES)
 
 
 PACKED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -135,33 +137,33 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each piece of ``cut`` (columns of :data:`PIECES`) a sequence and a place in it."""
     spark = cut.sparkSession
     salts = max(8, shuffle_partitions(spark))
-    held, _ = stored(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "pieces")
+    # A number of its own for each row, fixed by storing it: repeated or missing ids don't meet in one salt.
+    numbers = cut.withColumn("row", F.monotonically_increasing_id())
+    held, _ = stored(numbers.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))), "pieces")
     sums = held.groupBy("length", "salt").count()
     # At most ``capacity`` rows reach the driver, whatever the size of the corpus.
     histogram = {int(r[0]): int(r[1]) for r in sums.groupBy("length").agg(F.sum("count")).collect()}
     where = placement(slack_plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "salt").orderBy("row")
     numbered = (
         held.withColumn("nth", F.row_number().over(within) - 1)
         .join(starts, ["length", "salt"])
         .select(*PIECES.names, (F.col("before") + F.col("nth")).alias("ordinal"))
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            lengths, ordinal = batch["length"].to_numpy(), batch.pop("ordinal").to_numpy()
+            lengths, ordinal = batch["length"].to_numpy(), batch["ordinal"].to_numpy()
             number = where["base"][np.searchsorted(where["length"], lengths)] + ordinal
             row = np.searchsorted(where["first"], number, side="right") - 1
             nth = number - where["first"][row]
             copies = where["copies"][row]
-            yield batch.assign(
-                sequence_id=where["sequence"][row] + nth // copies,
-                offset=where["offset"][row] + nth % copies * lengths,
-            )
+            places = {"sequence_id": where["sequence"][row] + nth // copies, "offset": where["offset"][row] + nth % copies * lengths}
+            yield {name: batch[name] for name in PIECES.names} | places
 
-    return numbered.mapInPandas(run, PACKED)
+    return mapped(numbered, run, PACKED)
 
 
 def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
