@@ -5,7 +5,10 @@ the filter with the smallest sum of absolute differences; the reader tests every
 checksum, inflates, and undoes the filters with numpy. The feature is a 64-bit hash of the
 lowest frequencies of a cosine transform.
 
-Edge cases: null and empty texts are one row of blanks; equal texts give equal bytes.
+Edge cases: null and empty texts are one row of blanks; equal texts give equal bytes; repeated
+rows, and rows with a null or repeated ``doc_id``, get an image each; an empty table gives an
+empty one; an image is as high as its text needs; columns other than ``doc_id`` and ``text`` are
+not read, whatever their names. A damaged image is a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import small_batches
+from codeatlas.llm.common import mapped
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -163,7 +166,6 @@ STORED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("media", T.BinaryType()),
-        T.StructField("feature", T.BinaryType()),
     ]
 )
 READ = T.StructType(
@@ -181,43 +183,31 @@ READ = T.StructType(
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """Each text as a PNG in a binary column, with the feature of the stored form read back."""
-    small_batches(docs.sparkSession)
+    """Each text as a PNG in a binary column."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            media, sizes, features = [], [], []
-            for text in batch["text"]:
+            media, sizes = [], []
+            for text in batch["text"].to_pylist():
                 payload, size = payload_of(text)
-                image = write_png(np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH, 3))
-                media.append(image)
+                media.append(write_png(np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH, 3)))
                 sizes.append(size)
-                features.append(cosine_hash(read_png(image)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": sizes, "media": media, "feature": features})
+            yield {"doc_id": batch["doc_id"], "n_bytes": sizes, "media": media}
 
-    return docs.select("doc_id", "text").mapInPandas(run, STORED)
+    return mapped(docs.select("doc_id", "text"), run, STORED)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Read the stored images back and describe payload and stored form by digests."""
+    """Read the stored images back: their feature, and digests of payload and stored form."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
             rows = []
-            for doc, size, image, feature in batch[STORED.names].itertuples(index=False):
-                payload = read_png(image).tobytes()
-                rows.append(
-                    (
-                        doc,
-                        size,
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-16:]),
-                        len(image),
-                        hashlib.sha256(image).hexdigest(),
-                        feature.hex(),
-                    )
-                )
-            yield pd.DataFrame(rows, columns=READ.names)
-
-    return media.mapInPandas(run, READ)
+            for doc, size, image in zip(*(batch[name].to_pylist() for name in STORED.names), strict=True):
+                samples = read_png(image)
+                payload = samples.tobytes()
+                tail = zlib.crc32(payload[-16:])
+                rows.append((doc, size, len(payload), hashlib.sha256(payload).hexdigest(), tail, len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples).hex()))
+            yield rows
+
+    return mapped(media.select(*STORED.names), run, READ)

@@ -4,11 +4,15 @@ The assignment reader lexes ``name = "literal"``, ``"name": "literal"``, ``name:
 and ``<name>literal</name>`` into name-literal pairs, past type annotations and subscripts, in
 comments too, and with the literal on the next line; it joins literals with ``+``, carries constants
 along ``name = other_name``, and scores each literal by the sensitivity of the names that it
-reaches and by how random it looks. Literals at or above the threshold are added as kind
-``lexed``, unless a fixed pattern covers them already.
+reaches and by how random it looks. Literals joined by ``+`` are scored as their whole, and each of
+them is a span. Literals at or above the threshold are added as kind ``lexed``, unless a fixed
+pattern covers them already.
 
 Edge cases: null and empty texts have no spans; spans count code points, end exclusive; equal
-spans of a kind are listed once; texts are scanned whole.
+spans of a kind are listed once; texts are scanned whole, in time that grows with their length
+alone; repeated rows, and rows with a null or repeated ``doc_id``, are scanned each; an empty table
+gives an empty one. :func:`secret_spans` reads no columns but ``doc_id`` and ``text``; :func:`redact`
+hands all others on as they are, whatever their names, but for an integer column ``n_chars``.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import small_batches
+from codeatlas.llm.common import mapped, small_batches
 
 #: The patterns of the base kinds and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -101,26 +105,24 @@ def randomness(value: str) -> float:
     return -sum(n / size * math.log2(n / size) for n in Counter(value).values()) if size else 0.0
 
 
-def score(names: list[str], value: str) -> float:
-    if len(value) < 6 or PLACEHOLDERS.fullmatch(value):
-        return 0.0
-    weight = max(map(sensitivity, names), default=0.0)
-    if weight == 0:
+def score(weight: float, value: str) -> float:
+    """How likely a literal is a secret, from the largest weight of its names and its own look."""
+    if weight == 0 or len(value) < 6 or PLACEHOLDERS.fullmatch(value):
         return 0.0
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     return weight + (0.5 if mixed else -1.0) + (0.5 if randomness(value) >= 3.0 else -0.5)
 
 
-def name_literal_pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of every assignment, constants and sums followed.
+#: A literal: its value, and the places of its parts.
+Literal = tuple[str, tuple[tuple[int, int], ...]]
 
-    A literal appears once for each name that it reaches.
-    """
-    pairs: list[tuple[str, str, int, int]] = []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+
+def assignments(text: str) -> tuple[list[tuple[str, Literal]], list[tuple[str, str]]]:
+    """(name, literal) of every assignment in the text, and (name, other name) of those that hand on a constant."""
+    pairs: list[tuple[str, Literal]] = []
     aliases: list[tuple[str, str]] = []
     if "</" in text:
-        pairs += [(m[1], m[2], m.start(2), m.end(2)) for m in _TAG.finditer(text)]
+        pairs += [(m[1], (m[2], (m.span(2),))) for m in _TAG.finditer(text)]
     target, sign = "", ""
     for lo, hi in _lines(text):
         if not sign:
@@ -146,9 +148,7 @@ def name_literal_pairs(text: str) -> list[tuple[str, str, int, int]]:
                     at, sign = typed.end(), "="
                     continue
                 values, at, names = _value(text, m, hi)
-                for value in values:
-                    pairs.append((target, *value))
-                    constants.setdefault(target, []).append(value)
+                pairs += [(target, value) for value in values]
                 aliases += [(target, name) for name in names]
                 target, sign = "", ""
             elif kind == "op" and m[0] in ("=", ":", ":=", "=>"):
@@ -163,17 +163,28 @@ def name_literal_pairs(text: str) -> list[tuple[str, str, int, int]]:
                 target = ""
         if held and not sign:
             target, sign = held, "="
-    aliases = list(dict.fromkeys(aliases))
-    reached = {(n, v) for n, held in constants.items() for v in held}
-    for _ in range(len(aliases)):
-        new = {(target, v) for target, name in aliases for v in constants.get(name, ()) if (target, v) not in reached}
-        if not new:
-            break
-        for target, value in sorted(new):
-            reached.add((target, value))
-            constants.setdefault(target, []).append(value)
-            pairs.append((target, *value))
-    return pairs
+    return pairs, aliases
+
+
+def reach(names: Iterable[str], aliases: list[tuple[str, str]]) -> dict[str, float]:
+    """The largest sensitivity among the names that a constant of each name is handed on to.
+
+    Weights go from a name to those that it takes its constants from, largest first, so that each
+    name is visited once.
+    """
+    weights = {name: sensitivity(name) for name in {*names, *(x for pair in aliases for x in pair)}}
+    sources: dict[str, list[str]] = {}
+    for target, name in aliases:
+        sources.setdefault(target, []).append(name)
+    out: dict[str, float] = {}
+    for start in sorted(weights, key=lambda x: -weights[x]):
+        queue = [start]
+        while queue:
+            name = queue.pop()
+            if name not in out:
+                out[name] = weights[start]
+                queue += sources.get(name, ())
+    return out
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -185,35 +196,53 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
-def _value(text: str, m: re.Match, hi: int) -> tuple[list[tuple[str, int, int]], int, list[str]]:
-    """What stands right of a sign: literals with their places, where it ends, names used."""
-    values, names, at = [], [], m.end()
+_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_DOTTED = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+")
+
+
+def _value(text: str, m: re.Match, hi: int) -> tuple[list[Literal], int, list[str]]:
+    """What stands right of a sign: literals with their places, where it ends, names used.
+
+    Strings of a sum are one literal; a bare word is one by itself, and may be a name as well.
+    """
+    strings: list[tuple[str, tuple[int, int]]] = []
+    values: list[Literal] = []
+    names, at = [], m.end()
     while True:
         if m.lastgroup == "string":
-            values.append((m[0][1:-1], m.start() + 1, m.end() - 1))
+            strings.append((m[0][1:-1], (m.start() + 1, m.end() - 1)))
             at = m.end()
         elif (bare := _BARE.match(text, m.start(), hi)) is not None:
             word = bare[0].rstrip(".!?")
             at = bare.end()
-            if word.isidentifier() or re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+", word):
+            if word.isidentifier() or _DOTTED.fullmatch(word):
                 names.append(word)
-            values.append((word, m.start(), m.start() + len(word)))
+            values.append((word, ((m.start(), m.start() + len(word)),)))
         else:
-            return values, at, names
-        plus = re.compile(r"[ \t]*\+[ \t]*").match(text, at, hi)
+            break
+        plus = _PLUS.match(text, at, hi)
         if plus is None or (following := _TOKEN.match(text, plus.end(), hi)) is None:
-            return values, at, names
+            break
         m = following
+    if strings:
+        values.append(("".join(x for x, _ in strings), tuple(place for x, place in strings if x)))
+    return values, at, names
 
 
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Literals whose score, over all names they reach, is at or above the threshold."""
     if not _SIGN.search(text):
         return []
-    reached: dict[tuple[int, int], tuple[str, list[str]]] = {}
-    for name, value, start, end in name_literal_pairs(text):
-        reached.setdefault((start, end), (value, []))[1].append(name)
-    return sorted((start, end, "lexed") for (start, end), (value, names) in reached.items() if score(names, value) >= threshold)
+    pairs, aliases = assignments(text)
+    weights = reach((name for name, _ in pairs), aliases)
+    best: dict[Literal, float] = {}
+    assigned, handed = {name for name, _ in pairs}, set(aliases)
+    for name, literal in pairs:
+        if literal[0] in assigned and (name, literal[0]) in handed:
+            continue  # a name that the text itself assigns, not a bare literal
+        best[literal] = max(best.get(literal, 0.0), weights[name])
+    found = {place for (value, places), weight in best.items() if score(weight, value) >= threshold for place in places}
+    return sorted((start, end, "lexed") for start, end in found)
 
 
 def scan(text: str | None, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -258,32 +287,33 @@ FOUND = T.StructType(
 
 def secret_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, digest and list of the spans of each row of ``docs`` (``doc_id``, ``text``)."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 base, spans = scan(text, threshold)
                 n = Counter(kind for _, _, kind in spans)
                 digest = hashlib.sha256(listed(base).encode()).hexdigest()
                 rows.append((doc, n["assign"], n["access"], n["hex"], digest, listed(spans), n["lexed"]))
-            yield pd.DataFrame(rows, columns=FOUND.names)
+            yield rows
 
-    return docs.select("doc_id", "text").mapInPandas(run, FOUND)
+    return mapped(docs.select("doc_id", "text"), run, FOUND)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets of ``text`` masked and ``n_chars``, where there is one, brought up to date."""
+    """``docs`` with the secrets of ``text`` masked and an integer ``n_chars``, where there is one, brought up to date."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch["text"].map(redacted)
-            changed = text.notna() & (text != batch["text"])
-            batch["text"] = text
-            if "n_chars" in batch:
-                batch["n_chars"] = batch["n_chars"].astype("Int64").mask(changed, text.str.len().astype("Int64"))
+            at, size = (batch.schema.get_field_index(c) for c in ("text", "n_chars"))
+            before = batch.column(at).to_pylist()
+            after = list(map(redacted, before))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(after, batch.schema.field(at).type))
+            if size >= 0 and pa.types.is_integer(batch.schema.field(size).type):
+                sizes = [n if new is None or new == old else len(new) for n, old, new in zip(batch.column(size).to_pylist(), before, after, strict=True)]
+                batch = batch.set_column(size, batch.schema.field(size), pa.array(sizes, batch.schema.field(size).type))
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -6,12 +6,19 @@ another one and with a word that names none, and penalises the squared changes o
 mention alone then can't carry the score, which keeps neutral texts about a group from being
 flagged.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, the rows with the
-smallest hash of their id); every row of the table is scored on its whole text.
+The model is fitted on a bounded sample: at most ``SAMPLE`` labelled rows (those with the
+smallest hash of their id) and at most ``MOST_FEATURES`` features of each (those with the smallest
+hash), which bounds what the driver gathers to some hundred MB whatever the texts. Every row of
+the table is scored on its whole text, and ``doc_id`` has no part in a score or weight beyond
+the choice of the sample.
 
 Edge cases: null and empty texts get the score of a text without features; labels that are
-null or name no document are not used; without a label of each kind all scores are the share
-of label 1.
+null or name no document are not used; of several labels of a document the largest counts;
+labelled rows that share a ``doc_id`` are learned from each; without a label of each kind all
+scores are the share of label 1; repeated rows and rows with a null ``doc_id`` are scored each,
+the latter not held out; equal texts get equal scores; an empty table gives an empty one; columns
+other than ``doc_id`` and ``text`` are not read when scoring, and :func:`keep_below` hands all
+columns on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +27,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import small_batches
+from codeatlas.llm.common import mapped, small_batches
 
 #: Most labelled rows that the classifier is fitted on.
 SAMPLE = 12_000
+#: Most features of a text that the classifier is fitted on; some 1,000 different words have as many.
+MOST_FEATURES = 4096
 FEATURES = 12_000
 LEAST_DOCS = 3
 THRESHOLD = 0.3
@@ -193,29 +202,31 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
+LEARNED = T.StructType([T.StructField("toxic", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("own", "other", "none")]])
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fit on at most ``sample`` labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
+    """Fit on the rows of at most ``sample`` labelled documents that are not held out."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
-            own, other, none = [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows = []
+            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                own.append(feature_hashes(words).tobytes())
-                named = any(w in _SWAP for w in words)
-                other.append(feature_hashes(swapped(words, int(doc))).tobytes() if named else None)
-                none.append(feature_hashes(neutral(words)).tobytes() if named else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "own": own, "other": other, "none": none})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInPandas(run, "doc_id long, toxic int, own binary, other binary, none binary")
-    # At most ``sample`` rows of a few kilobytes; hashes, not texts.
-    held = sorted(rows.collect(), key=lambda r: (r[0], bytes(r[2])))
+                forms = [words]
+                if any(w in _SWAP for w in words):
+                    forms += [swapped(words, xxhash.xxh32_intdigest((text or "").encode())), neutral(words)]
+                rows.append((int(label > 0), *[feature_hashes(x)[:MOST_FEATURES].tobytes() for x in forms], *[None] * (3 - len(forms))))
+            yield rows
+
+    chosen_rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    # At most ``sample`` rows of at most three times ``MOST_FEATURES`` hashes; not texts.
+    held = sorted(tuple(r) for r in mapped(chosen_rows, run, LEARNED).select(*[F.coalesce(c, F.lit(b"")).alias(c) if c != "toxic" else c for c in LEARNED.names]).collect())
     array = lambda x: np.frombuffer(x, dtype=np.uint32)
-    pairs = [(array(r[2]), array(x)) for r in held for x in (r[3], r[4]) if x is not None]
-    return fit([array(r[2]) for r in held], [int(r[1] > 0) for r in held], pairs)
+    pairs = [(array(r[1]), array(x)) for r in held for x in r[2:] if x]
+    return fit([array(r[1]) for r in held], [r[0] for r in held], pairs)
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -224,15 +235,14 @@ SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sco
 def scores(docs: DataFrame, model: Classifier) -> DataFrame:
     """``doc_id, score`` of each row."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.hashes, model.weights, model.bias))  # at most FEATURES entries
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own = Classifier(*sent.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [own.score(x) for x in batch["text"]]})
+            yield {"doc_id": batch["doc_id"], "score": [own.score(x) for x in batch["text"].to_pylist()]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCORED)
+    return mapped(docs.select("doc_id", "text"), run, SCORED)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -247,9 +257,10 @@ def keep_below(docs: DataFrame, model: Classifier) -> DataFrame:
     small_batches(spark)
     sent = spark.sparkContext.broadcast((model.hashes, model.weights, model.bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(*sent.value)
         for batch in batches:
-            yield batch[[own.score(x) < THRESHOLD for x in batch["text"]]]
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array([own.score(x) < THRESHOLD for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -287,7 +287,10 @@ def test_base_spans(text):
     [
         ('const VALUE = "a8f3k29dk3ls";\nconst dbPassphrase = VALUE;', ["a8f3k29dk3ls"]),
         ("<privateKey>Zx81ks09Qm</privateKey>", ["Zx81ks09Qm"]),
-        ('secretKey = "ab12" + "cd34ef56"', ["cd34ef56"]),
+        ('secretKey = "ab12" + "cd34ef56"', ["ab12", "cd34ef56"]),
+        ('secretKey = "ab12" + "cd34"', ["ab12", "cd34"]),
+        ('PART = "x9k2" + "m3q8"\nclientSecretKey = PART + ""', ["x9k2", "m3q8"]),
+        ('secretKey = "aaaa" + "aaaa"', []),
         ("auth_token => zz91kkqp22", ["zz91kkqp22"]),
         ('clientCredential = os.environ["X"]', []),
         ("The key: value pairs are plain", []),
@@ -343,6 +346,38 @@ def test_reading_stays_linear():
         secrets.scan(piece * 20_000)
 
 
+def test_long_alias_chains_are_read_at_once():
+    import time
+
+    chain = "\n".join(f"v{i} = v{i + 1}" for i in range(10_000)) + '\nv10000 = "q7Rm2xVt9KpL"\nclient_secret_key = v0\n'
+    hub = 'hub = "q7Rm2xVt9KpL"\n' * 500 + "".join(f"h{i} = hub\n" for i in range(5000)) + "dbPassphrase = h7\n"
+    for text, n in ((chain, 1), (hub, 500)):
+        began = time.perf_counter()
+        assert len(secrets.lexed_spans(text)) == n
+        assert time.perf_counter() - began < 2
+
+
+def test_planted_secrets():
+    """Precision and recall of the assignment reader on planted assignments in four syntaxes."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    forms = ['{n} = "{v}"', "{n}: {v}", 'const {n}: string = "{v}";', "<{n}>{v}</{n}>", 'cfg["{n}"] = "{v}"']
+    quiet = ["title", "colour", "file_name", "page", "author", "version", "locale"]
+    found = planted = false = 0
+    for i in range(1000):
+        value = "".join(rng.choice(letters, 16))
+        secret = bool(i % 2)
+        name = ["db_pwd", "clientCredential", "signing_key", "auth_header", "privateKey"][i % 5] if secret else quiet[i % 7]
+        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            continue
+        text = f"some prose before it\n{forms[i % len(forms)].format(n=name, v=value)}\nand after it"
+        got = [text[a:b] for a, b, kind in secrets.scan(text)[1] if kind == "lexed"]
+        planted += secret
+        found += secret and value in got
+        false += sum(x != value or not secret for x in got)
+    assert planted > 450 and found >= 0.99 * planted and false <= 0.01 * planted
+
+
 def test_secret_rows(awkward, nothing):
     rows = secrets.secret_spans(awkward).collect()
     assert len(rows) == len(AWKWARD)
