@@ -47,8 +47,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated unit, however short; ``n_words`` tells short runs from long ones."""
-    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents"), min_words=1).drop("row")
+    """Every later occurrence of a line, and passages of repeated sentences inside other lines."""
+    return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,23 +104,34 @@ FROM p LEFT JOIN c ON p.payload_bytes >= 1000 AND p.payload_digest = c.payload_d
 """,
     # For texts whose white space is ASCII and that don't hold the character U+0001.
     "op10_substring_dedup": r"""
-WITH pieces AS (
-    SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?]+)(\s)', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1) || chr(10)), chr(1)) AS p
-    FROM documents),
-each AS (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS k FROM pieces),
-placed AS (SELECT doc_id, k, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM each),
-units AS (
-    SELECT doc_id, k, stop - length(ltrim(piece, E' \t\n\r\f' || chr(11))) AS start, stop,
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS base FROM lines),
+cut AS (
+    SELECT doc_id, k, base, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS j
+    FROM (SELECT *, string_split(regexp_replace(line, '([.!?]+)(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM placed)),
+ended AS (SELECT *, base + sum(length(piece)) OVER (PARTITION BY doc_id, k ORDER BY j) AS stop FROM cut),
+normed AS (
+    SELECT doc_id, k, j, stop - length(ltrim(piece, E' \t\n\r\f' || chr(11))) AS start, stop,
            trim(regexp_replace(lower(piece), '\s+', ' ', 'g'), E' \t\r\f.,;:!?"''()[]{}*#$%&' || chr(11)) AS normal
-    FROM placed),
-named AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit FROM units WHERE normal <> ''),
-firsts AS (SELECT normal, min({'d': doc_id, 's': start}) AS f, count(*) AS copies FROM named GROUP BY normal HAVING count(*) > 1),
+    FROM ended),
+sentences AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS unit, count(*) OVER (PARTITION BY doc_id, k) AS parts FROM normed WHERE normal <> ''),
+wholes AS (
+    SELECT doc_id, k, base + length(line) - length(ltrim(line, E' \t\n\r\f' || chr(11))) AS start,
+           trim(regexp_replace(lower(line), '\s+', ' ', 'g'), E' \t\r\f.,;:!?"''()[]{}*#$%&' || chr(11)) AS normal
+    FROM placed SEMI JOIN (SELECT DISTINCT doc_id, k FROM sentences WHERE parts > 1) USING (doc_id, k)),
+firsts AS (
+    SELECT normal, min({'d': doc_id, 's': start}) AS f, count(*) AS copies
+    FROM (SELECT doc_id, start, normal FROM sentences UNION ALL SELECT doc_id, start, normal FROM wholes) GROUP BY normal HAVING count(*) > 1),
+gone AS (SELECT doc_id, k FROM wholes JOIN firsts USING (normal) WHERE doc_id <> f.d OR start <> f.s),
 later AS (
-    SELECT n.doc_id, start, stop, unit, len(string_split(n.normal, ' ')) AS words, copies, f,
-           unit - row_number() OVER (PARTITION BY n.doc_id ORDER BY unit) AS run
-    FROM named n JOIN firsts USING (normal) WHERE n.doc_id <> f.d OR n.start <> f.s)
+    SELECT s.doc_id, s.start, stop, unit, len(string_split(s.normal, ' ')) AS words, copies, f, parts = 1 OR g.k IS NOT NULL AS whole,
+           unit - row_number() OVER (PARTITION BY s.doc_id ORDER BY unit) AS near
+    FROM sentences s JOIN firsts USING (normal) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.k = s.k WHERE s.doc_id <> f.d OR s.start <> f.s),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, near) AS together FROM later),
+runs AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM summed WHERE whole OR together >= 25)
 SELECT doc_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end", CAST(sum(words) AS BIGINT) AS n_words, count(*) AS n_units,
-       max(copies) AS copies, arg_min(f.d, start) AS keep_doc_id, CAST(arg_min(f.s, start) AS INT) AS keep_start
-FROM later GROUP BY doc_id, run HAVING sum(words) >= 25
+       max(copies) AS copies, arg_min(f.d, start) AS keep_doc_id, CAST(arg_min(f.s, start) AS INT) AS keep_start, bool_and(whole) AS whole_lines
+FROM runs GROUP BY doc_id, run
 """,
 }

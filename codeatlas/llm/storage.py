@@ -1,4 +1,8 @@
-"""Files in a shared folder, opened from executors by URI."""
+"""Files in a shared folder, opened from executors by URI.
+
+URIs carry a scheme (:func:`codeatlas.shared.qualified` adds Spark's default one), so that every
+task opens the file system that Spark itself writes to.
+"""
 
 from __future__ import annotations
 
@@ -11,29 +15,26 @@ from urllib.parse import unquote, urlparse
 
 def _local(uri: str) -> str | None:
     parts = urlparse(uri)
-    if parts.scheme == "file":
-        return unquote(parts.path)
-    return uri if parts.scheme == "" else None
+    if not parts.scheme:
+        raise ValueError(f"a path needs a scheme: {uri}")
+    return unquote(parts.path) if parts.scheme == "file" else None
 
 
 @contextlib.contextmanager
-def created(uri: str, attempt: str) -> Iterator[BinaryIO]:
-    """A new file that appears under its name once it is whole, whatever task attempt wrote it."""
+def created(uri: str) -> Iterator[BinaryIO]:
+    """A new file; names must differ between task attempts, as a late one may still write."""
     local = _local(uri)
     if local is not None:
         os.makedirs(os.path.dirname(local), exist_ok=True)
-        draft = f"{local}.{attempt}"
-        with open(draft, "wb") as file:
+        with open(local, "wb") as file:
             yield file
-        os.replace(draft, local)
         return
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    with system.open_output_stream(f"{path}.{attempt}") as file:
+    with system.open_output_stream(path) as file:
         yield file
-    system.move(f"{path}.{attempt}", path)
 
 
 def opened(uri: str) -> BinaryIO:

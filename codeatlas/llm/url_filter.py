@@ -6,17 +6,25 @@ most of whose pages a rule blocks and flows against the links, to those that poi
 Where no rule fits a page, it is blocked if its host's distrust exceeds the given multiple of
 its trust.
 
+Scores of a side add up to one: what reaches a host without links goes back to the seeds. As that
+only scales all scores of a side alike, it is done once at the end.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule and no
-links; rows with null html have no links; repeated rows are judged each; hosts without
-links keep only what a rule gave them.
+links; rows with null html have no links; repeated rows and rows with a null or repeated
+``page_id`` are judged each; hosts that nothing reaches score 0 on both sides and equal scores
+allow; an empty table gives an empty one; urls and pages of any length are read whole; columns
+other than ``page_id``, ``url`` and ``html`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import drop_path, stored
+from codeatlas.llm.common import drop_path, shared_dir, shuffle_partitions, stored
 
 #: The rules as (verdict, host, path).
 RULES = (
@@ -89,7 +97,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         now, path = after, new_path
         if (moved or 0.0) < tolerance:
             break
-    return now
+    # Two rows: the sums of the sides.
+    return now.join(F.broadcast(now.groupBy("side").agg(F.sum("score").alias("whole"))), "side").select("side", "host", (F.col("score") / F.col("whole")).alias("score"))
+
+
+@contextlib.contextmanager
+def clustered(edges: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """``edges`` as a table in buckets of ``keys``, so that rounds of joins don't shuffle it again."""
+    spark = edges.sparkSession
+    path = shared_dir(spark, "ways")
+    name = "ways_" + path.rpartition("-")[2]
+    edges.write.option("path", path).bucketBy(shuffle_partitions(spark), *keys).sortBy(*keys).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(spark, path)
 
 
 def host_scores(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -105,9 +128,11 @@ def host_scores(pages: DataFrame, rules=RULES) -> DataFrame:
     links, link_path = stored(host_edges(pages), "links")
     ways = links.select(F.lit("trust").alias("side"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = ways.groupBy("side", "src").agg(F.sum("n").alias("whole"))
-    edges, edge_path = stored(ways.join(out, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("whole")).alias("share")), "ways")
-    ranks = propagate(edges, seeds)
-    for path in (seed_path, link_path, edge_path):
+    edges = ways.join(out, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("whole")).alias("share"))
+    with clustered(edges, "side", "src") as table:
+        ranks = propagate(table, seeds)
+        ranks, _ = stored(ranks, "ranks")
+    for path in (seed_path, link_path):
         drop_path(pages.sparkSession, path)
     side = lambda name: F.sum(F.when(F.col("side") == name, F.col("score")).otherwise(0.0)).alias(name)
     return ranks.groupBy("host").agg(side("trust"), side("distrust"))

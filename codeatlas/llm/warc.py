@@ -8,9 +8,15 @@ history of captures for every URL. Records are read back at the places the index
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest
 ``page_id`` carries the payload, and the others are revisits of it.
 
+A revisit is resolved by the page it refers to and by its own payload digest, so pages that share
+a ``page_id`` but not a payload are told apart. Archives carry their task attempt in their name and
+the index names them, so an attempt that was given up or comes late changes no file that is read.
+
 Edge cases: a null html is an empty payload, a null url an empty one; rows with a null
 ``page_id`` get records of their own and never carry a payload that others revisit; repeated
-rows give repeated records; an empty table gives no archive.
+rows give repeated records, and all rows with the largest ``page_id`` of a payload are responses;
+an empty table gives no archive; a record is held in memory as a whole, however long; columns
+other than ``page_id``, ``url`` and ``html`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,19 +28,20 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import drop_path, shared_dir, shuffle_partitions, small_batches, stored
+from codeatlas.llm.common import drop_path, mapped, qualified, shared_dir, shuffle_partitions, stored
 from codeatlas.llm.storage import created, opened
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 RUN_ROWS = 20_000
 MERGE_ROWS = 100_000
+MERGED_AT_ONCE = 5000
 FIRST_DATE = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -181,28 +188,28 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives below ``folder``; the entries of their sorted runs, in the columns of :data:`INDEX`."""
-    small_batches(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         context = TaskContext.get()
-        part, attempt = context.partitionId(), str(context.taskAttemptId())
-        rows = (row for batch in batches for row in batch.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False))
+        part, attempt = context.partitionId(), context.taskAttemptId()
+        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True))
         row, n = next(rows, None), 0
         while row is not None:
-            name, entries, at = f"{folder}/part-{part:06d}-{n:04d}.warc.gz", [], 0
-            with created(name, attempt) as file:
+            name, entries, at = f"{folder}/part-{part:06d}-{n:04d}-{attempt}.warc.gz", [], 0
+            with created(name) as file:
                 while row is not None and at < ARCHIVE_BYTES and len(entries) < RUN_ROWS:
-                    page, target = (None if pd.isna(x) else int(x) for x in (row.page_id, row.refers_to))
-                    member = write_record(page, row.url, row.html.encode(), target)
+                    page, url, html, target = row
+                    member = write_record(page, url, html.encode(), target)
                     file.write(member)
-                    entries.append((url_key(row.url), capture_time(page), page, name, at, len(member)))
+                    entries.append((url_key(url), capture_time(page), page, name, at, len(member)))
                     at += len(member)
                     row = next(rows, None)
             entries.sort(key=_sort_key)
-            yield _entries([(*e, i) for i, e in enumerate(entries)])
+            yield [(*e, i) for i, e in enumerate(entries)]
             n += 1
 
-    return with_revisits(pages).mapInPandas(run, INDEX)
+    return mapped(with_revisits(pages), run, INDEX)
 
 
 def _sort_key(entry: tuple) -> tuple:
@@ -210,29 +217,29 @@ def _sort_key(entry: tuple) -> tuple:
     return key, time, page is not None, page or 0, file, offset
 
 
-def _entries(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=INDEX.names).astype({"page_id": "Int64"})
-
-
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All runs as one ordered history: ``position`` counts captures from 0 over the whole index."""
     spark = runs.sparkSession
     total = runs.count()
     ranges = max(shuffle_partitions(spark), -(-total // MERGE_ROWS))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         pieces: dict[str, list[tuple]] = {}
         for batch in batches:
-            for entry in batch.astype({"page_id": "Int64"}).itertuples(index=False, name=None):
-                page = None if pd.isna(entry[2]) else int(entry[2])
-                pieces.setdefault(entry[3], []).append((*entry[:2], page, *entry[3:]))
-        merged = list(LoserTree([iter(p) for _, p in sorted(pieces.items())], _sort_key))
-        frame = _entries(merged)
-        yield frame.assign(range=TaskContext.get().partitionId(), nth=range(len(frame)))
+            for entry in zip(*(batch[name].to_pylist() for name in INDEX.names), strict=True):
+                pieces.setdefault(entry[3], []).append(entry)
+        tree = LoserTree([iter(p) for _, p in sorted(pieces.items())], _sort_key)
+        part, out = TaskContext.get().partitionId(), []
+        for nth, entry in enumerate(tree):
+            out.append((*entry, part, nth))
+            if len(out) == MERGED_AT_ONCE:
+                yield out
+                out = []
+        yield out
 
     dealt = runs.repartitionByRange(ranges, *_ORDER).sortWithinPartitions("file", "seq")
     schema = T.StructType([*INDEX.fields, T.StructField("range", T.LongType()), T.StructField("nth", T.LongType())])
-    merged, _ = stored(dealt.mapInPandas(merge, schema), "index")
+    merged, _ = stored(mapped(dealt, merge, schema), "index")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range: as many as partitions.
     starts = merged.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
@@ -255,13 +262,14 @@ READ = T.StructType(
 def read_archives(index: DataFrame) -> DataFrame:
     """Records at the places of ``index``; a revisit has size and digest of the payload it refers to."""
     spark = index.sparkSession
-    dealt = index.repartition(max(8, shuffle_partitions(spark)), "file").sortWithinPartitions("file", "offset").select("file", "offset", "length", "url_key", "position")
+    columns = ("file", "offset", "length", "url_key", "position")
+    dealt = index.repartition(max(8, shuffle_partitions(spark)), "file").sortWithinPartitions("file", "offset").select(*columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         name, file = None, None
         for batch in batches:
             rows = []
-            for at, offset, length, key, position in batch.itertuples(index=False):
+            for at, offset, length, key, position in zip(*(batch[c].to_pylist() for c in columns), strict=True):
                 if at != name:
                     if file is not None:
                         file.close()
@@ -270,39 +278,19 @@ def read_archives(index: DataFrame) -> DataFrame:
                 fields, payload = read_record(file.read(length))
                 kind = fields["warc-type"]
                 own = kind == "response"
-                rows.append(
-                    (
-                        page_of(fields["warc-record-id"]),
-                        len(payload) if own else None,
-                        hashlib.sha1(payload).hexdigest() if own else None,
-                        kind,
-                        page_of(fields.get("warc-refers-to")),
-                        key,
-                        position,
-                    )
-                )
-            yield pd.DataFrame(rows, columns=READ.names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                # A response's digest was tested against its payload; a revisit's is that of the payload it stands for.
+                digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+                rows.append((page_of(fields["warc-record-id"]), len(payload) if own else None, digest, kind, page_of(fields.get("warc-refers-to")), key, position))
+            yield rows
         if file is not None:
             file.close()
 
-    held, _ = stored(dealt.mapInPandas(run, READ), "records")
-    targets = held.where("record_type = 'revisit'").select(F.col("refers_to").alias("wanted")).distinct()
-    carriers, _ = stored(
-        held.where("record_type = 'response'")
-        .join(targets, F.col("page_id") == F.col("wanted"), "left_semi")
-        .groupBy(F.col("page_id").alias("carrier"))
-        .agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full")),
-        "carriers",
-    )
-    return held.join(carriers, F.col("refers_to") == F.col("carrier"), "left").select(
-        "page_id",
-        F.coalesce("payload_bytes", "full.payload_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "full.payload_digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        "url_key",
-        "position",
-    )
+    held, _ = stored(mapped(dealt, run, READ), "records")
+    targets = held.where("record_type = 'revisit'").select(F.col("refers_to").alias("carrier"), F.col("payload_digest").alias("wanted")).distinct()
+    responses = held.where("record_type = 'response'").select(F.col("page_id").alias("carrier"), F.col("payload_digest").alias("wanted"), F.col("payload_bytes").alias("full_bytes"))
+    carriers, _ = stored(responses.join(targets, ["carrier", "wanted"], "left_semi").distinct(), "carriers")
+    found = held.join(carriers, (F.col("refers_to") == F.col("carrier")) & (F.col("payload_digest") == F.col("wanted")), "left")
+    return found.withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).select(*READ.names)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
