@@ -9,28 +9,36 @@ do nearly all beyond it: at similarity 0.75 a pair is missed with a chance of on
 
 Buckets never emit all their pairs. First every member is linked to its bucket's smallest
 member, its leader. After full-set checks and components of those links, only buckets that
-still hold more than one component go on, and only pairs across components are looked at:
-signatures first, which gives clusters, then the full sets within a cluster, two blocks of
-rows at a time.
+still hold more than one component go on. The rows of a bucket's largest component are its base,
+the others are open. Star rounds link each open row to one base member, another one in each round,
+as long as a tenth of the tried pairs turn out to be links. Of what is left only pairs across
+components are looked at: signatures first, which gives clusters, then the full sets within a
+cluster. Base rows aren't compared with each other: blocks of open rows meet blocks of the base and
+each other, two at a time, so that a row is copied as often as there are blocks of open rows.
 Texts with the same shingle set are one class, which enters with its smallest ``doc_id``.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer words
-than a shingle are one unit; rows with a null ``doc_id`` are their own row with a null component;
-rows that share a ``doc_id`` are one node.
+than a shingle are one unit; rows with a null ``doc_id`` are their own row with a null component
+(and a null ``kept``); rows that share a ``doc_id`` are one node, which has the links of all of them;
+texts are read whole, a class of very long ones being compared as sorted hashes; an empty table
+gives an empty one; columns other than ``doc_id`` and ``text`` are not read by :func:`near_dedup`,
+and handed on as they are by :func:`keep_first`, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.common import drop_path, release, shuffle_partitions, small_batches, stored
+from codeatlas.llm.common import drop_path, fresh, mapped, release, shuffle_partitions, small_batches, stored
 from codeatlas.llm.components import connected_components
 
 WIDTH = 5
@@ -121,20 +129,19 @@ SKETCH = T.StructType(
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Size, 128-bit hash and signature of each row's shingle set; null for an empty set."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 held = shingle_set(text)
                 if len(held):
                     rows.append((doc, len(held), xxhash.xxh3_128_digest(held.tobytes()), signature(held).tobytes()))
                 else:
                     rows.append((doc, 0, None, None))
-            yield pd.DataFrame(rows, columns=SKETCH.names)
+            yield rows
 
-    return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
+    return mapped(docs.select("doc_id", "text"), run, SKETCH)
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -196,16 +203,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, group: str, size: int, counted: DataFrame | None = None) -> DataFrame:
-    """Deal the rows of each group into pairs of blocks ``p <= q``: any two rows meet, and no task holds a large group.
+    """Deal the rows of each group into pairs of blocks: any two of different components meet, and no task holds a large group.
 
-    Adds ``p, q`` and ``mine``, the row's own block. ``counted`` has the same groups in fewer
-    columns, for counting.
+    The largest component (column ``part``) of a group is its base; its blocks come first and
+    meet only those of the other rows. Adds ``p <= q`` and ``mine``, the row's own block.
+    ``counted`` has the same groups and components in fewer columns, for counting.
     """
     spark = rows.sparkSession
-    counts, _ = stored((rows if counted is None else counted).groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks")), "blocks")
-    placed = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    both = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    paired = both.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("other", "n_blocks")
+    parts = (rows if counted is None else counted).groupBy(group, "part").agg(F.count("*").alias("n"))
+    blocks_of = lambda n: F.ceil(n / size).cast("int")
+    counts, _ = stored(
+        parts.groupBy(group)
+        .agg(F.max(F.struct("n", "part")).alias("base"), F.sum("n").alias("n"))
+        .select(group, F.col("base.part").alias("base"), blocks_of(F.col("base.n")).alias("in_base"), blocks_of(F.col("n") - F.col("base.n")).alias("in_open")),
+        "blocks",
+    )
+    placed = rows.join(counts, group).withColumn("is_base", F.col("part") == F.col("base"))
+    hashed = F.xxhash64("id")
+    mine = F.when(F.col("is_base"), F.pmod(hashed, F.col("in_base"))).otherwise(F.col("in_base") + F.pmod(hashed, F.greatest("in_open", F.lit(1)))).cast("int")
+    first = F.when(F.col("is_base"), F.col("in_base")).otherwise(0)
+    last = F.col("in_base") + F.col("in_open") - 1
+    # A group of one component has no open rows and no pairs.
+    both = placed.where("in_open > 0").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(first, last)))
+    paired = both.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).drop("other", "base", "in_base", "in_open", "is_base")
     return paired.repartition(max(8, shuffle_partitions(spark)), group, "p", "q").sortWithinPartitions(group, "p", "q", "id")
 
 
@@ -330,8 +350,8 @@ def links_across(clusters: DataFrame, parts: DataFrame, classes: DataFrame, docs
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from in_frames(map(linked, each_group(batches, "cluster")))
 
-    placed = clusters.join(parts.select("id", F.col("component").alias("held")), "id", "left").join(classes.select("id", "n", "signature"), "id")
-    rows, _ = stored(placed.select("cluster", "id", F.coalesce("held", "id").alias("part"), "n", "signature"), "placed")
+    placed = clusters.join(parts, "id").join(classes.select("id", "n", "signature"), "id")
+    rows, _ = stored(placed.select("cluster", "id", "part", "n", "signature"), "placed")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     return blocks(rows.hint("merge").join(texts, "id"), "cluster", TEXT_BLOCK, rows).mapInPandas(run, "u long, v long")
 
@@ -367,18 +387,19 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     parts, _ = stored(connected_components(first), "components")
 
     # What is left: pairs under one key that are not in one component yet.
-    part = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"{name}_part"))
-    placed = shared.select("key", "id", "n").join(part("id"), "id", "left").withColumn("part", F.coalesce("id_part", "id")).select("key", "id", "n", "part")
-    mixed, _ = stored(placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key"), "mixed")
-    open_rows, open_path = stored(placed.join(mixed, "key", "left_semi"), "open")
+    part = parts.select("id", "component")
+    placed = shared.select("key", "id", "n").join(part, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
+    open_rows, open_path = stored(_still_mixed(placed), "open")
     drop_path(spark, shared_path)
+    open_rows, more = star_rounds(open_rows, docs)
     clusters, _ = stored(close_clusters(open_rows, classes), "clusters")
+    held_parts, _ = stored(open_rows.select("id", "part").distinct(), "parts")
     drop_path(spark, open_path)
     drop_path(spark, star_path)
     release(spark)
-    second, _ = stored(links_across(clusters, parts, classes, docs), "links")
+    second, _ = stored(links_across(clusters, held_parts, classes, docs), "links")
     release(spark)
-    links = first.unionByName(second)
+    links = reduce(DataFrame.unionByName, [first, *more, second])
     whole, _ = stored(connected_components(links), "components")
     reached = classes.join(whole, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     return held.join(reached, "set_hash", "left").select(
@@ -386,7 +407,47 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def _still_mixed(rows: DataFrame) -> DataFrame:
+    """The rows (``key, id, n, part``) of buckets with more than one component."""
+    mixed, _ = stored(rows.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key"), "mixed")
+    return rows.join(mixed, "key", "left_semi")
+
+
+def star_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """``u, v``: each open row with the base member, chosen by the round's ``number``, that it met under most keys."""
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", F.lit(number)), "id", "n")).alias("lead"))
+    bases, _ = stored(
+        parts.groupBy("key").agg(F.max(F.struct("size", "part", "lead")).alias("base")).select("key", F.col("base.part").alias("base"), F.col("base.lead.id").alias("u"), F.col("base.lead.n").alias("u_n")), "bases"
+    )
+    met = rows.join(bases, "key").where("part != base").where(near_size("n", "u_n")).groupBy("u", F.col("id").alias("v")).agg(F.count("*").alias("met"))
+    best = met.groupBy("v").agg(F.max(F.struct("met", (-F.col("u")).alias("u"))).alias("best"))
+    return best.select((-F.col("best.u")).alias("u"), "v")
+
+
+def star_rounds(rows: DataFrame, docs: DataFrame, number: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of buckets that are still mixed, and the links found, after star rounds with ever new leaders."""
+    spark, links = rows.sparkSession, []
+    while True:
+        number += 1
+        pairs, pair_path = stored(star_pairs(rows, number), "stars")
+        tried = pairs.count()
+        found, _ = stored(confirmed(pairs, docs), "links")
+        drop_path(spark, pair_path)
+        new = found.count()
+        if new:
+            links.append(found)
+            held = rows.select("id", "part").distinct()
+            ends = found.join(held.withColumnsRenamed({"id": "u", "part": "a"}), "u").join(held.withColumnsRenamed({"id": "v", "part": "b"}), "v")
+            joined, _ = stored(connected_components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+            moved = rows.join(joined.select(F.col("id").alias("part"), "component"), "part", "left").select("key", "id", "n", F.coalesce("component", "part").alias("part"))
+            rows, _ = stored(_still_mixed(moved), "open")
+        release(spark)
+        if new * 10 <= tried:
+            return rows, links
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is its group's smallest, and rows without one."""
-    dropped = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    name = fresh("dropped_id", docs)
+    dropped = near_dedup(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col(name), "left_anti")

@@ -106,16 +106,16 @@ def _in_runs(by: str) -> Column:
     return F.col("unit") - F.row_number().over(Window.partitionBy(by).orderBy("unit"))
 
 
-def repeated_passages(docs: DataFrame, by: str = "line", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, by: str = "line", passage_words: int = PASSAGE_WORDS, row: str | None = None) -> DataFrame:
     """Passages to remove: ``row, doc_id, start, end, n_words, n_units, copies, keep_doc_id, keep_start, whole_lines``.
 
     One row for each run of neighbouring sentences that go; ``whole_lines`` says that all of
     them lie in repeated lines (or paragraphs). ``copies`` is the largest number of occurrences of one
     of its sentences, and ``keep_doc_id, keep_start`` name the earliest occurrence of its first.
+    ``row`` names a column that tells the rows of ``docs`` apart, if there is one.
     """
-    if "row" not in docs.columns:
-        docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"))
     held, path = stored(hashed_units(docs, by), "units")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     groups, _ = stored(held.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "repeats")
@@ -168,7 +168,7 @@ def without_repeats(docs: DataFrame, by: str = "line", passage_words: int = PASS
     """
     row, removed, shorter = fresh("row", docs), fresh("removed", docs), fresh("shorter", docs)
     numbers, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    passages = repeated_passages(numbers.select(F.col(row).alias("row"), "doc_id", "text"), by, passage_words)
+    passages = repeated_passages(numbers, by, passage_words, row)
     spans = passages.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(removed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

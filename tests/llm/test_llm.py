@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,11 +36,11 @@ AWKWARD = [
 ]
 
 
-def table(spark, rows, folder=None):
+def table(spark, rows, parts=3):
     full = [(i, t, "en", "s", len(t or ""), "d", "k") for i, t in rows]
     df = spark.createDataFrame(full, SCHEMA)
     path = shared_dir(spark, "given")
-    df.repartition(3).write.parquet(path)
+    df.repartition(parts).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -58,6 +59,61 @@ def documents(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")
 
 
+# -- exact 64-bit ids -------------------------------------------------------------
+
+BIG = [1 << 53, (1 << 53) + 1, None, (1 << 62) + 1, -(1 << 60) - 1]
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    """Ids beyond 2^53 with a null in one Arrow batch, through every operator and pipeline stage."""
+    texts = [f"wholly different words number {'abcdefgh'[i]} stand here alone {'xyzuvw'[i]} today" for i in range(len(BIG))]
+    rows = list(zip(BIG, texts, strict=True))
+    docs = table(spark, rows, parts=1)
+    labels = spark.createDataFrame([(BIG[0], 1), (BIG[1], 0)], "doc_id long, toxic int")
+    pages = spark.createDataFrame([(i, "http://a.org/", t * 30) for i, t in rows], "page_id long, url string, html string").coalesce(1)
+    model = toxicity.learn(docs, labels)
+    results = {
+        "exact": exact_dedup.exact_dedup(docs),
+        "toxicity": toxicity.scores(docs, model),
+        "near": near_dedup.near_dedup(docs),
+        "packing": packing.best_fit_pack(docs),
+        "secrets": secrets.secret_spans(docs),
+        "bpe": bpe.encoding_digests(docs),
+        "media": media.media_digests(media.to_media(docs)),
+        "archives": warc.archive_round_trip(pages),
+        "units": substring_dedup.hashed_units(docs.withColumn("row", F.lit(1))).select("doc_id").distinct(),
+        "url": url_filter.judge(pages),
+        "below": toxicity.keep_below(docs, toxicity.fit([], [], [])),
+        "best": exact_dedup.keep_best(docs),
+        "first": near_dedup.keep_first(docs),
+        "redacted": secrets.redact(docs),
+        "cut": substring_dedup.without_repeats(docs),
+    }
+    for name, df in results.items():
+        assert Counter(r[0] for r in df.select("page_id" if "page_id" in df.columns else "doc_id").collect()) == Counter(BIG), name
+    assert all(r.component_id == r.doc_id for r in results["near"].collect())
+
+
+def test_clashing_names(spark):
+    """Extra columns with names that operators use, of other types, come through every stage of the pipeline."""
+    names = ["_id", "_file", "_row", "file", "row", "digest", "removed", "kept", "keep_id", "component", "component_id", "best", "n", "u", "v", "key", "part", "score", "predicted", "id", "size", "dropped_id", "ids", "piece", "length"]
+    docs = table(spark, [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "db_pwd = 'q7Rm2xVt9KpL'"), (None, None)])
+    docs = docs.drop("n_chars", "digest", "key").withColumn("n_chars", F.lit("many")).withColumns({c: F.lit(f"{c}!") for c in names})
+    path = shared_dir(spark, "clash")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for stage, left in ((lambda d: toxicity.keep_below(d, toxicity.fit([], [], [])), 4), (exact_dedup.keep_best, 3), (near_dedup.keep_first, 3), (secrets.redact, 4), (substring_dedup.without_repeats, 4)):
+        out = stage(docs)
+        assert out.columns[: len(docs.columns)] == docs.columns and out.count() == left
+        assert {r[0] for r in out.select("_row").collect()} == {"_row!"} and {r[0] for r in out.select("n_chars").collect()} == {"many"}
+    for df in (toxicity.toxicity(docs, labels), exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs), packing.best_fit_pack(docs), secrets.secret_spans(docs), bpe.encoding_digests(docs), media.media_digests(media.to_media(docs)), substring_dedup.hashed_units(docs.drop("row").withColumn("row", F.lit(1)))):
+        assert df.count() >= 3
+    assert substring_dedup.repeated_passages(docs).count() == 1
+    pages = spark.createDataFrame([(1, "http://a.org/", "x", 1, 2, 3)], "page_id long, url string, html string, host int, verdict int, digest int")
+    assert url_filter.judge(pages).count() == warc.archive_round_trip(pages).count() == 1
+
+
 # -- exact dedup ----------------------------------------------------------------
 
 
@@ -88,6 +144,22 @@ def test_exact_splits_digest_collisions(spark, awkward):
     assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == wanted
 
 
+@pytest.mark.parametrize("short", [False, True])
+def test_exact_state_is_retained(spark, short):
+    """Three runs on one folder give what one run over all rows gives, collisions included."""
+    runs = [AWKWARD[:6], AWKWARD[6:], [(11, "one  two"), (0, None), (12, "new here")]]
+    folder = shared_dir(spark, "retained")
+    digest = F.substring(F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256), 1, 1) if short else None
+    seen = []
+    for rows in runs:
+        seen += rows
+        got = exact_dedup.exact_dedup(table(spark, rows), digest=digest, state_folder=folder).collect()
+        mine = Counter((i, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()) for i, t in rows)
+        wanted = {k: (keep, n) for (_, keep, n, k) in plain_exact(seen)}
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == sum((Counter({(i, *wanted[k]): n}) for (i, k), n in mine.items()), Counter())
+    assert sum(r.kept for r in got) == 2  # the longer spelling of a text, and a new text
+
+
 def test_exact_empty(nothing):
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
@@ -149,6 +221,39 @@ def test_near_awkward(awkward, nothing):
     assert near_dedup.keep_first(awkward).columns == awkward.columns
 
 
+def test_hot_group_equals_exact_join(spark, monkeypatch):
+    """A group of variants around the threshold, many blocks of it, against all pairs."""
+    monkeypatch.setattr(near_dedup, "KEY_BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(700):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            copy[at] = f"z{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 60))) for i in range(100)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(table(spark, rows)).collect()}
+    wanted = plain_near(rows)
+    assert got == wanted and 50 < len({c for _, c in wanted.values()}) < 700
+
+
+def test_blocks_meet_all_open_pairs(spark):
+    rows = [(g, i, part) for g, sizes in ((1, (40, 3, 3, 1)), (2, (5,)), (3, (1, 1))) for part, n in enumerate(sizes) for i in range(part * 100, part * 100 + n)]
+    table_ = spark.createDataFrame(rows, "key long, id long, part long")
+    met, copies = defaultdict(set), Counter()
+    for (g, *_), held in pd.DataFrame([r.asDict() for r in near_dedup.blocks(table_, "key", 4).collect()]).groupby(["key", "p", "q"]):
+        ids = held["id"].tolist()
+        assert len(ids) <= 30
+        copies.update((g, i) for i in ids)
+        met[g] |= {(a, b) for a in ids for b in ids}
+    parts = {(g, i): part for g, i, part in rows}
+    for (g, a), x in parts.items():
+        assert all((a, b) in met[g] for (h, b), y in parts.items() if h == g and x != y)
+    assert max(n for (g, i), n in copies.items() if parts[g, i] == 0) <= 2  # base rows meet open blocks alone
+
+
 def test_chunks_meet_under_the_distance():
     rng = np.random.default_rng(1)
     for _ in range(50):
