@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,15 +38,14 @@ def plain_tokens(col: Column | str) -> Column:
     return F.filter(F.split(folded(F.coalesce(col, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
+#: Stems that a worker process keeps from batch to batch.
+STEMS = 200_000
+_stem = lru_cache(maxsize=STEMS)(stem)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-
-    def of(token: str) -> str:
-        found = known.get(token)
-        if found is None:
-            found = known[token] = stem(token)
-        return found
+    from codeatlas.functions.analyzer import _stem as of  # the process's own table, not a copy sent along
 
     return tokens.map(lambda words: [of(w) for w in words])
 

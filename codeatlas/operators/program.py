@@ -2,8 +2,8 @@
 
 The parser hands on facts by file; here they meet. A name is followed through imports and
 re-exports to the file that declares it, and a chain like ``deps.store.save`` from type to type
-until its last step names a method and its class. Re-exports are followed to their end, member
-chains for a fixed number of steps.
+until its last step names a method and its class. Re-exports and member chains are followed to
+their end.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 3
+from codeatlas.shared import stored
 
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def in_memory(df: DataFrame, _: str) -> DataFrame:
-    return df.localCheckpoint()  # without its lineage: plans don't grow with the rounds
+def in_shared_folder(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]  # without its lineage: plans don't grow with the rounds
 
 
 def facts(rows: DataFrame, kind: str, **names: str) -> DataFrame:
@@ -36,7 +36,7 @@ def key_of(path: Column) -> Column:
     return F.regexp_replace(plain, r"(^|/)index$", "")
 
 
-def definitions(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
+def definitions(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """``key, exported, def_key, def_name``: where an exported name of a module is declared.
 
     Each round follows re-exports one step further, until nothing is found; ``keep`` stores a
@@ -69,7 +69,7 @@ def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:
     return imports.join(known, ["module", "original"]).select("path", "local", "def_key", "def_name").distinct()
 
 
-def semantic_refs(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
+def semantic_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """``path, source, target_name, target_parent`` that follow from imports and declared types."""
     bound = keep(bindings(rows, definitions(rows, keep)), "bindings")
     chains = facts(rows, "chain", a="source", b="root", c="steps").withColumns({"id": F.concat_ws(":", "path", F.lpad(F.col("ord").cast("string"), 9, "0")), "steps": F.filter(F.split("steps", r"\."), lambda x: x != "")})
@@ -83,10 +83,11 @@ def semantic_refs(rows: DataFrame, keep: Keep = in_memory) -> DataFrame:
         key_of(F.col("path")).alias("key"), F.col("owner").alias("type"), "member", F.coalesce("def_key", key_of(F.col("path"))).alias("next_key"), F.coalesce("def_name", "of").alias("next_type")
     )
     methods = facts(rows, "method", a="type", b="method").select(key_of(F.col("path")).alias("key"), "type", "method").distinct()
-    out, now = [called], at.where(F.size("steps") > 0)
-    for _ in range(STEPS):
+    out, now = [called], keep(at.where(F.size("steps") > 0), "chains_0")
+    for step in count(1):  # each step takes a member off every chain
         last = now.where(F.size("steps") == 1).withColumn("method", F.element_at("steps", 1))
         out.append(last.join(methods, ["key", "type", "method"]).select("path", "source", F.col("method").alias("target_name"), F.col("type").alias("target_parent")))
         more = now.where(F.size("steps") > 1).withColumn("member", F.element_at("steps", 1))
-        now = more.join(placed, ["key", "type", "member"]).select("id", "path", "source", F.slice("steps", 2, 99).alias("steps"), F.col("next_key").alias("key"), F.col("next_type").alias("type"))
-    return reduce(DataFrame.unionByName, out).distinct()
+        now = keep(more.join(placed, ["key", "type", "member"]).select("id", "path", "source", F.expr("slice(steps, 2, size(steps) - 1)").alias("steps"), F.col("next_key").alias("key"), F.col("next_type").alias("type")), f"chains_{step}")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, out).distinct()

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeatlas.shared import stored
+
 #: After so many steps the pairs of an alias closure are written together, to keep partitions few.
 MERGED_STEPS = 16
 
@@ -27,22 +29,24 @@ def resolve_targets(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``refs``: ``ref_id, source_id, source_file, target_name, target_parent``; ``symbols``: ``id,
     name, parent_name, file_id, path, start_line, exported``. Among symbols of that name those
     with the wanted parent come first, all others only if there are none; then the same file,
-    then exported ones, then the first by place. The choice is a minimum, so a popular name is
-    reduced before it is shuffled.
+    then exported ones, then the first by place. Symbols are reduced to the best one for each name,
+    with and without file and parent, before references meet them, so each reference joins at
+    most four rows however popular its name is.
     """
-    named = symbols.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), "parent_name", "file_id", "path", "start_line", "exported")
-    joined = refs.join(named, "target_name")
-    misplaced = F.col("target_parent").isNotNull() & ~F.col("parent_name").eqNullSafe(F.col("target_parent"))
-    choice = F.struct(
-        misplaced.alias("a"),
-        (F.col("file_id") != F.col("source_file")).alias("b"),
-        F.when(F.col("file_id") == F.col("source_file"), F.lit(False)).otherwise(~F.col("exported")).alias("c"),
-        F.col("path").alias("d"),
-        F.col("start_line").alias("e"),
-        F.col("target_id").alias("target_id"),
-    )
-    best = joined.groupBy("ref_id", "source_id").agg(F.min(choice).alias("best"))
-    return best.select("ref_id", "source_id", F.col("best.target_id").alias("target_id"))
+    first = F.struct(~F.col("exported"), "path", "start_line", "id")
+    named = symbols.select(F.col("name").alias("target_name"), F.col("parent_name").alias("target_parent"), F.col("file_id").alias("source_file"), F.col("id").alias("id"), "path", "start_line", "exported")
+
+    def best(*keys: str) -> DataFrame:
+        # Within a file the path is the same, and being exported makes no difference.
+        order = F.struct("start_line", "id") if "source_file" in keys else first
+        rows = named.where("target_parent is not null") if "target_parent" in keys else named
+        return rows.groupBy(*keys).agg(F.min(order)["id"].alias("_".join(["id", *keys])))
+
+    found, choices = refs, []
+    for keys in (["target_name", "target_parent", "source_file"], ["target_name", "target_parent"], ["target_name", "source_file"], ["target_name"]):
+        found = found.join(best(*keys), keys, "left")
+        choices.append("_".join(["id", *keys]))
+    return found.select("ref_id", "source_id", F.coalesce(*choices).alias("target_id")).where("target_id is not null")
 
 
 def alias_closure(edges: DataFrame) -> DataFrame:
@@ -50,10 +54,9 @@ def alias_closure(edges: DataFrame) -> DataFrame:
 
     ``edges``: ``name, target``, where cycles and self loops may occur. Pairs that are new in a
     step are all that the next one extends; the loop ends when there are none. Each step's pairs
-    are cut from their lineage, so that plans don't grow with the depth.
+    are written to the shared folder, so that plans don't grow with the depth.
     """
-    shared = bool(edges.sparkSession.sparkContext.getCheckpointDir())
-    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    cut = lambda df: stored(df, "aliases")[0]
     steps = cut(edges.where("name != target").distinct())
     names = edges.select("name").union(edges.select("target")).distinct()
     known = fresh = cut(names.select("name", F.col("name").alias("reach")))

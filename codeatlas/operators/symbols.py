@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,23 +81,54 @@ def parse_selectors(queries: DataFrame) -> DataFrame:
     )
 
 
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def _like(col: Column, pattern: Column) -> Column:
+    """LIKE of a pattern column made from a raw term, with its wildcards live."""
+    return F.like(col, F.concat(F.lit("%"), F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+
+
+def _fitting(rows: DataFrame) -> DataFrame:
+    """Rows whose parent and path are those that their query asks for."""
+    parent = ascii_lower(F.coalesce("parent_name", F.lit("")))
+    return rows.where(F.col("container").isNull() | (parent == F.col("container"))).where(F.col("path_hint").isNull() | _like(ascii_lower("path"), F.col("path_hint")))
+
+
+#: Length of the substrings by which contained names are found.
+GRAM = 3
+
+
+def _literal(term: Column) -> Column:
+    """The longest stretch of a term without wildcards; the first of equal ones."""
+    parts = F.split(term, "[%_]")
+    return F.element_at(F.filter(parts, lambda x: F.length(x) == F.array_max(F.transform(parts, F.length))), 1)
+
+
+def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """``symbol, folded``: terms and the names that contain them, by an equi-join on substrings.
+
+    ``names``: ``folded``; ``terms``: ``symbol``; both distinct. A term is looked up by the first
+    ``GRAM`` characters of its longest literal stretch, or all of it if it is shorter, and names by
+    all their substrings of such lengths; LIKE then decides. A term of wildcards alone meets
+    all names.
+    """
+    asked = terms.withColumn("gram", F.substring(_literal(F.col("symbol")), 1, GRAM)).withColumn("size", F.length("gram"))
+    sizes = asked.select("size").distinct()  # at most GRAM + 1 rows
+    places = F.sequence(F.lit(1), F.greatest(F.length("folded") - F.col("size") + 1, F.lit(1)))
+    grams = names.join(F.broadcast(sizes)).select("folded", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("folded"), i, F.col("size"))))).alias("gram"))
+    met = grams.join(asked.select("gram", "symbol"), "gram")
+    return met.where(_like(F.col("folded"), F.col("symbol"))).select("symbol", "folded").distinct()
 
 
 def lookup_batch(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """Exact lookup of many selectors: one equi-join on the folded name, then top-k by query."""
+    """Lookup of many selectors: exact names, or contained ones for selectors without; then top-k by query."""
     parsed = parse_selectors(queries)
     placed = place(symbols, files).withColumn("folded", ascii_lower("name"))
-    joined = placed.join(parsed, placed.folded == parsed.symbol)
-    fits = _all(
-        [
-            F.col("container").isNull() | (ascii_lower(F.coalesce("parent_name", F.lit(""))) == F.col("container")),
-            F.col("path_hint").isNull() | F.contains(ascii_lower("path"), F.col("path_hint")),
-        ]
-    )
+    exact = _fitting(placed.join(parsed, placed.folded == parsed.symbol))
+    loose = parsed.join(exact.select("qid").distinct(), "qid", "left_anti")
+    pairs = contained(placed.select("folded").distinct(), loose.select("symbol").distinct())
+    near = _fitting(placed.join(pairs, "folded").join(loose, "symbol"))
+    joined = exact.select(*placed.columns, *parsed.columns).unionByName(near.select(*placed.columns, *parsed.columns))
     top_level = F.when(ascii_lower(F.coalesce("parent_name", F.lit(""))) == F.coalesce("container", F.lit("")), 0).otherwise(1)
-    ranked = joined.where(fits).withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(top_level, F.col("exported").desc(), "path", "start_line", "id")))
+    ranked = joined.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(top_level, F.col("exported").desc(), "path", "start_line", "id")))
     return ranked.where(F.col("nth") <= limit)
 
 

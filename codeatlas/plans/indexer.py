@@ -13,7 +13,7 @@ from codeatlas.functions.text import is_source, signature_of
 from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
-from codeatlas.operators.program import Keep, facts, in_memory, semantic_refs
+from codeatlas.operators.program import Keep, facts, in_shared_folder, semantic_refs
 from codeatlas.operators.relations import dedupe_targets, resolve_targets
 from codeatlas.plans.providers import resolve_provider
 from codeatlas.sources.parser import parse_files
@@ -30,7 +30,7 @@ def _highest(df: DataFrame) -> int:
     return df.agg(F.max("id")).first()[0] or 0
 
 
-def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_memory) -> DataFrame:
+def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """Edges of the whole program: references of each file and across files, resolved to symbols.
 
     ``parsed``: facts of all files; ``symbols`` and ``files``: their stored rows.

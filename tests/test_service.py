@@ -8,51 +8,20 @@ import pytest
 from codeatlas.plans.service import CodeAtlas
 from codeatlas.sources.config import InvalidInput, check_query, config_path, find_root, parse_config
 
+#: One rule of the call graph to a file, on watering a greenhouse.
 FILES = {
-    "tool.ts": "export function tool() {\n  return 1;\n}\n",
-    "motor.ts": "export default class Motor {\n  spin() {\n    return tool();\n  }\n}\n\nfunction tool() {\n  return 2;\n}\n",
-    "barrel.ts": "export { tool as sharedTool } from './tool';\n",
-    "flow.ts": """import { tool as grabTool } from './tool';
-import MyMotor from './motor';
-import * as toolApi from './tool';
-import { sharedTool as lastTool } from './barrel';
-
-export function beginShow() {
-  const m = new MyMotor();
-  lastTool();
-  toolApi.tool();
-  m.spin();
-  return grabTool();
-}
-
-export class ShowControl {
-  tool() {
-    return grabTool();
-  }
-
-  begin() {
-    const other = new MyMotor();
-    other.spin();
-    return this.tool();
-  }
-}
-""",
-    "cases.ts": "export class TakeForm {\n  async execute() {\n    return 1;\n  }\n}\n\nexport class TakeChat {\n  async execute() {\n    return 2;\n  }\n}\n",
-    "routes.ts": """import { TakeChat, TakeForm } from './cases';
-
-interface Deps {
-  takeForm: TakeForm;
-  takeChat: TakeChat;
-}
-
-export async function formRoute(deps: Deps) {
-  return deps.takeForm.execute();
-}
-
-export async function chatRoute(deps: Deps) {
-  return deps.takeChat.execute();
-}
-""",
+    # Same name in two files, one of them private; an arrow function beside a plain one.
+    "journal.ts": "export function log(line: string) {\n  return line.length;\n}\n\nexport const quiet = (line: string) => log(line.trim());\n",
+    "valve.ts": "function log() {}\n\nexport default class Valve {\n  drain() {\n    log();\n    return this.open();\n  }\n\n  open() {\n    return 5;\n  }\n}\n",
+    # Re-exports under other names, a default one too.
+    "index.ts": "export { default as Tap } from './valve';\nexport { log as record } from './journal';\n",
+    "plans/evening.ts": "import { log as note } from '../journal';\n\nexport function evening() {\n  const scribble = note;\n  scribble('dusk');\n}\n",
+    "plans/morning.ts": "import Gate from '../valve';\n\nexport function morning() {\n  const gate = new Gate();\n  gate.drain();\n}\n",
+    "plans/night.ts": "import { record } from '..';\n\nexport function night() {\n  record('stars');\n}\n",
+    "plans/noon.ts": "import * as journal from '../journal';\n\nexport const noon = () => journal.quiet('sun');\n",
+    # One method name in two classes, told apart by the declared types of members.
+    "probes.ts": "export class AirProbe {\n  sample() {\n    return 20;\n  }\n}\n\nexport class SoilProbe {\n  sample() {\n    return 0.3;\n  }\n}\n",
+    "station.ts": "import { AirProbe, SoilProbe } from './probes';\n\ninterface Bench {\n  air: AirProbe;\n  soil: SoilProbe;\n}\n\nexport class Climate {\n  constructor(private bench: Bench) {}\n\n  warm() {\n    return this.bench.air.sample() > 25;\n  }\n}\n\nexport const wet = (bench: Bench) => bench.soil.sample() > 0.5;\n",
 }
 
 
@@ -64,13 +33,13 @@ def put(root, name, text):
 @pytest.fixture(scope="module")
 def atlas(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("repo"))
-    os.makedirs(f"{root}/src")
+    os.makedirs(f"{root}/src/plans")
     with open(f"{root}/package.json", "w", encoding="utf-8") as file:
         file.write("{}")
     for name, text in FILES.items():
         put(root, name, text)
     atlas = CodeAtlas(spark, root)
-    assert atlas.query("tool")["error"]["code"] == "REPO_NOT_INITIALIZED"
+    assert atlas.query("log")["error"]["code"] == "REPO_NOT_INITIALIZED"
     assert atlas.doctor()["summary"] == "warning"
     assert atlas.init()["already_initialized"] is False and atlas.init()["already_initialized"] is True
     with open(config_path(root), encoding="utf-8") as file:
@@ -79,8 +48,8 @@ def atlas(spark, tmp_path_factory):
     with open(config_path(root), "w", encoding="utf-8") as file:
         json.dump(config, file)
     result = atlas.index()
-    assert {k: result[k] for k in ("ok", "scanned", "inserted", "updated", "removed")} == {"ok": True, "scanned": 6, "inserted": 6, "updated": 0, "removed": 0}
-    assert result["symbols"] == result["chunks"] == 17
+    assert {k: result[k] for k in ("ok", "scanned", "inserted", "updated", "removed")} == {"ok": True, "scanned": 9, "inserted": 9, "updated": 0, "removed": 0}
+    assert result["symbols"] == result["chunks"] == 21
     return atlas
 
 
@@ -89,31 +58,39 @@ def names(result, side):
 
 
 def test_lookup(atlas):
-    hits = atlas.symbol("tool")["hits"]
-    assert len(hits) == 3 and "parent_symbol_name" not in hits[0] and hits[-1]["parent_symbol_name"] == "ShowControl"
-    assert [h["symbol_name"] for h in atlas.symbol("routes.ts#route")["hits"]] == ["chatRoute", "formRoute"][::-1]
+    hits = atlas.symbol("log")["hits"]
+    assert [(h["file_path"], h["exported"]) for h in hits] == [("src/journal.ts", True), ("src/valve.ts", False)]
+    assert [h["parent_symbol_name"] for h in atlas.symbol("sample")["hits"]] == ["AirProbe", "SoilProbe"]
+    assert [h["symbol_name"] for h in atlas.symbol("plans/n#n")["hits"]] == ["night", "noon"]
     assert atlas.symbol("")["error"]["code"] == "INVALID_INPUT"
 
 
 def test_callers(atlas):
-    assert {"beginShow", "tool", "sharedTool"} <= set(names(atlas.callers("tool"), "caller"))
-    assert names(atlas.callers("Motor.spin"), "caller") == ["beginShow", "begin"]
-    assert names(atlas.callers("src/cases.ts#TakeForm.execute"), "caller") == ["formRoute"]
-    assert names(atlas.callers("TakeChat.execute"), "caller") == ["chatRoute"]
-    assert len(atlas.callers("src/motor.ts#tool")["matched_symbols"]) == 1
+    called = lambda selector: set(names(atlas.callers(selector), "caller"))
+    assert called("src/journal.ts#log") == {"quiet", "evening", "record", "night"}  # directly, by alias, re-export and barrel
+    assert called("src/valve.ts#log") == {"drain"}
+    assert called("quiet") == {"noon"}  # by namespace
+    assert called("Valve.drain") == {"morning"} and called("Valve.open") == {"drain"}  # by default import, and this
+    assert called("Valve") == {"morning"}  # a re-exported default has no name that could be followed
+    assert called("src/probes.ts#SoilProbe.sample") == {"wet"} and called("AirProbe.sample") == {"warm"}
+    assert len(atlas.callers("src/probes.ts#AirProbe.sample")["matched_symbols"]) == 1 and len(atlas.callers("sample")["matched_symbols"]) == 2
 
 
 def test_callees(atlas):
-    assert {"Motor", "spin", "sharedTool", "tool"} <= set(names(atlas.callees("beginShow"), "callee"))
-    assert {"Motor", "spin", "tool"} == set(names(atlas.callees("ShowControl.begin"), "callee"))
+    called = lambda selector: set(names(atlas.callees(selector), "callee"))
+    assert called("morning") == {"Valve", "drain"}
+    assert called("night") == {"record", "log"}
+    assert called("src/plans/noon.ts#noon") == {"quiet"}
+    assert called("Climate.warm") == called("wet") == {"sample"}
+    assert [h["callee_parent_symbol_name"] for h in atlas.callees("wet")["hits"]] == ["SoilProbe"]
 
 
 def test_search(atlas):
-    exact = atlas.query("beginshow")
-    assert exact["route"] == "symbol" and exact["hits"][0]["score"] == 200
-    near = atlas.query("return shows")
-    assert near["route"] == "hybrid" and "src/flow.ts" in {h["file_path"] for h in near["hits"]} and "embedding similarity" in near["hits"][0]["rationale"]
-    assert atlas.query("x")["error"]["code"] == "INVALID_INPUT" and atlas.query("tool", 21)["error"]["code"] == "INVALID_INPUT"
+    exact = atlas.query("Evening")
+    assert exact["route"] == "symbol" and exact["hits"][0]["score"] == 200 and exact["hits"][0]["symbol_name"] == "evening"
+    near = atlas.query("bench soil")
+    assert near["route"] == "hybrid" and "src/station.ts" in {h["file_path"] for h in near["hits"]} and "embedding similarity" in near["hits"][0]["rationale"]
+    assert atlas.query("x")["error"]["code"] == "INVALID_INPUT" and atlas.query("log", 21)["error"]["code"] == "INVALID_INPUT"
 
 
 def test_server(atlas):
@@ -125,7 +102,7 @@ def test_server(atlas):
         {"jsonrpc": "2.0", "id": 1, "method": "initialize"},
         {"jsonrpc": "2.0", "method": "notifications/initialized"},
         {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
-        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "find_callees", "arguments": {"symbol": "formRoute"}}},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "find_callees", "arguments": {"symbol": "wet"}}},
         {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "search_code", "arguments": {"query": "x"}}},
         {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "nope"}},
     ]
@@ -134,34 +111,34 @@ def test_server(atlas):
     replies = [json.loads(x) for x in sink.getvalue().splitlines()]
     assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, None]
     assert [t["name"] for t in replies[1]["result"]["tools"]] == ["search_code", "get_symbol", "find_callers", "find_callees"]
-    assert replies[2]["result"]["structuredContent"]["hits"][0]["callee_symbol_name"] == "execute" and "TakeForm.execute" in replies[2]["result"]["content"][0]["text"]
+    assert replies[2]["result"]["structuredContent"]["hits"][0]["callee_symbol_name"] == "sample" and "SoilProbe.sample" in replies[2]["result"]["content"][0]["text"]
     assert replies[3]["result"]["isError"] and replies[4]["error"]["code"] == -32602 and replies[5]["error"]["code"] == -32700
 
 
 def test_status_and_doctor(atlas):
     status = atlas.status()
-    assert status["freshness"] == "fresh" and status["counts"]["files"] == 6 and status["counts"]["relations"] >= 10
+    assert status["freshness"] == "fresh" and status["counts"]["files"] == 9 and status["counts"]["relations"] >= 10
     assert atlas.doctor()["summary"] == "healthy"
 
 
 def test_refresh(atlas):
     before = {r.path: r.id for r in atlas.store.table("files").collect()}
-    os.remove(os.path.join(atlas.root, "src", "routes.ts"))
-    put(atlas.root, "tool.ts", FILES["tool.ts"] + "\nexport function extra() {\n  return tool();\n}\n")
-    put(atlas.root, "tool2.ts", "export const two = () => extra();\n")
+    os.remove(os.path.join(atlas.root, "src", "station.ts"))
+    put(atlas.root, "journal.ts", FILES["journal.ts"] + "\nexport function erase() {\n  return log('');\n}\n")
+    put(atlas.root, "reset.ts", "export const reset = () => erase();\n")
     assert atlas.query("extra words", policy="fail")["error"]["code"] == "INDEX_STALE"
     assert atlas.query("extra words", policy="warn")["stale"] is True
     assert atlas.doctor()["summary"] == "warning"
     result = atlas.index()
     assert {k: result[k] for k in ("scanned", "inserted", "updated", "removed")} == {"scanned": 2, "inserted": 1, "updated": 1, "removed": 1}
     after = {r.path: r.id for r in atlas.store.table("files").collect()}
-    assert "src/routes.ts" not in after and all(before[p] == i for p, i in after.items() if p in before)
-    assert names(atlas.callers("extra"), "caller") == ["two"] and names(atlas.callees("extra"), "callee") == ["tool"]
+    assert "src/station.ts" not in after and all(before[p] == i for p, i in after.items() if p in before)
+    assert names(atlas.callers("erase"), "caller") == ["reset"] and names(atlas.callees("erase"), "callee") == ["log"]
     t = atlas.store.tables()
     chunks = {r.id for r in t["chunks"].collect()}
     assert {r.chunk_id for r in t["postings"].select("chunk_id").distinct().collect()} == chunks == {r.chunk_id for r in t["chunk_embeddings"].collect()}
     # A touched file changes nothing but its row.
-    os.utime(os.path.join(atlas.root, "src", "cases.ts"), (1, 1))
+    os.utime(os.path.join(atlas.root, "src", "probes.ts"), (1, 1))
     result = atlas.index()
     assert (result["scanned"], result["updated"], result["symbols"]) == (0, 1, 0)
     assert atlas.index() == {"ok": True, "scanned": 0, "inserted": 0, "updated": 0, "removed": 0, "symbols": 0, "relations": 0, "chunks": 0}
