@@ -71,12 +71,18 @@ def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:
 
 def semantic_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """``path, source, target_name, target_parent`` that follow from imports and declared types."""
-    bound = keep(bindings(rows, definitions(rows, keep)), "bindings")
+    defined = definitions(rows, keep)
+    bound = keep(bindings(rows, defined), "bindings")
     chains = facts(rows, "chain", a="source", b="root", c="steps").withColumns({"id": F.concat_ws(":", "path", F.lpad(F.col("ord").cast("string"), 9, "0")), "steps": F.filter(F.split("steps", r"\."), lambda x: x != "")})
     # Where the root's type is declared: by the import that binds it, else in the file itself.
     at = chains.join(bound.withColumnRenamed("local", "root"), ["path", "root"], "left").select(
         "id", "path", "source", "steps", F.coalesce("def_key", key_of(F.col("path"))).alias("key"), F.coalesce("def_name", "root").alias("type"), F.col("def_name").isNotNull().alias("bound")
     )
+    # A namespace's member is what its module exports under that name.
+    spaces = facts(rows, "import", a="root", b="original", c="module").where("module is not null and original = '*'").select("path", "root", "module")
+    exported = defined.select(F.col("key").alias("module"), F.col("exported").alias("member"), F.col("def_key").alias("key"), F.col("def_name").alias("type"))
+    within = chains.where(F.size("steps") > 0).join(spaces, ["path", "root"]).withColumn("member", F.element_at("steps", 1)).join(exported, ["module", "member"])
+    at = at.unionByName(within.select("id", "path", "source", F.expr("slice(steps, 2, size(steps) - 1)").alias("steps"), "key", "type", F.lit(True).alias("bound")))
     called = at.where((F.size("steps") == 0) & F.col("bound")).select("path", "source", F.col("type").alias("target_name"), F.lit(None).cast("string").alias("target_parent"))
     members = facts(rows, "member", a="owner", b="member", c="of")
     placed = members.join(bound.withColumnRenamed("local", "of"), ["path", "of"], "left").select(

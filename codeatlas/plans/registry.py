@@ -14,9 +14,10 @@ from codeatlas.operators import maintenance as M
 from codeatlas.operators import relations as R
 from codeatlas.operators import search as S
 from codeatlas.operators import symbols as G
+from codeatlas.plans import generated
 from codeatlas.shared import drop_path, exists, stored
 from codeatlas.sources.tree import DEFAULT_EXCLUDE, glob_regex
-from codeatlas.sources.virtual import VIEWS, VirtualIndex
+from codeatlas.sources.virtual import CLASS_BASE, VIEWS, VirtualIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,6 +486,39 @@ def rerank_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(spark, sf_dir).select("chunk_id", "rationale")
 
 
+_NAMED = rf"""
+fields AS (SELECT p_partkey AS chunk_id, CAST(1.0 AS DOUBLE) AS weight, p_type AS x FROM part
+           UNION ALL SELECT p_partkey, CAST(0.5 AS DOUBLE), 'brand/' || split_part(p_brand, '#', 2) || '.ts' FROM part
+           UNION ALL SELECT p_partkey, CAST(1.5 AS DOUBLE), p_name FROM part),
+tok AS (SELECT chunk_id, weight, unnest(list_filter(regexp_split_to_array(strip_accents(lower(x)), '{NOT_WORD}'), lambda t: length(t) > 0)) AS term FROM fields),
+lens AS (SELECT chunk_id, count(*) AS length FROM tok GROUP BY chunk_id),
+corpus AS (SELECT count(*) AS docs, avg(length) AS mean FROM lens)"""
+
+
+@registered(
+    f"""WITH {_NAMED}, {_bm25_sql('1', ['red', 'wid'], False)},
+rows_ AS (SELECT c.chunk_id, c.rank, c.place, lower(p_name) AS s, lower('brand/' || split_part(p_brand, '#', 2) || '.ts') AS f, lower(p_type) AS x FROM c1 c JOIN part ON p_partkey = c.chunk_id)
+SELECT chunk_id, round(rank, 6) AS rank,
+       CAST(120 + CASE WHEN s = 'red widget' THEN 50 WHEN contains(s, 'red widget') THEN 18 ELSE 0 END + CASE WHEN contains(f, 'red widget') THEN 10 ELSE 0 END
+            + CASE WHEN contains(x, 'red widget') THEN 8 ELSE 0 END + CASE WHEN contains(s, 'red') THEN 6 ELSE 0 END + CASE WHEN contains(s, 'widget') THEN 6 ELSE 0 END
+            + CASE WHEN contains(f, 'red') THEN 4 ELSE 0 END + CASE WHEN contains(f, 'widget') THEN 4 ELSE 0 END
+            + CASE WHEN contains(x, 'red') THEN 2 ELSE 0 END + CASE WHEN contains(x, 'widget') THEN 2 ELSE 0 END
+            + CASE WHEN contains(s, 'widget') THEN 8 ELSE 0 END AS DOUBLE) AS score
+FROM rows_"""
+)
+def rerank_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that belong to symbols: the name's weight in the index and its rules in the rerank."""
+    v = VirtualIndex(spark, sf_dir)
+    number = F.substring_index("p_brand", "#", -1).cast("long") + CLASS_BASE
+    chunks = v.table("part").select(F.col("p_partkey").alias("id"), number.alias("file_id"), F.col("p_partkey").alias("symbol_id"), F.col("p_type").alias("content"))
+    details = S.searchable(chunks, v.symbol_files(), v.symbols())
+    tokens = S.field_tokens(details)
+    found = S.top_candidates(S.bm25(S.postings(tokens), S.doc_lengths(tokens), T.TextPlan(("red", "wid"), "or")), 8)
+    merged = S.merge_candidates([found])
+    hits = S.ranked_hits(merged, details, "red widget", ["red", "widget"], S.Expansion(["red"], ["widget"], []), 1_000_000)
+    return hits.select("chunk_id", F.round("rank", 6).alias("rank"), "score")
+
+
 @registered(
     with_views(f"""{_MERGED}
 SELECT CASE WHEN EXISTS (SELECT 1 FROM vsymbols WHERE name = 'the ing') THEN 'symbol'
@@ -674,3 +708,9 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.concat(F.lit("v"), text("p_size", 3), F.lit("."), text("p_partkey", 4), F.lit("."), text("p_size", 11))
     b = F.concat(text("p_partkey", 3), F.lit("."), text("p_size", 4), F.when(F.col("p_partkey") % 2 == 0, ".10").otherwise(""))
     return part.select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", T.compare_versions("a", "b").alias("newer"))
+
+
+# -- a parsed program and its index -------------------------------------------
+
+QUERIES |= generated.QUERIES
+SQL |= generated.SQL
