@@ -8,11 +8,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from codeatlas import __version__
 from codeatlas.plans.server import serve
 from codeatlas.plans.service import CodeAtlas
 from codeatlas.plans.show import shown
 
-COMMANDS = ("init", "index", "query", "symbol", "callers", "callees", "status", "doctor", "serve")
+COMMANDS = ("init", "index", "query", "symbol", "callers", "callees", "status", "doctor", "serve", "version")
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -22,6 +23,9 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--root", default=os.environ.get("CODEATLAS_ROOT", os.getcwd()))
     parser.add_argument("--limit", type=int)
     options = parser.parse_args(arguments)
+    if options.command == "version":
+        print(__version__)
+        return 0
     spark = SparkSession.builder.appName("codeatlas").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     atlas = CodeAtlas(spark, options.root)
     if options.command == "serve":

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import signal
 import sys
+import threading
 from typing import Any, TextIO
 
+from codeatlas import __version__
 from codeatlas.plans.service import CodeAtlas
 from codeatlas.plans.show import shown
 
@@ -52,7 +55,7 @@ def answer(atlas: CodeAtlas, message: dict[str, Any]) -> dict[str, Any] | None:
         return None
     reply: dict[str, Any] = {"jsonrpc": "2.0", "id": number}
     if method == "initialize":
-        return reply | {"result": {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "codeatlas", "version": "1"}}}
+        return reply | {"result": {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "codeatlas", "version": __version__}}}
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
@@ -68,8 +71,29 @@ def answer(atlas: CodeAtlas, message: dict[str, Any]) -> dict[str, Any] | None:
     return reply | {"error": {"code": -32601, "message": f"no such method: {method}"}}
 
 
+class Stopped(Exception):
+    """A signal asked the server to end."""
+
+
+def _stop(*_: object) -> None:
+    raise Stopped
+
+
 def serve(atlas: CodeAtlas, source: TextIO = sys.stdin, sink: TextIO = sys.stdout) -> None:
-    """Answer until the input ends; a line that is no JSON gets a parse error."""
+    """Answer until the input ends or a signal asks to stop; a line that is no JSON gets a parse error."""
+    held = {}
+    if threading.current_thread() is threading.main_thread():
+        held = {number: signal.signal(number, _stop) for number in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        _serve(atlas, source, sink)
+    except Stopped:
+        print("codeatlas has stopped", file=sys.stderr)
+    finally:
+        for number, handler in held.items():
+            signal.signal(number, handler)
+
+
+def _serve(atlas: CodeAtlas, source: TextIO, sink: TextIO) -> None:
     print("codeatlas is ready", file=sys.stderr)
     for line in source:
         if not line.strip():

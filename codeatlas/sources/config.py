@@ -124,3 +124,29 @@ def check_limit(limit: int, most: int) -> int:
     if not isinstance(limit, int) or isinstance(limit, bool) or not 1 <= limit <= most:
         raise InvalidInput(f"limit: an integer from 1 to {most} is expected")
     return limit
+
+
+#: What a request may be for and the text that it must hold then, and how it may treat a stale index.
+INTENTS = {"hybrid-search": "query", "symbol-lookup": "symbolName", "find-callers": "symbolName"}
+STALE_POLICIES = ("fail", "warn", "auto-index-light")
+
+
+def check_request(request: dict[str, Any]) -> dict[str, Any]:
+    """A request with its texts trimmed, its limit and policy filled in, and its intent's text there."""
+    root, intent, policy = request.get("repoRoot"), request.get("intent"), request.get("stalePolicy", "warn")
+    if not isinstance(root, str) or not root:
+        raise InvalidInput("repoRoot: a path is expected")
+    if intent not in INTENTS:
+        raise InvalidInput(f"intent: one of {', '.join(INTENTS)} is expected")
+    if policy not in STALE_POLICIES:
+        raise InvalidInput(f"stalePolicy: one of {', '.join(STALE_POLICIES)} is expected")
+    out = {"repoRoot": root, "intent": intent, "stalePolicy": policy, "limit": check_limit(request.get("limit", 8), 20)}
+    for field, (least, most) in {"query": (2, 500), "symbolName": (1, 200)}.items():
+        text = request.get(field)
+        if text is not None:
+            if not isinstance(text, str) or not least <= len(text.strip()) <= most:
+                raise InvalidInput(f"{field}: {least} to {most} characters are expected")
+            out[field] = text.strip()
+    if INTENTS[intent] not in out:
+        raise InvalidInput(f"{INTENTS[intent]}: {intent} needs it")
+    return out

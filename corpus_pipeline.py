@@ -1,7 +1,17 @@
 """From raw documents to packed training sequences.
 
 Each stage takes what its predecessor kept: toxic documents go, exact copies go, one document
-of each near-duplicate group stays, secrets are masked, and the rest is packed.
+of each near-duplicate group stays, secrets are masked, and the rest is packed. Every stage's
+result is written to the shared folder and read again, so a lost executor costs a stage at most.
+
+Edge cases, by stage. ``toxicity``: null and empty texts score as texts without features and stay
+unless all do; repeated rows are judged alike; without labels of both kinds the share of label 1
+decides. ``exact_dedup``: null counts as empty, and one of all empty texts stays; ties go to the
+smaller ``doc_id``, then to the place. ``near_dedup``: rows without words, or with a null ``doc_id``,
+stay; rows that share a ``doc_id`` that stays all stay. ``secrets``: no row goes; null stays null;
+``n_chars`` follows where it is an integer. ``packing``: a null or empty text is its end id alone.
+Very long texts are read whole throughout, empty tables give empty results, and extra columns, whatever
+their names, come through all stages but the last.
 """
 
 from __future__ import annotations
