@@ -101,8 +101,18 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
         return spark.read.schema(df.schema).parquet(store.stage(name))
 
     details = list_tree(spark, root, include, exclude)
-    texts = read_tree(spark, f"file://{store.root}", include, exclude).select("path", "text", "sha1")
-    tree = staged(details.join(texts, "path"), "tree")
+    held = tables["files"].select("path", F.col("sha1").alias("old_sha1"), F.col("size_bytes").alias("old_size"), F.col("mtime_ms").alias("old_mtime"))
+    listed = details.join(held, "path", "left")
+    # An index without facts, a new one or one of an older version, needs all texts.
+    whole = tables["facts"].isEmpty()
+    moved = ~(F.col("size_bytes").eqNullSafe(F.col("old_size")) & F.col("mtime_ms").eqNullSafe(F.col("old_mtime")))
+    # Paths of a listing that was made on the driver.
+    wanted = None if whole else [r[0] for r in listed.where(moved).select("path").collect()]
+    columns = ["path", "text", "sha1"]
+    texts = spark.createDataFrame([], "path string, text string, sha1 string") if wanted == [] else read_tree(spark, f"file://{store.root}", include, exclude, wanted).select(columns)
+    tree = staged(
+        listed.join(texts, "path", "left").withColumn("sha1", F.coalesce("sha1", "old_sha1")).where("sha1 is not null").drop("old_sha1", "old_size", "old_mtime"), "tree"
+    )
     actions = staged(M.classify(tree, tables["files"]), "actions")
     counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}  # at most five rows
     result = NOTHING | {"removed": counts.get("remove", 0), "inserted": counts.get("insert", 0), "updated": counts.get("touch", 0) + counts.get("update", 0)}
@@ -121,11 +131,13 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
 
     reworked = actions.where("action in ('insert', 'update', 'remove')").select("path")
     old_ids = tables["files"].join(reworked, "path", "left_semi").select(F.col("id").alias("file_id"))
-    left = M.cascade_delete({k: v for k, v in tables.items() if k != "index_metadata"}, old_ids)
-    parsed = staged(parse_files(tree), "parsed")
+    left = M.cascade_delete({k: v for k, v in tables.items() if k not in ("index_metadata", "facts")}, old_ids)
+    # Changed files are parsed; facts of the others are those of the last snapshot.
+    fresh = actions.where("action in ('insert', 'update')").select("path")
+    parsed = staged(parse_files(tree if whole else tree.join(fresh, "path", "left_semi")), "parsed")
+    facts_now = staged(tables["facts"].join(reworked, "path", "left_anti").unionByName(parsed.where("fact != 'content'")), "facts")
 
     # Symbols of reworked files, numbered by path and order of appearance.
-    fresh = actions.where("action in ('insert', 'update')").select("path")
     declared = parsed.where("fact = 'symbol'").join(fresh, "path", "left_semi").select(
         "path", "ord", F.col("a").alias("key"), F.col("b").alias("name"), F.col("c").alias("kind"), F.col("d").alias("parent"), "start_line", "end_line", F.col("flag").alias("exported")
     )
@@ -149,9 +161,10 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
     new_chunks = staged(new_chunks, "new_chunks")
     tokens = staged(S.field_tokens(S.searchable(new_chunks, files, symbols), porter=True), "tokens")
     all_symbols = staged(symbols, "symbols")
-    edges = numbered(build_relations(parsed, all_symbols, files, staged), ["source_symbol_id", "target_symbol_id", "ref_id"], 1, store.stage("edge_ids"))
+    edges = numbered(build_relations(facts_now, all_symbols, files, staged), ["source_symbol_id", "target_symbol_id", "ref_id"], 1, store.stage("edge_ids"))
     after = tables | left | {
         "files": files,
+        "facts": facts_now,
         "symbols": all_symbols,
         "chunks": left["chunks"].unionByName(new_chunks),
         "relations": staged(edges.select("id", "source_symbol_id", "target_symbol_id", "relation_type"), "relations"),

@@ -16,6 +16,7 @@ TABLES: dict[str, str] = {
     "chunk_embeddings": "chunk_id long, model string, dimensions int, embedding array<double>, updated_at string",
     "postings": "term string, chunk_id long, col string, positions array<int>",
     "doc_lengths": "chunk_id long, length long",
+    "facts": "path string, fact string, ord int, a string, b string, c string, d string, start_line int, end_line int, flag boolean",
 }
 #: Columns added since version 1, with their default.
 ADDED = {"files": {"size_bytes": 0, "mtime_ms": 0}}

@@ -70,13 +70,14 @@ def list_tree(spark: SparkSession, root: str, include=DEFAULT_INCLUDE, exclude=D
     return listed.select("path", language_of("path").alias("language"), "size_bytes", "mtime_ms")
 
 
-def read_tree(spark: SparkSession, root: str, include=DEFAULT_INCLUDE, exclude=DEFAULT_EXCLUDE) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, include=DEFAULT_INCLUDE, exclude=DEFAULT_EXCLUDE, paths: list[str] | None = None) -> DataFrame:
     """``path, language, size_bytes, mtime_ms, text, sha1`` of a tree in any store Spark reads.
 
     The path filter is applied to the listing's columns; contents are read only for files
-    that pass it.
+    that pass it. With ``paths`` (relative ones) no other files are looked at.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.format("binaryFile")
+    files = reader.option("recursiveFileLookup", True).load(root) if paths is None else reader.load([f"{root.rstrip('/')}/{p}" for p in paths])
     base = re.sub(r"^file:/*", "/", root).rstrip("/") + "/"
     absolute = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     rows = files.withColumn("full", absolute).withColumn("path", F.expr(f"substring(full, {len(base) + 1})"))
