@@ -50,6 +50,10 @@ PASS_CHARS = 1 << 19
 LEAST_TOGETHER = 16
 #: Pieces whose ids are gathered at once.
 GATHERED = 1 << 17
+#: Bytes of text that are encoded together.
+GATHERED_BYTES = 4 << 20
+#: Rows that are decoded and handed on together.
+DECODED_ROWS = 256
 #: Places of the pair table that the words going on together read; a power of two.
 PAIR_PLACES = 1 << 20
 
@@ -437,6 +441,21 @@ def resolve_vocabulary(given: str | None) -> str:
     return given or vocabulary_path()
 
 
+def gathered(batches: Iterable[pa.RecordBatch], bpe: BacktrackingBPE) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Identifiers and ids of the rows of several batches at a time: the more texts, the fewer lookups."""
+    docs: list[int | None] = []
+    texts: list[str | None] = []
+    size = 0
+    for batch in batches:
+        docs += batch["doc_id"].to_pylist()
+        texts += batch["text"].to_pylist()
+        size += batch["text"].nbytes
+        if size >= GATHERED_BYTES:
+            yield docs, bpe.encode_all(texts)
+            docs, texts, size = [], [], 0
+    yield docs, bpe.encode_all(texts)
+
+
 ENCODED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -454,9 +473,10 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = load_bpe(resolve_vocabulary(vocabulary))
-        for batch in batches:
-            ids = bpe.encode_all(batch["text"].to_pylist())
-            yield {"doc_id": batch["doc_id"].to_pylist(), "ids": ids, "decoded": [bpe.decode(x) for x in ids]}
+        for docs_, ids in gathered(batches, bpe):
+            for at in range(0, len(ids), DECODED_ROWS):
+                part = ids[at : at + DECODED_ROWS]
+                yield {"doc_id": docs_[at : at + DECODED_ROWS], "ids": part, "decoded": [bpe.decode(x) for x in part]}
 
     return mapped(docs.select("doc_id", "text"), run, ENCODED)
 

@@ -18,7 +18,7 @@ from codeatlas.shared import drop_path, qualified, shared_dir, stored
 __all__ = ["drop_path", "fresh", "mapped", "qualified", "read_table", "release", "shared_dir", "shuffle_partitions", "small_batches", "stored", "text_or_empty"]
 
 #: Rows and bytes handed to a Python worker at once; keeps a batch of long texts small.
-ARROW_ROWS, ARROW_BYTES = 1024, 4 << 20
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def release(spark: SparkSession) -> None:

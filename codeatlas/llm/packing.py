@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeatlas.llm.bpe import load_bpe, resolve_vocabulary
+from codeatlas.llm.bpe import gathered, load_bpe, resolve_vocabulary
 from codeatlas.llm.common import mapped, shuffle_partitions, stored
 
 CAPACITY = 4096
@@ -118,9 +118,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         bpe = load_bpe(resolve_vocabulary(vocabulary))
         end, width = end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
+        for held in gathered(batches, bpe):
             rows = []
-            for doc, encoded in zip(batch["doc_id"].to_pylist(), bpe.encode_all(batch["text"].to_pylist()), strict=True):
+            for doc, encoded in zip(*held, strict=True):
                 ids = encoded + end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
