@@ -42,7 +42,7 @@ from codeatlas.llm.common import mapped
 END = "\x00"
 #: Pieces between white space, and as many words, kept with their ids. When that many are new, they
 #: become the old generation and the old one goes, so that frequent ones stay and memory is bounded.
-CACHED = 300_000
+CACHED = 200_000
 LONGEST_CACHED = 64
 #: Characters of new words that are matched in one pass.
 PASS_CHARS = 1 << 19

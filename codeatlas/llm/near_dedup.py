@@ -51,7 +51,7 @@ FARTHEST = 51
 KEY_BLOCK, TEXT_BLOCK = 1024, 256
 #: Members that share one copy of their leader's text when full sets are compared.
 SHARE = 128
-WORDS = 300_000
+WORDS = 150_000
 
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(1, 2**63, size=CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

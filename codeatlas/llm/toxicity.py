@@ -47,7 +47,7 @@ PENALTY = 6.0
 TOXIC_WEIGHT = 3.0
 RIDGE = 1e-4
 BEGINNINGS = (4, 5, 6)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 #: Terms that name groups of people, by kind; a term is swapped within its kind.
 IDENTITIES = (
