@@ -20,8 +20,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,17 +64,28 @@ SENSITIVE = {
 #: Values that stand for a secret but are none.
 PLACEHOLDERS = re.compile(r"(?:x+|\*+|your[-_ ].*|change[-_ ]?me|example.*|none|null|true|false|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|process\.env.*|os\.environ.*)", re.IGNORECASE)
 
-_TOKEN = re.compile(
-    r"""(?P<comment>//|\#)
-    |(?P<scheme>[A-Za-z][A-Za-z\d+.-]*://)
-    |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)
-    |(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
-    |(?P<number>\d[\w.]*)
-    |(?P<op>:=|=>|==|!=|<=|>=|[=:+])
-    |(?P<line>\n)
-    |(?P<other>\S)""",
-    re.VERBOSE | re.ASCII,
-)
+_QUOTES = "\"'`"
+_STRINGS = {'"': r'''"(?:[^"\\\n]|\\.)*"''', "'": r"""'(?:[^'\\\n]|\\.)*'""", "`": r"`(?:[^`\\]|\\.)*`"}
+
+
+@cache
+def _token(quotes: str = _QUOTES) -> re.Pattern:
+    """The next token, with strings in these ``quotes`` only."""
+    strings = "|".join(_STRINGS[q] for q in quotes) or r"(?!)"
+    return re.compile(
+        rf"""(?P<comment>//|\#)
+        |(?P<string>{strings})
+        |(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
+        |(?P<number>\d[\w.]*)
+        |(?P<op>:=|=>|==|!=|<=|>=|[=:+])
+        |(?P<line>\n)
+        |(?P<other>\S)""",
+        re.VERBOSE | re.ASCII,
+    )
+
+
+#: What a name may be the beginning of, if it is the scheme of a URL.
+_SCHEME = re.compile(r"[A-Za-z\d+.-]*", re.ASCII)
 #: A type between a colon and ``=``: a literal, a bracket or the line's end follows, or a blank stands before ``=``.
 _TYPED = re.compile(r"(?:&[ \t]*)?(?:'static[ \t]+)?[A-Za-z_$](?:[\w$.\[\]<>?]++|[ \t]*+[|&,][ \t]*+)*+(?:[ \t]*+=(?=[ \t]*[\"'`(\\])|[ \t]++=(?![=>]))", re.ASCII)
 #: Behind a string that is a name itself.
@@ -130,9 +144,12 @@ def assignments(text: str) -> tuple[list[tuple[str, Literal]], list[tuple[str, s
             if _SIGN.search(text, lo, hi) is None:
                 continue
         # A sign at the end of the line before takes a literal only, as does a bracket.
-        at, literal, held = lo, bool(sign), ""
-        while (m := _TOKEN.search(text, at, hi)) is not None:
+        at, literal, held, quotes, plain = lo, bool(sign), "", _QUOTES, lo
+        while (m := _token(quotes).search(text, at, hi)) is not None:
             kind, at = m.lastgroup, m.end()
+            if kind == "other" and m[0] in quotes:
+                # Nothing ends a string in these quotes behind here, so the line isn't searched for it again.
+                quotes = quotes.replace(m[0], "")
             if kind == "comment":
                 # What stands behind the mark is read too; a sign before it waits for the next line.
                 if sign:
@@ -147,7 +164,7 @@ def assignments(text: str) -> tuple[list[tuple[str, Literal]], list[tuple[str, s
                 if sign == ":" and (typed := _TYPED.match(text, m.start(), hi)):
                     at, sign = typed.end(), "="
                     continue
-                values, at, names = _value(text, m, hi)
+                values, at, names = _value(text, m, hi, _token(quotes))
                 pairs += [(target, value) for value in values]
                 aliases += [(target, name) for name in names]
                 target, sign = "", ""
@@ -155,6 +172,10 @@ def assignments(text: str) -> tuple[list[tuple[str, Literal]], list[tuple[str, s
                 sign, literal = m[0] if target else "", False
             elif kind == "name":
                 target = m[0]
+                if m.start() >= plain:
+                    plain = _SCHEME.match(text, m.start(), hi).end()
+                    if text.startswith("://", plain, hi):
+                        target, at = "", plain + 3
             elif kind == "string":
                 target = m[0][1:-1]
             elif m[0] in ("[", "]") or (m[0] in ("?", "!") and text[at : at + 1] == ":"):
@@ -200,7 +221,7 @@ _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _DOTTED = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+")
 
 
-def _value(text: str, m: re.Match, hi: int) -> tuple[list[Literal], int, list[str]]:
+def _value(text: str, m: re.Match, hi: int, token: re.Pattern) -> tuple[list[Literal], int, list[str]]:
     """What stands right of a sign: literals with their places, where it ends, names used.
 
     Strings of a sum are one literal; a bare word is one by itself, and may be a name as well.
@@ -221,7 +242,7 @@ def _value(text: str, m: re.Match, hi: int) -> tuple[list[Literal], int, list[st
         else:
             break
         plus = _PLUS.match(text, at, hi)
-        if plus is None or (following := _TOKEN.match(text, plus.end(), hi)) is None:
+        if plus is None or (following := token.match(text, plus.end(), hi)) is None:
             break
         m = following
     if strings:
@@ -250,7 +271,10 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> tuple[list[tuple[int
     if not text:
         return [], []
     base = base_spans(text)
-    added = [s for s in lexed_spans(text, threshold) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    starts, ends = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    # A span is covered if one of those that begin no later ends no sooner.
+    covered = lambda s: (n := bisect_right(starts, s[0])) > 0 and ends[n - 1] >= s[1]
+    added = [s for s in lexed_spans(text, threshold) if not covered(s)]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

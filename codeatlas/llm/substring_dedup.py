@@ -32,7 +32,7 @@ from codeatlas.llm.common import drop_path, fresh, mapped, release, stored
 
 #: Words of neighbouring repeated sentences that make a passage inside lines which aren't repeated as a whole.
 PASSAGE_WORDS = 25
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _EDGE = " \t\r\f\v.,;:!?\"'()[]{}*#$%&"
 
 UNITS = T.StructType(

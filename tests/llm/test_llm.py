@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -487,11 +488,27 @@ def test_common_syntax(text, wanted):
 def test_reading_stays_linear():
     for piece in ("a: b[", "a: b | ", "k // = ", "a = (", "x://", "a: " + "b." * 50, 'a =\n"b" '):
         secrets.scan(piece * 20_000)
+    for text in ('k="x" ' + '\\"a ' * 100_000, "k=1 " + "a+" * 200_000, "\n".join(f'password={i:032x}\nkey_{i} = "z{i:06}Q1w2"' for i in range(20_000))):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 20  # half an hour and more, if it grew with the square
 
 
-def test_long_alias_chains_are_read_at_once():
-    import time
+def test_spans_inside_others_are_not_added_twice():
+    text = 'password = abcdef0123456789abcdef0123456789 api_key="Zq81xVtR" db_pwd = "hunter2xyz9"'
+    base, spans = secrets.scan(text)
+    for s in secrets.lexed_spans(text):
+        assert (s in spans) == (not any(b[0] <= s[0] and s[1] <= b[1] for b in base))
+    assert [text[a:b] for a, b, kind in spans if kind == "lexed"] == ["hunter2xyz9"]
+
 
+def test_long_runs_of_marks_are_cut_in_linear_time():
+    began = time.perf_counter()
+    assert [x[:2] for x in substring_dedup.units("." * 400_000 + "x... y", "sentence")] == [(0, 400_004), (400_005, 400_006)]
+    assert time.perf_counter() - began < 20
+
+
+def test_long_alias_chains_are_read_at_once():
     chain = "\n".join(f"v{i} = v{i + 1}" for i in range(10_000)) + '\nv10000 = "q7Rm2xVt9KpL"\nclient_secret_key = v0\n'
     hub = 'hub = "q7Rm2xVt9KpL"\n' * 500 + "".join(f"h{i} = hub\n" for i in range(5000)) + "dbPassphrase = h7\n"
     for text, n in ((chain, 1), (hub, 500)):
