@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeatlas.llm import bpe, exact_dedup, media, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter, warc
+from codeatlas.llm import bpe, exact_dedup, media, near_dedup, packing, prefix_trie, secrets, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 from codeatlas.llm.common import read_table
 
 
@@ -51,6 +51,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -133,5 +143,37 @@ runs AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit)
 SELECT doc_id, CAST(min(start) AS INT) AS start, CAST(max(stop) AS INT) AS "end", CAST(sum(words) AS BIGINT) AS n_words, count(*) AS n_units,
        max(copies) AS copies, arg_min(f.d, start) AS keep_doc_id, CAST(arg_min(f.s, start) AS INT) AS keep_start, bool_and(whole) AS whole_lines
 FROM runs GROUP BY doc_id, run
+""",
+    # The CRC-32 of the decimal id, a bit at a time.
+    "op12_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+crc AS (
+    SELECT *, conv_id - conv_id % 100 AS base,
+           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) END)) % 6 AS h
+    FROM sizes),
+plan AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS given FROM crc c LEFT JOIN sizes b ON b.conv_id = c.base),
+made AS (
+    SELECT p.conv_id, t.pos, role, text FROM plan p JOIN t ON t.conv_id = p.base AND t.pos <= p.given
+    UNION ALL SELECT p.conv_id, t.pos - h + given, role, text FROM plan p JOIN t USING (conv_id) WHERE t.pos > h),
+paths AS (SELECT p.conv_id, coalesce(list({'r': role, 't': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns FROM plan p LEFT JOIN made m USING (conv_id) GROUP BY p.conv_id),
+members AS (SELECT conv_id, turns, d AS depth, turns[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM paths)),
+nodes AS (
+    SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+    FROM members GROUP BY depth, prefix),
+tree AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, (n_convs - 1) * coalesce(length(n.prefix[n.depth].t), 0) AS saved
+    FROM nodes n LEFT JOIN (SELECT depth, prefix, conv_id FROM nodes) p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]),
+kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n FROM tree WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT t.*, coalesce(k.n, 0) AS n_children FROM tree t LEFT JOIN kids k ON k.depth = t.depth AND k.conv_id = t.conv_id),
+ups AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted),
+sums AS (SELECT up AS depth, prefix[1:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM ups GROUP BY ALL)
+SELECT c.conv_id, c.depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.prefix = c.prefix
 """,
 }
