@@ -14,7 +14,9 @@ bytes are dealt to shards by anchor, and each shard's suffixes are sorted by
 bytes with a neighbour. From the anchor on, bytes are sorted in blocks, as windows start before it.
 
 Hot anchors, with more than ``HOT`` different segments (beginnings and ends of a passage that very many
-documents share), aren't handed to one task: their windows are counted by 128-bit digests of BLAKE2b.
+documents share), aren't handed to one task: their segments are texts to which all this is done once
+more with longer anchors, which hold some of what stands beside the passage. Windows of anchors that are hot
+even then, which reach a few bytes beyond the passage, are counted by 128-bit digests of BLAKE2b.
 
 Hashes of anchors only choose candidates; segments are equal when anchor hash and BLAKE2b digest
 (64 bits each) are.
@@ -100,15 +102,15 @@ def least_places(hashes: np.ndarray, count: int) -> np.ndarray:
     return (found & _PLACE).astype(np.int64)
 
 
-def segments_of(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, start, size, bytes before the anchor, hash of the anchor) of the segments of ``texts``."""
+def segments_of(texts: list[bytes], size: int = ANCHOR) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, start, size, bytes before the anchor, hash of the anchor) of the segments of ``texts``; anchors have ``size`` bytes."""
     whole = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     for at in range(0, len(whole) - SPAN + 1, _CHUNK):
         data = whole[at : at + _CHUNK + SPAN - 1]
-        hashes = grams(data, ANCHOR)
-        anchors = least_places(hashes, SPAN - ANCHOR + 1)
+        hashes = grams(data, size)
+        anchors = least_places(hashes, SPAN - size + 1)
         places = np.arange(at, at + len(anchors))
         owner = np.searchsorted(ends, places, side="right")
         inside = ends[owner] - places >= SPAN
@@ -123,7 +125,7 @@ def segments_of(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
         yield from zip(own.tolist(), begin.tolist(), (stop - first + SPAN - 1).tolist(), (anchors[first] - first).tolist(), hashes[anchors[first]].view(np.int64).tolist(), strict=True)
 
 
-def segment_table(numbered: DataFrame) -> DataFrame:
+def segment_table(numbered: DataFrame, size: int = ANCHOR) -> DataFrame:
     """Hashes and places of all segments of ``numbered`` (``row, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -131,9 +133,9 @@ def segment_table(numbered: DataFrame) -> DataFrame:
         for batch in batches:
             rows, texts = batch["row"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()
             out = []
-            for n, start, size, lead, anchor in segments_of([t or b"" for t in texts]):
-                sign = digest(texts[n][start : start + size], digest_size=8).digest()
-                out.append((rows[n], start, size, lead, anchor, int.from_bytes(sign, "little", signed=True)))
+            for n, start, long, lead, anchor in segments_of([t or b"" for t in texts], size):
+                sign = digest(texts[n][start : start + long], digest_size=8).digest()
+                out.append((rows[n], start, long, lead, anchor, int.from_bytes(sign, "little", signed=True)))
                 if len(out) == 50_000:
                     yield out
                     out = []
@@ -347,10 +349,13 @@ def numbered_texts(docs: DataFrame) -> Iterator[DataFrame]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def repeated_spans(texts: DataFrame, held: int = HELD, hot: int = HOT) -> DataFrame:
-    """``row, start, end`` of bytes to remove in ``texts`` (``row, text``); spans of a row may overlap."""
+def repeated_spans(texts: DataFrame, held: int = HELD, hot: int = HOT, size: int = ANCHOR) -> DataFrame:
+    """``row, start, end`` of bytes to remove in ``texts`` (``row, text``); spans of a row may overlap.
+
+    ``size`` is that of the anchors; hot ones are taken up again with ``FINER`` bytes.
+    """
     spark = texts.sparkSession
-    table, table_path = stored(segment_table(texts), "segments")
+    table, table_path = stored(segment_table(texts, size), "segments")
     # Tables that others join by a key are read from storage, so that Spark may split a hot key's rows.
     often, often_path = stored(table.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     met, met_path = stored(table.join(often, "anchor", "left_semi").withColumn("place", F.xxhash64("row", "start")), "met")
@@ -373,8 +378,17 @@ def repeated_spans(texts: DataFrame, held: int = HELD, hot: int = HOT) -> DataFr
     strings, string_path = stored(_strings(wanted, texts), "strings")
     release(spark)
     cold, _ = stored(_sorted_shards(strings.where("not hot"), shards, held), "cold")
-    warm, _ = stored(_counted_windows(strings.where("hot")), "warm")
-    spans, _ = stored(whole.unionByName(cold).unionByName(warm), "spans")
+    spans = whole.unionByName(cold)
+    if not strings.where("hot").isEmpty():
+        if size < FINER:
+            parts, _ = stored(strings.where("hot").withColumn("part", F.monotonically_increasing_id()), "parts")
+            finer = repeated_spans(parts.select(F.col("part").alias("row"), F.col("data").alias("text")), held, hot, FINER)
+            lone = parts.where("lone").select("part", F.col("row").alias("own"), F.col("start").alias("at"))
+            warm = finer.withColumnRenamed("row", "part").join(lone, "part").select(F.col("own").alias("row"), (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"))
+        else:
+            warm = _counted_windows(strings.where("hot"))
+        spans = spans.unionByName(warm)
+    spans, _ = stored(spans, "spans")
     for path in (string_path, known_path):
         drop_path(spark, path)
     release(spark)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeatlas.llm import bpe, components, exact_dedup, media, near_dedup, packing, queries, secrets, substring_dedup, toxicity, url_filter, warc
+from codeatlas.llm import bpe, components, exact_dedup, induced, media, near_dedup, packing, prefix_trie, queries, secrets, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 from codeatlas.llm.common import shared_dir
 from tests.conftest import DATA
 
@@ -1023,3 +1023,177 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == ids
     check_packing(rows, 4096)
     assert not any(secrets.scan(r.text)[0] for r in docs.select("text").collect())
+
+
+# -- repeated byte strings ----------------------------------------------------
+
+
+def order_of(text, cap):
+    """Suffixes by plain sorting, with common prefixes."""
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    common = [0]
+    for a, b in zip(order, order[1:], strict=False):
+        n = 0
+        while n < min(len(text) - a, len(text) - b, cap) and text[a + n] == text[b + n]:
+            n += 1
+        common.append(n)
+    return list(zip(order, common, strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=50), st.sampled_from([1, 2, 9]), st.sampled_from([2, 5, 100]), st.sampled_from([2, 1000]))
+def test_induced_order(text, times, cap, held):
+    text = (text * times)[:60]
+    names = {c: n for n, c in enumerate(sorted(set(text)), 1)}
+    text = [names[c] for c in text] + [0]
+    size = len(names) + 1
+    alphabet = induced.Alphabet([1] * size, [0] * size, cap)
+    wanted = order_of(text, cap)
+    assert list(induced.suffix_order(iter(text), alphabet, held)) == wanted
+    near = {p for (a, _), (b, n) in zip(wanted, wanted[1:], strict=False) for p in (a, b) if n >= cap}
+    assert set(induced.repeated(iter(text), alphabet, held)) == near
+
+
+def repeats(texts, span=suffix_dedup.SPAN):
+    """(bytes, removed, runs, digest of the rest) of each text, window by window."""
+    texts = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - span + 1):
+            if seen[t[i : i + span]] > 1:
+                gone[i : i + span] = b"\1" * span
+        runs = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, x in zip(t, gone, strict=True) if not x)).hexdigest()))
+    return out
+
+
+def removals(df, **more):
+    out = suffix_dedup.without_repeats(df, **more)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digests(out).collect()), key=repr)
+
+
+def wanted_removals(rows):
+    return sorted(((i, *x) for (i, _), x in zip(rows, repeats([t for _, t in rows]), strict=True)), key=repr)
+
+
+PASSAGE_200 = "".join(f"<{i * 7919 % 1009}>" for i in range(60))[:200]
+REPEATED = [
+    (1, "a" * 230),  # its windows repeat within it
+    (2, "start " + PASSAGE_200 + " end"),
+    (3, "another start " + PASSAGE_200 + " and end"),
+    (4, PASSAGE_200[:199] + "x"),  # a byte short
+    (5, "ü" * 150),
+    (6, "ab" * 160 + PASSAGE_200[:150]),
+    (7, "z" + PASSAGE_200[100:] + PASSAGE_200[:199]),
+    (None, "lone text"),
+    (8, "".join(chr(97 + i * i % 23) for i in range(900))),
+    (9, "x" + "".join(chr(97 + i * i % 23) for i in range(300, 900)) + "y"),
+]
+
+
+@pytest.mark.parametrize("held, hot", [(suffix_dedup.HELD, suffix_dedup.HOT), (50, 1)])
+def test_op11_on_awkward_rows(spark, held, hot):
+    rows = [*AWKWARD, *REPEATED]
+    assert removals(table(spark, rows), held=held, hot=hot) == wanted_removals(rows)
+
+
+def test_op11_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = queries.op11_suffix_dedup(spark, DATA).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == wanted_removals(rows)
+    assert sum(r.n_removed for r in got) > 0
+
+
+def test_op11_edges_of_a_common_passage(spark):
+    """Many texts share a passage; what stands before and behind it differs but for a few bytes."""
+    rng = np.random.default_rng(5)
+    own = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = [(i, own(180) + own(1) + PASSAGE_200 + PASSAGE_200[::-1] + own(1) + own(180)) for i in range(120)]
+    assert removals(table(spark, rows), hot=20) == removals(table(spark, rows)) == wanted_removals(rows)
+
+
+def test_op11_nothing(spark, nothing):
+    assert removals(nothing) == []
+
+
+# -- conversation trie --------------------------------------------------------
+
+TURN = "conv_id long, turn long, role string, text string, node long, pos string"
+
+
+def turns_table(spark, rows):
+    path = shared_dir(spark, "turns")
+    spark.createDataFrame([(*r, 1, "x") for r in rows], TURN).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def plain_trie(paths):
+    """The nodes of ``{conv_id: [(role, text), ...]}``."""
+    nodes = defaultdict(list)
+    for conv, turns in paths.items():
+        for d in range(len(turns) + 1):
+            nodes[tuple(turns[:d])].append(conv)
+    kids = Counter(p[:-1] for p in nodes if p)
+    leaves, saved = Counter(), Counter()
+    for p, members in nodes.items():
+        gain = (len(members) - 1) * (len(p[-1][1]) if p else 0)
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += gain
+    ended = lambda p, m: hashlib.sha256(",".join(str(c) for c in sorted(m) if len(paths[c]) == len(p)).encode()).hexdigest()
+    return sorted((min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], ended(p, m)) for p, m in nodes.items())
+
+
+def plain_rebuilt(rows):
+    known = defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        if conv is not None:
+            known[conv].append((role or "", text or ""))
+    out = {}
+    for conv, turns in known.items():
+        h = zlib.crc32(str(conv).encode()) % 6
+        out[conv] = known.get(conv - int(np.fmod(conv, 100)), [])[:h] + turns[h:]
+    return known, out
+
+
+NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+AWKWARD_TURNS = [
+    (3, 0, "user", "hi"), (3, 1, "bot", "hello"), (5, 0, "user", "hi"), (5, 1, "bot", "hello"), (5, 2, "user", "bye"),
+    (7, None, "user", "hi"), (7, 0, None, None), (7, 0, "", ""), (8, 0, "userh", "i"), (9, 4, "user", "hi"), (9, 4, "bot", "hello"),
+    (None, 0, "user", "nobody"), (11, 0, "user", LONG), (12, 0, "user", LONG), (13, 0, None, "x"), (13, 1, "user", None),
+    (205, 0, "user", "hi"), (200, 0, "a", "b"), (-5, 0, "user", "hi"), (2**53 + 1, 0, "user", "hi"),
+]
+
+
+def test_trie_on_awkward_rows(spark):
+    table = turns_table(spark, AWKWARD_TURNS)
+    known, made = plain_rebuilt(AWKWARD_TURNS)
+    for (turns, convs), wanted in ((prefix_trie.positions(table), known), (prefix_trie.rebuilt(table), made)):
+        got = prefix_trie.prefix_trie(turns, convs).select(*NODE).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == sorted(plain_trie(wanted), key=repr)
+    turns, convs = prefix_trie.positions(table)
+    texts = prefix_trie.node_turns(prefix_trie.prefix_trie(turns, convs), turns).collect()
+    assert {(r.role, r.text) for r in texts if r.depth == 0} == {(None, None)}
+    assert all(known[r.conv_id][r.depth - 1] == (r.role, r.text) for r in texts if r.depth)
+
+
+def test_trie_of_copies_and_single_conversations(spark):
+    for rows in ([(i, t, "user", f"t{t}") for i in range(40) for t in range(3)], [(4, 0, "user", "alone"), (4, 1, "bot", "yes")]):
+        known, _ = plain_rebuilt(rows)
+        got = prefix_trie.prefix_trie(*prefix_trie.positions(turns_table(spark, rows))).select(*NODE).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == sorted(plain_trie(known), key=repr)
+
+
+def test_long_lists_of_ends(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "PIECE_IDS", 7)
+    ends = spark.createDataFrame([(1, 2, i) for i in range(100)] + [(0, 2, 5), (1, 3, -4)], "depth long, node long, member long")
+    got = {(r.depth, r.conv_id): r.ends_sha256 for r in prefix_trie.digests_of_ends(ends).collect()}
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert got == {(1, 2): digest(range(100)), (0, 2): digest([5]), (1, 3): digest([-4])}
+
+
+def test_trie_without_conversations(spark):
+    table = turns_table(spark, [])
+    assert prefix_trie.prefix_trie(*prefix_trie.rebuilt(table)).collect() == []
