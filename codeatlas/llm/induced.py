@@ -47,58 +47,61 @@ class Blocks:
         self.file.seek(at)
         return pickle.load(self.file)
 
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
 
 
-class DiskSort:
-    """Sorts more items than memory holds: sorted runs in a file, then their merge."""
+class Spilled(list):
+    """A list whose owner calls :meth:`trim` now and then, which moves what is more than ``held`` to a file."""
 
     def __init__(self, held: int) -> None:
-        self.most, self.items, self.runs, self.blocks = held, [], [], Blocks()
+        super().__init__()
+        self.most, self.places, self.blocks = held, [], Blocks()
+
+    add = list.append
+
+    def trim(self) -> None:
+        if len(self) >= self.most:
+            self.spill()
 
-    def add(self, item: tuple) -> None:
-        self.items.append(item)
-        if len(self.items) >= self.most:
-            self.items.sort()
-            self.runs.append([self.blocks.put(self.items[i : i + _BLOCK]) for i in range(0, len(self.items), _BLOCK)])
-            self.items = []
+    def cut(self) -> list[int]:
+        places = [self.blocks.put(self[i : i + _BLOCK]) for i in range(0, len(self), _BLOCK)]
+        self.clear()
+        return places
+
+
+class DiskSort(Spilled):
+    """Sorts more items than memory holds: sorted runs in a file, then their merge."""
+
+    def spill(self) -> None:
+        self.sort()
+        self.places.append(self.cut())
 
     def _run(self, places: list[int]) -> Iterator[tuple]:
         for at in places:
             yield from self.blocks.get(at)
 
-    def __iter__(self) -> Iterator[tuple]:
-        self.items.sort()
-        yield from merge(*map(self._run, self.runs), self.items) if self.runs else self.items
-        self.items = []
-        self.blocks.close()
+    def ordered(self) -> Iterator[tuple]:
+        self.sort()
+        if not self.places:
+            return iter(self)
+        self.places.append(self.cut())
+        return merge(*map(self._run, self.places))
 
 
-class Tape:
+class Tape(Spilled):
     """A list that is written once and read once, forwards or backwards."""
 
-    def __init__(self, held: int) -> None:
-        self.most, self.items, self.places, self.blocks = held, [], [], Blocks()
-
-    def add(self, item: tuple) -> None:
-        self.items.append(item)
-        if len(self.items) >= self.most:
-            self.places += [self.blocks.put(self.items[i : i + _BLOCK]) for i in range(0, len(self.items), _BLOCK)]
-            self.items = []
+    def spill(self) -> None:
+        self.places += self.cut()
 
-    def __iter__(self) -> Iterator[tuple]:
+    def forwards(self) -> Iterator[tuple]:
         for at in self.places:
             yield from self.blocks.get(at)
-        yield from self.items
-        self.blocks.close()
+        yield from self
 
     def backwards(self) -> Iterator[tuple]:
-        yield from reversed(self.items)
+        yield from reversed(self)
         for at in reversed(self.places):
             yield from reversed(self.blocks.get(at))
-        self.blocks.close()
 
 
 class DiskQueue:
@@ -192,7 +195,7 @@ def suffix_order(symbols: Iterable[int], alphabet: Alphabet, held: int = HELD) -
     """(position, common prefix with the suffix before it) of all suffixes in order; every symbol occurs."""
     falls, rises, last_fall, last_rise, end = induce(symbols, alphabet, held)
     yield end, 0
-    fall = iter(falls)
+    fall = falls.forwards()
     rise = rises.backwards()
     left, right = next(fall, None), next(rise, None)
     while left is not None or right is not None:
@@ -214,7 +217,7 @@ def repeated(symbols: Iterable[int], alphabet: Alphabet, held: int = HELD) -> It
     """Positions of suffixes that share ``cap`` with a neighbour; a position may come more than once."""
     found = Tape(held)
     _, _, last_fall, last_rise, _ = induce(symbols, alphabet, held, found)
-    yield from found
+    yield from found.forwards()
     for symbol, (place, *fall) in last_fall.items():
         if (other := last_rise.get(symbol)) and alphabet.turn(symbol, fall, other[1:]) >= alphabet.cap:
             yield place
@@ -234,14 +237,15 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
     weights, cap, shared = alphabet.weights, alphabet.cap, alphabet.shared
 
     falls, turns = Tape(held), Tape(held)
+    written = [falls, turns] if found is None else [found, turns]
     last_fall: dict[int, tuple[int, int, int]] = {}
     queue = DiskQueue(held)
     push, sent, steps, values, now = queue.push, {}, [], [], -1
     turned, before = (-1, -1), -1
     seed = next(seeds, None)
     while (symbol := queue.first()) is not None or seed is not None:
-        if symbol is None or (seed is not None and seed[0] < symbol):
-            symbol = seed[0]
+        if symbol is None or (seed is not None and seed[1] < symbol):
+            symbol = seed[1]
         fall, last = None, -1
         for place, k, carry, value, run, behind in queue.drain(symbol):
             if found is None:
@@ -252,6 +256,9 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
             if value is None:
                 value = shared(before, symbol) if before >= 0 else 0
             now += 1
+            if not now & 1023:
+                for held_back in written:
+                    held_back.trim()
             while values and values[-1] >= value:
                 values.pop()
                 steps.pop()
@@ -275,12 +282,15 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
         if fall is not None:
             last_fall[symbol] = (last, *fall)
         first = True
-        while seed is not None and seed[0] == symbol:
-            _, place, value, run, behind, carry = seed
+        while seed is not None and seed[1] == symbol:
+            _, _, place, value, run, behind, carry = seed
             if first:
                 value = alphabet.turn(symbol, fall, (run, behind)) if fall is not None else shared(before, symbol) if before >= 0 else 0
             first, before = False, symbol
             now += 1
+            if not now & 1023:
+                for held_back in written:
+                    held_back.trim()
             while values and values[-1] >= value:
                 values.pop()
                 steps.pop()
@@ -292,9 +302,9 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
                 sent[to] = now
                 push(to, (place - 1, 1, carry, None if since is None else min(cap, weights[to] + values[bisect_right(steps, since)]), 1, symbol))
             seed = next(seeds, None)
-    queue.blocks.close()
 
     rises = Tape(held)
+    written = [rises] if found is None else [found]
     last_rise: dict[int, tuple[int, int, int]] = {}
     queue = DiskQueue(held, -1)
     push, sent, steps, values, now, before = queue.push, {}, [], [], -1, -1
@@ -313,6 +323,9 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
             if value is None:
                 value = shared(symbol, before) if before >= 0 else 0
             now += 1
+            if not now & 1023:
+                for held_back in written:
+                    held_back.trim()
             while values and values[-1] >= value:
                 values.pop()
                 steps.pop()
@@ -348,14 +361,13 @@ def induce(symbols: Iterable[int], alphabet: Alphabet, held: int, found: Tape |
             sent[to] = now
             push(to, (place - 1, k + 1, carry, None if since is None else min(cap, weights[to] + values[bisect_right(steps, since)]), 1, symbol))
             turn = next(stream, None)
-    queue.blocks.close()
     return falls, rises, last_fall, last_rise, end
 
 
 def ordered_minima(symbols: Iterable[int], alphabet: Alphabet, held: int) -> tuple[Iterator[tuple], int]:
     """The local minima in the order of their suffixes, and the last position.
 
-    Each as (symbol, position, common prefix with the one before it, run, symbol behind, symbols before it).
+    Each as (rank, symbol, position, common prefix with the one before it, run, symbol behind, symbols before it).
     """
     weights, cap = alphabet.weights, alphabet.cap
     phrases, seeds, number, end = DiskSort(held), Tape(held), 0, 0
@@ -365,27 +377,38 @@ def ordered_minima(symbols: Iterable[int], alphabet: Alphabet, held: int) -> tup
             phrases.add((phrase, number - 1, min(cap, sum(map(weights.__getitem__, carry)))))
         seeds.add((symbol, place, run, behind, carry))
         number, end = number + 1, place
+        if not number & 1023:
+            phrases.trim()
+            seeds.trim()
     phrases.add(((symbol,), number - 1, weights[symbol]))
 
     names, sums, common, before = DiskSort(held), [], [], None
-    for phrase, nth, weight in phrases:
+    for phrase, nth, weight in phrases.ordered():
         if phrase != before:
             common.append(_common(before, phrase, alphabet) if before is not None else 0)
             sums.append(weight)
             before = phrase
         names.add((nth, len(sums) - 1))
+        if not nth & 1023:
+            names.trim()
     ranks = DiskSort(held)
     if len(sums) == number:
-        for nth, name in names:
+        for nth, name in names.ordered():
             ranks.add((nth, name, common[name]))
+            if not nth & 1023:
+                ranks.trim()
     else:
-        inner = suffix_order((name for _, name in names), Alphabet(sums, common, cap), held)
+        inner = suffix_order((name for _, name in names.ordered()), Alphabet(sums, common, cap), held)
         for rank, (nth, value) in enumerate(inner):
             ranks.add((nth, rank, value))
+            if not nth & 1023:
+                ranks.trim()
     placed = DiskSort(held)
-    for (_, rank, value), (symbol, place, run, behind, carry) in zip(ranks, seeds, strict=True):
+    for (_, rank, value), (symbol, place, run, behind, carry) in zip(ranks.ordered(), seeds.forwards(), strict=True):
         placed.add((rank, symbol, place, value, run, behind, carry))
-    return (seed[1:] for seed in placed), end
+        if not rank & 1023:
+            placed.trim()
+    return placed.ordered(), end
 
 
 def _common(a: tuple, b: tuple, alphabet: Alphabet) -> int:

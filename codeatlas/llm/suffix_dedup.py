@@ -48,8 +48,8 @@ from codeatlas.llm.induced import HELD, Alphabet, DiskSort, Tape, repeated
 SPAN = 200
 #: Bytes of an anchor, and of the finer anchors that tell which windows of a shard can be equal.
 ANCHOR, FINER = 64, 160
-#: Bytes of a block behind an anchor.
-BLOCK = 32
+#: Bytes of a block behind the place where windows of an anchor begin last.
+BLOCK = 64
 #: Different segments of an anchor from which its windows are counted one by one.
 HOT = 512
 #: Bytes of segments in a shard, and of texts in a bucket.
@@ -163,40 +163,57 @@ def repeated_in_shard(strings: Iterator[list[tuple[int, int, int, int, bool, byt
 
     ``strings`` come in small lists: (row, start, bytes before the anchor, hash of the anchor, lone, bytes).
     """
-    kept, keys = Tape(held), []
+    kept, keys, wanted = Tape(held), [], []
     for some in strings:
-        found = []
+        found, asked = [], set()
         for item, own in zip(some, _finer_keys([s[5] for s in some], [s[3] for s in some]), strict=True):
-            found.append(np.unique(own))
+            mine = set(own.tolist())
+            found += mine
+            if item[4]:
+                asked |= mine
             kept.add((*item, own.tobytes()))
-        keys.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
+        kept.trim()
+        keys.append(np.array(found, np.uint64))
+        wanted.append(np.array(list(asked), np.uint64))
     values, counts = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-    shared = values[counts > 1]
+    shared = np.intersect1d(values[counts > 1], np.concatenate(wanted)) if wanted else values
+    if not len(shared):
+        return
 
-    # Only windows whose key another segment has can be repeated. Cut the segments to these.
+    # Only windows whose key another segment has can be repeated, and only those of lone segments are asked
+    # for: segments are cut to these. Behind the last
+    # place where one begins, counted from the anchor, the segments of an anchor are aligned, and cut into blocks.
+    near, least_gap = Tape(held), {}
+    for row, start, lead, anchor, lone, data, own in kept.forwards():
+        own = np.frombuffer(own, np.uint64)
+        hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
+        if len(hit):
+            low, last = int(hit[0]), int(hit[-1])
+            near.add((row, start + low, lead - low, anchor, lone, data[low : last + SPAN]))
+            near.trim()
+            least_gap[anchor] = min(least_gap.get(anchor, SPAN), lead - last)
     pieces, blocks = Tape(held), DiskSort(held)
-    places, owners = array("q"), array("q")
+    places = array("q")
     at, nth = 0, 0
-    for row, start, lead, _, lone, data, own in kept:
-        hit = np.flatnonzero(np.isin(np.frombuffer(own, np.uint64), shared, assume_unique=False))
-        if not len(hit):
-            continue
-        low, high = int(hit[0]), int(hit[-1]) + SPAN
-        head, tail = data[low:lead], data[max(lead, low) : high]
+    for row, start, lead, anchor, lone, data in near.forwards():
+        # A window begins before this place at the latest one further on.
+        cut = max(0, lead - least_gap[anchor] + 1)
+        head, tail = data[:cut], data[cut:]
         cuts = [tail[i : i + BLOCK] for i in range(0, len(tail), BLOCK)]
         for i, block in enumerate(cuts):
             blocks.add((block, nth, i))
-        pieces.add((row, start + low, lone, high - low, head))
+        pieces.add((row, start, lone, head))
         places.append(at)
-        owners.append(nth)
         at += len(head) + len(cuts) + 1
         nth += 1
+        pieces.trim()
+        blocks.trim()
     if nth < 2:
         return
     # Symbols: an end mark for each piece, the last one the smallest; bytes; blocks in their order.
     weights, common = [0] * nth + [1] * 256, [0] * (nth + 256)
     before, named = None, DiskSort(held)
-    for block, piece, i in blocks:
+    for block, piece, i in blocks.ordered():
         if block != before:
             n = 0
             if before is not None:
@@ -206,15 +223,18 @@ def repeated_in_shard(strings: Iterator[list[tuple[int, int, int, int, bool, byt
             common.append(n)
             before = block
         named.add((piece, i, len(weights) - 1))
+        named.trim()
     spelled, ranges = Tape(held), Tape(held)
-    for row, start, lone, size, head in pieces:
-        spelled.add((head,))
-        ranges.add((row, start, lone, size))
+    for row, start, lone, head in pieces.forwards():
+        spelled.add(head)
+        ranges.add((row, start, lone))
+        spelled.trim()
+        ranges.trim()
 
     def symbols() -> Iterator[int]:
-        names = iter(named)
+        names = named.ordered()
         name = next(names, None)
-        for piece, (head,) in enumerate(spelled):
+        for piece, head in enumerate(spelled.forwards()):
             for byte in head:
                 yield nth + byte
             while name is not None and name[0] == piece:
@@ -226,9 +246,10 @@ def repeated_in_shard(strings: Iterator[list[tuple[int, int, int, int, bool, byt
     for place in repeated(symbols(), Alphabet(weights, common, SPAN), held):
         piece = bisect_right(places, place) - 1
         marks.add((piece, place - places[piece]))
-    mark = iter(marks)
+        marks.trim()
+    mark = marks.ordered()
     now = next(mark, None)
-    for piece, (row, start, lone, size) in enumerate(ranges):
+    for piece, (row, start, lone) in enumerate(ranges.forwards()):
         first = last = None
         while now is not None and now[0] == piece:
             offset = now[1]
