@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import ascii_lower
 from codeatlas.operators.selector import Selector, candidates, order_keys, parse_selector, place
+from codeatlas.shared import stored
 
 LOOKUP_LIMIT, GRAPH_LIMIT, MATCHED_LIMIT = 10, 20, 10
 
@@ -87,9 +88,8 @@ def _like(col: Column, pattern: Column) -> Column:
 
 
 def _fitting(rows: DataFrame) -> DataFrame:
-    """Rows whose parent and path are those that their query asks for."""
-    parent = ascii_lower(F.coalesce("parent_name", F.lit("")))
-    return rows.where(F.col("container").isNull() | (parent == F.col("container"))).where(F.col("path_hint").isNull() | _like(ascii_lower("path"), F.col("path_hint")))
+    """Rows whose path is one that their selector asks for."""
+    return rows.where(F.col("path_hint").isNull() | _like(ascii_lower("path"), F.col("path_hint")))
 
 
 #: Length of the substrings by which contained names are found.
@@ -105,31 +105,72 @@ def _literal(term: Column) -> Column:
 def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
     """``symbol, folded``: terms and the names that contain them, by an equi-join on substrings.
 
-    ``names``: ``folded``; ``terms``: ``symbol``; both distinct. A term is looked up by the first
-    ``GRAM`` characters of its longest literal stretch, or all of it if it is shorter, and names by
-    all their substrings of such lengths; LIKE then decides. A term of wildcards alone meets
-    all names.
+    ``names``: ``folded``; ``terms``: ``symbol``, none of wildcards alone; both distinct. A term is looked
+    up by the first ``GRAM`` characters of its longest literal stretch, or all of it if it is shorter, and
+    names by all their substrings of such lengths; LIKE then decides.
     """
     asked = terms.withColumn("gram", F.substring(_literal(F.col("symbol")), 1, GRAM)).withColumn("size", F.length("gram"))
-    sizes = asked.select("size").distinct()  # at most GRAM + 1 rows
+    sizes = asked.select("size").distinct()  # at most GRAM rows
     places = F.sequence(F.lit(1), F.greatest(F.length("folded") - F.col("size") + 1, F.lit(1)))
     grams = names.join(F.broadcast(sizes)).select("folded", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("folded"), i, F.col("size"))))).alias("gram"))
     met = grams.join(asked.select("gram", "symbol"), "gram")
     return met.where(_like(F.col("folded"), F.col("symbol"))).select("symbol", "folded").distinct()
 
 
+_ASKED = ("symbol", "container", "path_hint")
+
+
+def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` symbols of each thing asked, with their place."""
+    top_level = F.when(F.col("folded_parent") == F.coalesce("container", F.lit("")), 0).otherwise(1)
+    order = Window.partitionBy(*_ASKED).orderBy(top_level, F.col("exported").desc(), "path", "start_line", "id")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
+
+
+def _wild(placed: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """Symbols for terms of wildcards alone, which any name fits that has as many characters as they have ``_``."""
+    long = lambda rows: rows.where(F.length("folded") >= F.col("least"))
+    asked = asked.withColumn("least", F.length(F.replace("symbol", F.lit("%"), F.lit(""))))
+    scoped = _fitting(long(placed.join(asked.where("container is not null"), F.col("folded_parent") == F.col("container"))))
+    # A path is compared once for each file and hint.
+    hinted = asked.where("container is null and path_hint is not null")
+    paths = placed.select("path").distinct().join(hinted.select("path_hint").distinct(), _like(ascii_lower("path"), F.col("path_hint")))
+    hinted = long(placed.join(paths, "path").join(hinted, "path_hint"))
+    # Without container and hint the best few names of each length are enough: all terms have the same order.
+    order = Window.partitionBy(F.length("folded")).orderBy(F.when(F.col("folded_parent") == "", 0).otherwise(1), F.col("exported").desc(), "path", "start_line", "id")
+    best = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
+    bare = best.join(asked.where("container is null and path_hint is null"), F.length("folded") >= F.col("least"))
+    columns = [*placed.columns, *_ASKED]
+    return scoped.select(*columns).unionByName(hinted.select(*columns)).unionByName(bare.select(*columns))
+
+
 def lookup_batch(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """Lookup of many selectors: exact names, or contained ones for selectors without; then top-k by query."""
-    parsed = parse_selectors(queries)
-    placed = place(symbols, files).withColumn("folded", ascii_lower("name"))
-    exact = _fitting(placed.join(parsed, placed.folded == parsed.symbol))
-    loose = parsed.join(exact.select("qid").distinct(), "qid", "left_anti")
-    pairs = contained(placed.select("folded").distinct(), loose.select("symbol").distinct())
-    near = _fitting(placed.join(pairs, "folded").join(loose, "symbol"))
-    joined = exact.select(*placed.columns, *parsed.columns).unionByName(near.select(*placed.columns, *parsed.columns))
-    top_level = F.when(ascii_lower(F.coalesce("parent_name", F.lit(""))) == F.coalesce("container", F.lit("")), 0).otherwise(1)
-    ranked = joined.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(top_level, F.col("exported").desc(), "path", "start_line", "id")))
-    return ranked.where(F.col("nth") <= limit)
+    """Lookup of many selectors: exact names, or contained ones for selectors without; then top-k by query.
+
+    What is asked more than once is looked up once. Where a container is given, symbols are met by name and
+    parent together, so a method name that many classes share costs a selector no more than another. What
+    the exact join finds is stored: it is read again to tell which selectors need the fallback.
+    """
+    parsed, _ = stored(parse_selectors(queries), "selectors")
+    asked = parsed.select(*_ASKED).distinct()
+    placed = place(symbols, files).withColumns({"folded": ascii_lower("name"), "folded_parent": ascii_lower(F.coalesce("parent_name", F.lit("")))})
+    columns = [*placed.columns, *_ASKED]
+
+    def named(wanted: DataFrame) -> DataFrame:
+        """Symbols with the name (``folded``) and the parent that are wanted."""
+        scoped = placed.join(wanted.where("container is not null").withColumn("folded_parent", F.col("container")), ["folded", "folded_parent"])
+        bare = placed.join(wanted.where("container is null"), "folded")
+        return _fitting(scoped.select(*columns).unionByName(bare.select(*columns)))
+
+    found, _ = stored(_ranked(named(asked.withColumn("folded", F.col("symbol"))), limit), "exact")
+    loose, _ = stored(asked.join(found.where("nth = 1").select(*[F.col(c).alias(f"met_{c}") for c in _ASKED]), [F.col(c).eqNullSafe(F.col(f"met_{c}")) for c in _ASKED], "left_anti"), "loose")
+    if not loose.isEmpty():
+        wild = _literal(F.col("symbol")) == ""
+        pairs = contained(placed.select("folded").distinct(), loose.where(~wild).select("symbol").distinct())
+        near = named(loose.where(~wild).join(pairs, "symbol")).unionByName(_wild(placed, loose.where(wild), limit))
+        found = found.unionByName(_ranked(near, limit))
+    met = [found[c].eqNullSafe(parsed[c]) if c != "symbol" else found[c] == parsed[c] for c in _ASKED]
+    return parsed.join(found, met).select("qid", *[found[c] for c in placed.columns], *[parsed[c] for c in _ASKED], "nth")
 
 
 def callers_batch(symbols: DataFrame, files: DataFrame, relations: DataFrame, queries: DataFrame, limit: int = GRAPH_LIMIT, side: str = "caller") -> DataFrame:

@@ -1,28 +1,33 @@
-"""A small program written from the rows of two tables, indexed, and its index as queries.
+"""A program whose files are made from rows of two tables, and its index as queries.
 
-Gives the parser, the whole-program joins and the refresh of an index something to read that
-grows with the tables and whose facts SQL can tell.
+The texts are columns: each supplier gives a file of one of several kinds, each region another. Parsing,
+numbering and the whole-program joins then run over them as they do over a working tree, and
+SQL tells the same facts from the same rows. A kind is a list of blocks; what a block declares and calls
+stands beside its text.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.plans.indexer import index_repository
-from codeatlas.sources.config import parse_config
-from codeatlas.sources.store import IndexStore
-
-#: A file of each supplier: imports by alias, default and namespace, a class, a function, an arrow function.
-SUPPLIER = """import { pick as choose } from '../regions/r%(r)d';
-import Region%(r)d from '../regions/r%(r)d';
+from codeatlas.operators import maintenance as M
+from codeatlas.operators import search as S
+from codeatlas.plans.indexer import build_relations, stored_symbols, symbol_rows
+from codeatlas.shared import drop_path, shared_dir, stored
+from codeatlas.sources.parser import parse_files
+from codeatlas.sources.virtual import VirtualIndex, files_of
+
+# Symbols: name, kind, parent, first and last line of the block, exported. Edges: source, path of the target ("" is
+# the file itself), target, its parent. {k} and {r} are the numbers of the supplier and its region.
+HEAD = (
+    """import { pick as choose } from '../regions/r{r}';
+import Region{r} from '../regions/r{r}';
 import * as tools from '../tools';
 
-export class Dealer%(k)d {
+export class Dealer{k} {
   load() {
     return this.count();
   }
@@ -32,128 +37,243 @@ export class Dealer%(k)d {
   }
 }
 
-export function visit%(k)d() {
-  const n = new Dealer%(k)d();
+export function visit{k}() {
+  const n = new Dealer{k}();
   n.load();
   return choose();
 }
 
-export const tour%(k)d = (region: Region%(r)d) => region.name();
-"""
-#: A file of each region: an exported function, a default class, a private function.
-REGION = """export function pick() {
-  return %(r)d;
+export const tour{k} = (region: Region{r}) => region.name();
+""",
+    [
+        ("Dealer{k}", "class", None, 5, 13, True), ("load", "method", "Dealer{k}", 6, 8, True), ("count", "method", "Dealer{k}", 10, 12, True),
+        ("visit{k}", "function", None, 15, 19, True), ("n", "variable", None, 16, 16, True), ("tour{k}", "variable", None, 21, 21, True),
+    ],
+    [
+        ("load", "", "count", "Dealer{k}"), ("count", "src/tools/index.ts", "sum", None), ("count", "src/tools/sums.ts", "total", None),
+        ("visit{k}", "", "Dealer{k}", None), ("visit{k}", "", "load", "Dealer{k}"), ("visit{k}", "src/regions/r0.ts", "pick", None),
+        ("tour{k}", "src/regions/r{r}.ts", "name", "Region{r}"),
+    ],
+)
+#: Types that only inference tells: of what a function gives back, of a variable, of a type argument.
+INFERRED = (
+    """import { Crate, Wheel } from '../parts/shared';
+
+function build{k}() {
+  return new Wheel();
+}
+
+export function direct{k}() {
+  build{k}().spin();
 }
 
-export default class Region%(r)d {
+export function held{k}() {
+  const w = build{k}();
+  w.spin();
+}
+
+export async function boxed{k}(crate: Crate<Wheel>, all: Wheel[]) {
+  (await crate.open()).spin().stop();
+  for (const one of all) { one.stop(); }
+}
+""",
+    [
+        ("build{k}", "function", None, 3, 5, False), ("direct{k}", "function", None, 7, 9, True), ("held{k}", "function", None, 11, 14, True),
+        ("w", "variable", None, 12, 12, True), ("boxed{k}", "function", None, 16, 19, True),
+    ],
+    [
+        ("build{k}", "src/parts/shared.ts", "Wheel", None), ("direct{k}", "", "build{k}", None), ("direct{k}", "src/parts/shared.ts", "spin", "Wheel"),
+        ("held{k}", "", "build{k}", None), ("held{k}", "src/parts/shared.ts", "spin", "Wheel"), ("boxed{k}", "src/parts/shared.ts", "open", "Crate"),
+        ("boxed{k}", "src/parts/shared.ts", "spin", "Wheel"), ("boxed{k}", "src/parts/shared.ts", "stop", "Part"),
+    ],
+)
+#: Members of a class: constructors, accessors, properties and computed names are no symbols.
+MEMBERS = (
+    """/** A comment with { and `. */
+@sealed({ deep: true })
+export class Top{k} {
+  private count = 0;
+  static made = new Map<string, number>();
+  constructor(private readonly base: Dealer{k}) {
+    this.spin();
+  }
+  get size() {
+    return this.count;
+  }
+  spin() {
+    return this.base.load();
+  }
+  async *turns<T extends object>(given: T): AsyncGenerator<{ a: T }> {
+    yield this.spin() as any;
+  }
+  ['x' + 1]() {
+    return nothing();
+  }
+}
+""",
+    [("Top{k}", "class", None, 2, 21, True), ("spin", "method", "Top{k}", 12, 14, True), ("turns", "method", "Top{k}", 15, 17, True)],
+    [("spin", "", "load", "Dealer{k}"), ("turns", "", "spin", "Top{k}")],
+)
+#: Aliases, several declarators, destructuring, loop heads, regular expressions, nested templates, a renamed export.
+ALIASES = (
+    """const aliased{k} = helper{k}, other{k} = 5;
+const { a, b } = other{k} as any;
+for (const z of [1, 2]) {
+  aliased{k}(z);
+}
+function helper{k}(x?: any) {
+  return /[{}]/.test('}{') ? `x ${inner{k}(`y ${x}`)} }` : 2;
+}
+const inner{k} = function named(x: string): any {
+  return aliased{k}(x);
+};
+export { helper{k} as given{k} };
+""",
+    [
+        ("aliased{k}", "variable", None, 1, 1, False), ("other{k}", "variable", None, 1, 1, False), ("helper{k}", "function", None, 6, 8, False),
+        ("inner{k}", "variable", None, 9, 11, False), ("given{k}", "variable", None, 12, 12, True),
+    ],
+    [("helper{k}", "", "inner{k}", None), ("inner{k}", "", "aliased{k}", None), ("inner{k}", "", "helper{k}", None), ("given{k}", "", "helper{k}", None)],
+)
+#: Nested functions, whose calls are those of the outer one too, a default export, a call on a new instance.
+NESTED = (
+    """export default function main{k}() {
+  function deep{k}() {
+    return outer{k}();
+  }
+  return deep{k}();
+}
+
+const outer{k} = () => new Dealer{k}().count();
+""",
+    [("main{k}", "function", None, 1, 6, True), ("deep{k}", "function", None, 2, 4, True), ("outer{k}", "variable", None, 8, 8, False)],
+    [("deep{k}", "", "outer{k}", None), ("main{k}", "", "deep{k}", None), ("main{k}", "", "outer{k}", None), ("outer{k}", "", "Dealer{k}", None), ("outer{k}", "", "count", "Dealer{k}")],
+)
+KINDS = [[HEAD, INFERRED], [HEAD, MEMBERS], [HEAD, ALIASES], [HEAD, NESTED], [HEAD, MEMBERS, ALIASES, NESTED, INFERRED]]
+REGION = [
+    (
+        """export function pick() {
+  return {k};
+}
+
+export default class Region{k} {
   name() {
     return label();
   }
 }
 
 function label() {
-  return '%(name)s';
+  return 'a region';
+}
+""",
+        [("pick", "function", None, 1, 3, True), ("Region{k}", "class", None, 5, 9, True), ("name", "method", "Region{k}", 6, 8, True), ("label", "function", None, 11, 13, False)],
+        [("name", "", "label", None)],
+    )
+]
+#: Files that every program has: a barrel, what it passes on, and classes that others get by inference.
+COMMON = {
+    "src/tools/index.ts": [("export { total as sum } from './sums';\n", [("sum", "variable", None, 1, 1, True)], [("sum", "src/tools/sums.ts", "total", None)])],
+    "src/tools/sums.ts": [("export function total() {\n  return 1;\n}\n", [("total", "function", None, 1, 3, True)], [])],
+    "src/parts/shared.ts": [
+        (
+            """export class Wheel extends Part<Wheel> {
+  spin() {
+    return this;
+  }
 }
-"""
-#: A barrel and what it passes on.
-TOOLS = {"src/tools/index.ts": "export { total as sum } from './sums';\n", "src/tools/sums.ts": "export function total() {\n  return 1;\n}\n"}
 
-#: The same facts in SQL.
-VIEWS = """
-dealers AS (SELECT s_suppkey AS k, s_nationkey % 5 AS r, 'src/dealers/d' || s_suppkey || '.ts' AS path FROM supplier),
-regions AS (SELECT r_regionkey AS r, 'src/regions/r' || r_regionkey || '.ts' AS path FROM region),
-gsymbols AS (
-    SELECT path, 'Dealer' || k AS name, 'class' AS kind, NULL AS parent_name, 5 AS start_line, 13 AS end_line, true AS exported FROM dealers
-    UNION ALL SELECT path, 'load', 'method', 'Dealer' || k, 6, 8, true FROM dealers
-    UNION ALL SELECT path, 'count', 'method', 'Dealer' || k, 10, 12, true FROM dealers
-    UNION ALL SELECT path, 'visit' || k, 'function', NULL, 15, 19, true FROM dealers
-    UNION ALL SELECT path, 'n', 'variable', NULL, 16, 16, true FROM dealers
-    UNION ALL SELECT path, 'tour' || k, 'variable', NULL, 21, 21, true FROM dealers
-    UNION ALL SELECT path, 'pick', 'function', NULL, 1, 3, true FROM regions
-    UNION ALL SELECT path, 'Region' || r, 'class', NULL, 5, 9, true FROM regions
-    UNION ALL SELECT path, 'name', 'method', 'Region' || r, 6, 8, true FROM regions
-    UNION ALL SELECT path, 'label', 'function', NULL, 11, 13, false FROM regions
-    UNION ALL SELECT 'src/tools/index.ts', 'sum', 'variable', NULL, 1, 1, true
-    UNION ALL SELECT 'src/tools/sums.ts', 'total', 'function', NULL, 1, 3, true),
-gedges AS (
-    SELECT path AS source_path, 'load' AS source_name, path AS target_path, 'count' AS target_name, 'Dealer' || k AS target_parent FROM dealers
-    UNION ALL SELECT path, 'count', 'src/tools/index.ts', 'sum', NULL FROM dealers
-    UNION ALL SELECT path, 'count', 'src/tools/sums.ts', 'total', NULL FROM dealers
-    UNION ALL SELECT path, 'visit' || k, path, 'Dealer' || k, NULL FROM dealers
-    UNION ALL SELECT path, 'visit' || k, path, 'load', 'Dealer' || k FROM dealers
-    UNION ALL SELECT path, 'visit' || k, (SELECT min(path) FROM regions), 'pick', NULL FROM dealers
-    UNION ALL SELECT path, 'tour' || k, 'src/regions/r' || r || '.ts', 'name', 'Region' || r FROM dealers
-    UNION ALL SELECT path, 'name', path, 'label', NULL FROM regions
-    UNION ALL SELECT 'src/tools/index.ts', 'sum', 'src/tools/sums.ts', 'total', NULL)
-"""
+export class Crate<T> {
+  open(): Promise<T> {
+    return null as any;
+  }
+}
+""",
+            [("Wheel", "class", None, 1, 5, True), ("spin", "method", "Wheel", 2, 4, True), ("Crate", "class", None, 7, 11, True), ("open", "method", "Crate", 8, 10, True)],
+            [],
+        ),
+        (
+            """
+class Part<T> {
+  stop(): T {
+    return null as any;
+  }
+}
+""",
+            [("Part", "class", None, 2, 6, False), ("stop", "method", "Part", 3, 5, False)],
+            [],
+        ),
+    ],
+}
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Text by path. A working tree lies on the driver's disk, so its files are written there."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey").toLocalIterator()
-    files = {f"src/dealers/d{r[0]}.ts": SUPPLIER % {"k": r[0], "r": r[1] % 5} for r in rows}
-    for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").toLocalIterator():
-        files[f"src/regions/r{r[0]}.ts"] = REGION % {"r": r[0], "name": r[1]}
-    return files | TOOLS
+def _filled(template: str, k: Any, r: Any) -> Any:
+    text = F.replace(F.lit(template), F.lit("{k}"), k.cast("string"))
+    return F.replace(text, F.lit("{r}"), r.cast("string"))
 
 
-_INDEXED: dict[tuple[str, str], tuple[str, list[tuple[str, dict[str, int]]]]] = {}
+def _text(blocks: list) -> str:
+    return "".join(block[0] for block in blocks)
 
 
-def _put(root: str, path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-    with open(f"{root}/{path}", "w", encoding="utf-8") as file:
-        file.write(text)
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text, part`` of the program's files; ``part`` is dealers, regions or common."""
+    tables = VirtualIndex(spark, sf_dir)
+    k, r = F.col("s_suppkey"), F.col("s_nationkey") % 5
+    text = F.lit("")
+    for n, blocks in enumerate(KINDS):
+        text = F.when(k % len(KINDS) == n, _filled(_text(blocks), k, r)).otherwise(text)
+    dealers = tables.table("supplier").select(F.concat(F.lit("src/dealers/d"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("text"), F.lit("dealers").alias("part"))
+    key = F.col("r_regionkey")
+    regions = tables.table("region").select(F.concat(F.lit("src/regions/r"), key.cast("string"), F.lit(".ts")).alias("path"), _filled(_text(REGION), key, key).alias("text"), F.lit("regions").alias("part"))
+    common = spark.createDataFrame([(path, _text(blocks), "common") for path, blocks in COMMON.items()], "path string, text string, part string")
+    return dealers.unionByName(regions).unionByName(common)
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> tuple[IndexStore, list[tuple[str, dict[str, int]]]]:
-    """The index of the generated program, and the counters of its steps; built once for each application.
+def _files(texts: DataFrame) -> DataFrame:
+    """Files as the index compares them."""
+    return texts.select("path", F.lit("typescript").alias("language"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ms"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
 
-    First half of the files are indexed, then all, then all again with a comment behind
-    each region's text and one file more that goes in the last step.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+_INDEXED: dict[tuple[str, str, str], dict[str, tuple[str, Any]]] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Files, symbols, chunks and edges of the program, made once for each application and state of the tables."""
+    tables = VirtualIndex(spark, sf_dir)
+    key = spark.sparkContext.applicationId, sf_dir, files_of(tables.table("supplier")) + files_of(tables.table("region"))
     if key not in _INDEXED:
-        root = tempfile.mkdtemp(prefix="codeatlas-generated-")
-        files, config, steps = sources(spark, sf_dir), parse_config({}), []
-
-        def step(name: str) -> None:
-            steps.append((name, index_repository(spark, root, config)))
-
-        for path, text in files.items():
-            if "/dealers/" not in path:
-                _put(root, path, text)
-        step("begin")
-        for path, text in files.items():
-            if "/dealers/" in path:
-                _put(root, path, text)
-        _put(root, "src/extra.ts", "export function extra() {\n  return 1;\n}\n")
-        step("add")
-        for path, text in files.items():
-            if "/regions/" in path:
-                _put(root, path, text + "// reviewed\n")
-        os.remove(f"{root}/src/extra.ts")
-        step("change")
-        step("again")
-        _INDEXED[key] = root, steps
-    root, steps = _INDEXED[key]
-    return IndexStore(spark, root), steps
+        held = {}
 
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            out, path = stored(df, name)
+            held[name] = path, df.schema
+            return out
 
-def index_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the program with file and parent."""
-    t = indexed(spark, sf_dir)[0].tables()
-    return _placed(t).select("path", "name", "kind", "parent_name", "start_line", "end_line", "exported")
+        texts, text_path = stored(sources(spark, sf_dir), "texts")
+        files = keep(texts.select(F.xxhash64("path").alias("id"), "path"), "files")
+        parsed, parsed_path = stored(parse_files(texts), "parsed")
+        stage = shared_dir(spark, "symbol_ids")
+        rows = keep(symbol_rows(parsed, files, 1, stage), "rows")
+        keep(build_relations(parsed, stored_symbols(rows), files), "relations")
+        for path in (stage, parsed_path, text_path):
+            drop_path(spark, path)
+        _INDEXED[key] = held
+    return {name: spark.read.schema(schema).parquet(path) for name, (path, schema) in _INDEXED[key].items()}
 
 
 def _placed(t: dict[str, DataFrame]) -> DataFrame:
-    parents = t["symbols"].select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("parent_name"))
-    return t["symbols"].join(t["files"].select(F.col("id").alias("file_id"), "path"), "file_id").join(parents, "parent_symbol_id", "left")
+    parents = t["rows"].select(F.col("id").alias("parent_symbol_id"), F.col("name").alias("parent_name"))
+    return t["rows"].join(parents, "parent_symbol_id", "left")
+
+
+def index_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the program with file and parent."""
+    return _placed(indexed(spark, sf_dir)).select("path", "name", "kind", "parent_name", "start_line", "end_line", "exported")
 
 
 def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls whom, by names and files."""
-    t = indexed(spark, sf_dir)[0].tables()
+    t = indexed(spark, sf_dir)
     placed = _placed(t)
     source = placed.select(F.col("id").alias("source_symbol_id"), F.col("path").alias("source_path"), F.col("name").alias("source_name"))
     target = placed.select(F.col("id").alias("target_symbol_id"), F.col("path").alias("target_path"), F.col("name").alias("target_name"), F.col("parent_name").alias("target_parent"))
@@ -161,28 +281,106 @@ def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for each symbol, whether its digest fits its text, and the terms that its name has in the inverted index."""
-    t = indexed(spark, sf_dir)[0].tables()
-    named = t["postings"].where("col = 'symbol_name'").groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("name_terms"))
-    chunks = t["chunks"].join(_placed(t).select(F.col("id").alias("symbol_id"), "path", "name"), "symbol_id").join(named, "id", "left")
-    return chunks.select("path", "name", "chunk_type", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).eqNullSafe(F.col("content_sha1")).alias("same"), "name_terms")
+    """A chunk for each symbol, its digest, and the terms that its name has in the inverted index."""
+    t = indexed(spark, sf_dir)
+    chunks = t["rows"].select("id", "file_id", F.col("id").alias("symbol_id"), "content")
+    tokens = S.field_tokens(S.searchable(chunks, t["files"], t["rows"]), porter=True)
+    named = S.postings(tokens).where("col = 'symbol_name'").groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("name_terms"))
+    return t["rows"].join(named, "id", "left").select("path", "name", F.lit("symbol").alias("chunk_type"), "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("content_sha1"), "name_terms")
 
 
 def index_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of each step of building and refreshing the index."""
-    rows: list[tuple[Any, ...]] = [(name, *[n[k] for k in ("scanned", "inserted", "updated", "removed", "symbols", "chunks", "relations")]) for name, n in indexed(spark, sf_dir)[1]]
-    return spark.createDataFrame(rows, "step string, scanned long, inserted long, updated long, removed long, symbols long, chunks long, relations long")
+    """What each step of building and refreshing an index does to files and symbols.
+
+    First come regions and common files, then dealers and one file more, then a comment behind each
+    region's text while that file goes, then nothing.
+    """
+    whole, _ = stored(sources(spark, sf_dir), "steps")
+    extra = spark.createDataFrame([("src/extra.ts", "export function extra() {\n  return 1;\n}\n", "extra")], whole.schema)
+    reviewed = whole.withColumn("text", F.when(F.col("part") == "regions", F.concat("text", F.lit("// reviewed\n"))).otherwise(F.col("text")))
+    states = [("begin", whole.where("part != 'dealers'")), ("add", whole.unionByName(extra)), ("change", reviewed), ("again", reviewed)]
+    before, out = whole.limit(0), None
+    for name, now in states:
+        actions, _ = stored(M.classify(_files(now), _files(before)), "actions")
+        parsed = parse_files(now.join(actions.where("action in ('insert', 'update')").select("path"), "path", "left_semi"))
+        symbols = parsed.agg(F.count_if(F.col("fact") == "symbol").alias("symbols"))
+        does = lambda *what: F.count_if(F.col("action").isin(*what))
+        counts = actions.agg(does("insert", "update").alias("scanned"), does("insert").alias("inserted"), does("touch", "update").alias("updated"), does("remove").alias("removed"))
+        # One row each.
+        row = counts.crossJoin(symbols).select(F.lit(name).alias("step"), "scanned", "inserted", "updated", "removed", "symbols")
+        before, out = now, row if out is None else out.unionByName(row)
+    return out
+
+
+# -- the same facts in SQL ------------------------------------------------------
+
 
+def _quoted(value: Any) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+
+def _facts() -> tuple[str, str]:
+    """VALUES of symbols and edges: kind of file (common files by their path), then the columns."""
+    named = [*((str(n), blocks) for n, blocks in enumerate(KINDS)), ("region", REGION), *COMMON.items()]
+    symbols, edges = [], []
+    for kind, blocks in named:
+        line = 0
+        for text, declared, calls in blocks:
+            symbols += [(kind, name, what, parent, first + line, last + line, exported) for name, what, parent, first, last, exported in declared]
+            edges += [(kind, *call) for call in calls]
+            line += text.count("\n")
+    rows = lambda facts: ", ".join(f"({', '.join(map(_quoted, row))})" for row in facts)
+    return rows(symbols), rows(edges)
+
+
+_SYMBOLS, _EDGES = _facts()
+_GIVEN = "replace(replace({}, '{{k}}', k), '{{r}}', r)"
+
+
+def _of(*columns: str) -> str:
+    return ", ".join(f"{_GIVEN.format('v.' + c)} AS {c}" for c in columns)
+
+
+VIEWS = f"""
+gfiles AS (
+    SELECT CAST(s_suppkey % {len(KINDS)} AS VARCHAR) AS kind, CAST(s_suppkey AS VARCHAR) AS k, CAST(s_nationkey % 5 AS VARCHAR) AS r, 'src/dealers/d' || s_suppkey || '.ts' AS path FROM supplier
+    UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), CAST(r_regionkey AS VARCHAR), 'src/regions/r' || r_regionkey || '.ts' FROM region
+    UNION ALL SELECT x, '', '', x FROM (VALUES {', '.join(f"('{path}')" for path in COMMON)}) c(x)),
+gsymbols AS (
+    SELECT path, {_of('name')}, v.what AS kind, {_of('parent_name')}, start_line, end_line, exported
+    FROM gfiles f JOIN (VALUES {_SYMBOLS}) v(kind, name, what, parent_name, start_line, end_line, exported) ON v.kind = f.kind),
+gedges AS (
+    SELECT path AS source_path, {_of('source_name')}, coalesce(nullif({_GIVEN.format('v.target_path')}, ''), path) AS target_path, {_of('target_name', 'target_parent')}
+    FROM gfiles f JOIN (VALUES {_EDGES}) v(kind, source_name, target_path, target_name, target_parent) ON v.kind = f.kind)
+"""
 
 QUERIES = {"index_symbols": index_symbols, "index_edges": index_edges, "index_chunks": index_chunks, "index_steps": index_steps}
 SQL = {
     "index_symbols": f"WITH {VIEWS} SELECT * FROM gsymbols",
-    "index_edges": f"WITH {VIEWS} SELECT * FROM gedges",
-    "index_chunks": f"WITH {VIEWS} SELECT path, name, 'symbol' AS chunk_type, start_line, end_line, true AS same, 1 AS name_terms FROM gsymbols",
+    "index_edges": f"WITH {VIEWS} SELECT DISTINCT * FROM gedges",
     "index_steps": f"""WITH {VIEWS},
-n AS (SELECT (SELECT count(*) FROM dealers) AS d, (SELECT count(*) FROM regions) AS r)
-SELECT 'begin' AS step, r + 2 AS scanned, r + 2 AS inserted, 0 AS updated, 0 AS removed, 4 * r + 2 AS symbols, 4 * r + 2 AS chunks, r + 1 AS relations FROM n
-UNION ALL SELECT 'add', d + 1, d + 1, 0, 0, 6 * d + 1, 6 * d + 1, 7 * d + r + 1 FROM n
-UNION ALL SELECT 'change', r, 0, r, 1, 4 * r, 4 * r, 7 * d + r + 1 FROM n
-UNION ALL SELECT 'again', 0, 0, 0, 0, 0, 0, 0 FROM n""",
+n AS (SELECT count(*) FILTER (kind NOT LIKE 'src/%' AND kind <> 'region') AS d, count(*) FILTER (kind = 'region') AS r, count(*) FILTER (kind LIKE 'src/%') AS c FROM gfiles),
+s AS (SELECT count(*) FILTER (path LIKE 'src/dealers/%') AS d, count(*) FILTER (path LIKE 'src/regions/%') AS r, count(*) AS n FROM gsymbols)
+SELECT 'begin' AS step, n.r + c AS scanned, n.r + c AS inserted, 0 AS updated, 0 AS removed, s.n - s.d AS symbols FROM n, s
+UNION ALL SELECT 'add', n.d + 1, n.d + 1, 0, 0, s.d + 1 FROM n, s
+UNION ALL SELECT 'change', n.r, 0, n.r, 1, s.r FROM n, s
+UNION ALL SELECT 'again', 0, 0, 0, 0, 0""",
 }
+
+
+def _content_sql() -> str:
+    """Chunks: the lines of a symbol's file, cut where it begins and ends in its first and last line."""
+    named = [*((str(n), blocks) for n, blocks in enumerate(KINDS)), ("region", REGION), *COMMON.items()]
+    texts = ", ".join(f"('{kind}', '{_text(blocks).replace(chr(39), chr(39) * 2)}')" for kind, blocks in named)
+    return f"""WITH {VIEWS},
+texts AS (SELECT f.path, string_split({_GIVEN.format('v.text')}, chr(10)) AS lines FROM gfiles f JOIN (VALUES {texts}) v(kind, text) ON v.kind = f.kind),
+whole AS (SELECT s.*, array_to_string(lines[start_line:end_line], chr(10)) AS t FROM gsymbols s JOIN texts USING (path)),
+-- Variables are their declarator, without the words before it and what ends it; others begin with the first word.
+cut AS (
+    SELECT *, CASE WHEN kind <> 'variable' OR name LIKE 'given%' OR name = 'sum' THEN regexp_replace(t, '^\\s+', '')
+                   WHEN name LIKE 'aliased%' THEN regexp_extract(t, 'aliased[^,]*')
+                   ELSE regexp_replace(t[instr(t, name || ' '):], ';$', '') END AS content FROM whole)
+SELECT path, name, 'symbol' AS chunk_type, start_line, end_line, sha1(content) AS content_sha1, 1 AS name_terms FROM cut"""
+
+
+SQL["index_chunks"] = _content_sql()

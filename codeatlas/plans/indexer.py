@@ -13,6 +13,7 @@ from codeatlas.functions.text import is_source, signature_of
 from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
+from codeatlas.operators.inference import inferred_refs
 from codeatlas.operators.program import Keep, facts, in_shared_folder, semantic_refs
 from codeatlas.operators.relations import dedupe_targets, resolve_targets
 from codeatlas.plans.providers import resolve_provider
@@ -30,6 +31,27 @@ def _highest(df: DataFrame) -> int:
     return df.agg(F.max("id")).first()[0] or 0
 
 
+def symbol_rows(parsed: DataFrame, files: DataFrame, first: int, stage: str) -> DataFrame:
+    """Symbols of parsed files with ids, content and parent, numbered from ``first`` by path and order of appearance."""
+    declared = parsed.where("fact = 'symbol'").select(
+        "path", "ord", F.col("a").alias("key"), F.col("b").alias("name"), F.col("c").alias("kind"), F.col("d").alias("parent"), "start_line", "end_line", F.col("flag").alias("exported")
+    )
+    content = parsed.where("fact = 'content'").select("path", "ord", F.col("a").alias("content"))
+    with_ids = numbered(declared.join(content, ["path", "ord"]), ["path", "ord"], first, stage)
+    with_ids = with_ids.join(files.select("path", F.col("id").alias("file_id")), "path")
+    owners = with_ids.where("kind = 'class'").select("path", F.concat(F.lit("class:"), "name").alias("owner_key"), F.col("id").alias("owner_id"), F.col("ord").alias("owner_ord"))
+    owned = with_ids.withColumn("owner_key", F.concat(F.lit("class:"), "parent")).join(owners, ["path", "owner_key"], "left")
+    # The nearest class of that name before the method.
+    before = F.when(F.col("owner_ord") < F.col("ord"), F.struct("owner_ord", "owner_id"))
+    parents = owned.groupBy("id").agg(F.max(before).alias("owner")).select("id", F.col("owner.owner_id").alias("parent_symbol_id"))
+    return with_ids.join(parents, "id")
+
+
+def stored_symbols(rows: DataFrame) -> DataFrame:
+    """The symbol table's columns of :func:`symbol_rows`."""
+    return rows.select("id", "file_id", "parent_symbol_id", "name", "kind", signature_of(F.col("kind"), F.col("content"), F.col("name")).alias("signature"), "start_line", "end_line", "exported")
+
+
 def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """Edges of the whole program: references of each file and across files, resolved to symbols.
 
@@ -49,7 +71,9 @@ def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, kee
         "sources",
     )
     syntactic = facts(parsed, "ref", a="key", b="target_name", c="target_parent").select("path", "key", "target_name", "target_parent", "ord")
-    semantic = semantic_refs(parsed.where(is_source("path")), keep).select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
+    source_files = parsed.where(is_source("path"))
+    followed = semantic_refs(source_files, keep).unionByName(inferred_refs(source_files, keep))
+    semantic = followed.select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
     refs = syntactic.unionByName(semantic).join(sources, ["path", "key"])
     unique = dedupe_targets(refs, "source_id").withColumn("ref_id", F.xxhash64("target_name", "target_parent"))
     wanted = unique.join(sources.select("source_id", "source_file").distinct(), "source_id")
@@ -137,22 +161,8 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
     parsed = staged(parse_files(tree if whole else tree.join(fresh, "path", "left_semi")), "parsed")
     facts_now = staged(tables["facts"].join(reworked, "path", "left_anti").unionByName(parsed.where("fact != 'content'")), "facts")
 
-    # Symbols of reworked files, numbered by path and order of appearance.
-    declared = parsed.where("fact = 'symbol'").join(fresh, "path", "left_semi").select(
-        "path", "ord", F.col("a").alias("key"), F.col("b").alias("name"), F.col("c").alias("kind"), F.col("d").alias("parent"), "start_line", "end_line", F.col("flag").alias("exported")
-    )
-    content = parsed.where("fact = 'content'").select("path", "ord", F.col("a").alias("content"))
-    with_ids = numbered(declared.join(content, ["path", "ord"]), ["path", "ord"], _highest(tables["symbols"]) + 1, store.stage("symbol_ids"))
-    with_ids = with_ids.join(files.select("path", F.col("id").alias("file_id")), "path")
-    owners = with_ids.where("kind = 'class'").select("path", F.concat(F.lit("class:"), "name").alias("owner_key"), F.col("id").alias("owner_id"), F.col("ord").alias("owner_ord"))
-    owned = with_ids.withColumn("owner_key", F.concat(F.lit("class:"), "parent")).join(owners, ["path", "owner_key"], "left")
-    # The nearest class of that name before the method.
-    before = F.when(F.col("owner_ord") < F.col("ord"), F.struct("owner_ord", "owner_id"))
-    parents = owned.groupBy("id").agg(F.max(before).alias("owner")).select("id", F.col("owner.owner_id").alias("parent_symbol_id"))
-    rows = staged(with_ids.join(parents, "id"), "symbol_rows")
-    symbols = left["symbols"].unionByName(
-        rows.select("id", "file_id", "parent_symbol_id", "name", "kind", signature_of(F.col("kind"), F.col("content"), F.col("name")).alias("signature"), "start_line", "end_line", "exported")
-    )
+    rows = staged(symbol_rows(parsed.join(fresh, "path", "left_semi"), files, _highest(tables["symbols"]) + 1, store.stage("symbol_ids")), "symbol_rows")
+    symbols = left["symbols"].unionByName(stored_symbols(rows))
     first_chunk = _highest(tables["chunks"]) + 1
     numbers = numbered(rows.select(F.col("id").alias("symbol_id")), ["symbol_id"], first_chunk, store.stage("chunk_ids"))
     new_chunks = rows.withColumnRenamed("id", "symbol_id").join(numbers, "symbol_id").select(

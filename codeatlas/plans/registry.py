@@ -17,7 +17,7 @@ from codeatlas.operators import symbols as G
 from codeatlas.plans import generated
 from codeatlas.shared import drop_path, exists, stored
 from codeatlas.sources.tree import DEFAULT_EXCLUDE, glob_regex
-from codeatlas.sources.virtual import CLASS_BASE, VIEWS, VirtualIndex
+from codeatlas.sources.virtual import CLASS_BASE, VIEWS, VirtualIndex, files_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,15 +384,16 @@ _TOKENS_OF_QUERY = T.query_tokens(TEXT_QUERY)
 _EXPANDED = T.expanded_tokens(_TOKENS_OF_QUERY)
 
 
-_BUILT: dict[tuple[str, str, bool], tuple[str, str]] = {}
+_BUILT: dict[tuple[str, str, bool, str], tuple[str, str]] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str, porter: bool = False) -> tuple[VirtualIndex, DataFrame, DataFrame]:
-    """The inverted index of a folder's documents, built once for each application.
+    """The inverted index of a folder's documents, built once for each application and state of the files.
 
     Postings lie in the shared folder in the order of their terms, so that a prefix reads few row groups.
     """
-    v, key = VirtualIndex(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir, porter)
+    v = VirtualIndex(spark, sf_dir)
+    key = spark.sparkContext.applicationId, sf_dir, porter, files_of(v.table("documents"))
     paths = _BUILT.get(key)
     if paths is None or not all(exists(spark, x) for x in paths):
         tokens, path = stored(S.field_tokens(S.searchable(v.chunks(), v.files()), porter=porter), "tokens")

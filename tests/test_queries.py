@@ -103,3 +103,40 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_a_method_name_that_many_classes_share(spark):
+    """Selectors with a container meet their own class only; bare ones and wildcards are looked up once."""
+    from codeatlas.operators import symbols as G
+
+    n = 5000
+    classes = [(i, i, None, f"C{i}", "class", 1, 9, True) for i in range(n)]
+    methods = [(n + i, i, i, "get", "method", 2, 3, i % 2 == 0) for i in range(n)]
+    symbols = spark.createDataFrame(classes + methods, "id long, file_id long, parent_symbol_id long, name string, kind string, start_line int, end_line int, exported boolean")
+    files = spark.createDataFrame([(i, f"src/f{i:04d}.ts") for i in range(n)], "id long, path string")
+    wanted = {f"C{i}.get": [n + i] for i in range(n)}
+    wanted |= {"get": [n + i for i in range(0, 20, 2)], "f0003.ts#get": [n + 3], "C7.e": [n + 7], "C7.%": [n + 7], "C7._": [n + 7], "nothing": []}
+    wanted |= {"%": [i for i in range(10)], "____": [i for i in range(1000, 1010)], "f0042#_": [42, n + 42]}
+    queries = spark.createDataFrame([(q, q) for q in wanted] + [("again", "get")], "qid string, selector string")
+    found = {}
+    for r in G.lookup_batch(symbols, files, queries).orderBy("qid", "nth").collect():
+        found.setdefault(r.qid, []).append(r.id)
+    assert found.pop("again") == found["get"]
+    for name, selector in (("get", "get"), ("%", "%"), ("____", "____"), ("C7._", "C7._"), ("f0042#_", "f0042#_")):
+        single = G.lookup(symbols, files, selector).collect()
+        paths = [(r.file_path, r.symbol_name) for r in single]
+        named = {i: (f"src/f{i % n:04d}.ts", f"C{i}" if i < n else "get") for i in found[name]}
+        assert [named[i] for i in found[name]] == paths
+    assert found == {q: ids for q, ids in wanted.items() if ids} | {q: found[q] for q in ("%", "____", "f0042#_")}
+
+
+def test_an_index_follows_its_files(spark):
+    """Another table under the same path is read anew."""
+    from codeatlas.shared import shared_dir
+
+    folder = shared_dir(spark, "replaced")
+    for text in ("one two two", "three"):
+        rows = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+        rows.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        terms = {r.term: r.hits for r in QUERIES["postings_stats"](spark, folder).collect()}
+        assert {t: n for t, n in terms.items() if t in ("one", "two", "three")} == ({"one": 1, "two": 2} if " " in text else {"three": 1})
