@@ -1,11 +1,16 @@
-"""Tokens of TypeScript and JavaScript, with matched brackets."""
+"""Tokens of TypeScript and JavaScript, with matched brackets.
+
+The reader keeps a stack of modes: code, the expression in a template, a tag, the text of an element, and
+the expression in its braces. What a tag and an element's text hold is no code, whatever quotes, backticks or
+slashes stand in it; their expressions are lexed as code and stand between ``${`` and ``$}``, as in templates.
+"""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-NAME, NUMBER, STRING, TEMPLATE, REGEX, PUNCT = "name", "number", "string", "template", "regex", "punct"
+NAME, NUMBER, STRING, TEMPLATE, REGEX, PUNCT, MARKUP = "name", "number", "string", "template", "regex", "punct", "markup"
 
 _NAME = re.compile(r"#?[A-Za-z_$ª-￿][\w$ª-￿]*")
 _NUMBER = re.compile(r"\.?\d[\w.]*")
@@ -13,6 +18,9 @@ _STRING = re.compile(r""""(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'""")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
 _PUNCT = re.compile(r"=>|\.\.\.|\?\.(?!\d)|===|!==|==|!=|<=|>=|&&=?|\|\|=?|\?\?=?|\+\+|--|\*\*=?|[-+*/%&|^]=|[{}()\[\];,<>+\-*/%&|^!~?:=.@#\\]")
 _SPACE = re.compile(r"\s+|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+_TAG = re.compile(r"<(?=[A-Za-z_$>])(?P<name>[A-Za-z_$][\w$.:-]*)?")
+#: Behind its name, type parameters of an arrow function go on like this and tags don't.
+_TYPE_PARAMETER = re.compile(r"\s*(?:,|=(?!>)|extends\b(?!\s*[=/>]))")
 #: After these words a slash starts a regular expression.
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "new", "delete", "void", "throw", "instanceof", "else", "do", "yield", "await"}
 _CLOSING = {"(": ")", "[": "]", "{": "}"}
@@ -26,13 +34,13 @@ class Token:
     end: int
 
 
-def tokens_of(text: str) -> list[Token]:
-    """Tokens in order; what stands in a template's ``${}`` is lexed too.
+def tokens_of(text: str, markup: bool = False) -> list[Token]:
+    """Tokens in order; what stands in a template's ``${}`` is lexed too, with ``markup`` elements as well.
 
     Text that fits no rule is skipped a character at a time, so any input gives tokens.
     """
     out: list[Token] = []
-    depth = [0]  # open braces, a level for each open template
+    modes: list[list] = [["code", 0]]  # open templates, tags and elements, with the open braces of the code in them
     at, size = 0, len(text)
 
     def template(start: int) -> int:
@@ -47,13 +55,82 @@ def tokens_of(text: str) -> list[Token]:
             elif text.startswith("${", i):
                 out.append(Token(TEMPLATE, text[start:i], start, i))
                 out.append(Token(PUNCT, "${", i, i + 2))
-                depth.append(0)
+                modes.append(["template", 0])
                 return i + 2
             else:
                 i += 1
         out.append(Token(TEMPLATE, text[start:size], start, size))
         return size
 
+    def element(start: int) -> int:
+        """On from a tag or an element's text, up to the next braces or to the end of the outermost element."""
+        i = start
+
+        def put(end: int) -> None:
+            if end > start:  # tokens of an element follow each other without a gap
+                out.append(Token(MARKUP, text[start:end], start, end))
+
+        while i < size and modes[-1][0] in ("tag", "text"):
+            if modes[-1][0] == "text":
+                brace, angle = text.find("{", i), text.find("<", i)
+                if brace < 0 and angle < 0:
+                    i = size
+                elif angle < 0 or 0 <= brace < angle:
+                    i = brace
+                elif text.startswith("</", angle):
+                    modes.pop()
+                    i = text.find(">", angle) + 1 or size
+                    continue
+                elif m := _TAG.match(text, angle):
+                    modes.append(["tag", 0])
+                    i = m.end()
+                    continue
+                else:
+                    i = angle + 1
+                    continue
+            elif m := _SPACE.match(text, i):
+                i = m.end()
+                continue
+            elif text.startswith("/>", i):
+                modes.pop()
+                i += 2
+                continue
+            elif text[i] == ">":
+                modes[-1][0] = "text"
+                i += 1
+                continue
+            elif text[i] in "\"'":
+                i = text.find(text[i], i + 1) + 1 or size
+                continue
+            elif text[i] == "<":
+                if text[start:i].rstrip().endswith("=") and (m := _TAG.match(text, i)):  # an element as a value
+                    modes.append(["tag", 0])
+                    i = m.end()
+                else:  # type arguments of a component
+                    i = text.find(">", i) + 1 or size
+                continue
+            elif text[i] != "{":
+                i += 1
+                continue
+            if i < size:
+                put(i)
+                out.append(Token(PUNCT, "${", i, i + 1))
+                modes.append(["braces", 0])
+                return i + 1
+        put(i)
+        return i
+
+    def begins_element(i: int) -> re.Match | None:
+        """The tag at ``i``, if an expression may start there and its element ends somewhere."""
+        m = _TAG.match(text, i)
+        if not m or not _value_may_start(out):
+            return None
+        name = m["name"] or ""
+        if name and _TYPE_PARAMETER.match(text, m.end()):
+            return None
+        close = text.find("/>", m.end())
+        return m if text.find(f"</{name}", m.end()) >= 0 or (name and 0 <= close and "<" not in text[m.end() : close]) else None
+
     while at < size:
         if m := _SPACE.match(text, at):
             at = m.end()
@@ -68,18 +145,25 @@ def tokens_of(text: str) -> list[Token]:
             out.append(Token(NUMBER, m[0], at, m.end()))
         elif m := _STRING.match(text, at):
             out.append(Token(STRING, m[0], at, m.end()))
-        elif c == "/" and _regex_may_start(out) and (m := _REGEX.match(text, at)):
+        elif c == "<" and markup and (m := begins_element(at)):
+            modes.append(["tag", 0])
+            start = at
+            at = m.end()
+            out.append(Token(MARKUP, text[start:at], start, at))
+            at = element(at)
+            continue
+        elif c == "/" and _value_may_start(out) and (m := _REGEX.match(text, at)):
             out.append(Token(REGEX, m[0], at, m.end()))
         elif m := _PUNCT.match(text, at):
             if c == "{":
-                depth[-1] += 1
+                modes[-1][1] += 1
             elif c == "}":
-                if depth[-1] == 0 and len(depth) > 1:
-                    depth.pop()
+                if modes[-1][1] == 0 and len(modes) > 1:
+                    kind, _ = modes.pop()
                     out.append(Token(PUNCT, "$}", at, at + 1))
-                    at = template(at + 1)
+                    at = (template if kind == "template" else element)(at + 1)
                     continue
-                depth[-1] -= 1
+                modes[-1][1] -= 1
             out.append(Token(PUNCT, m[0], at, m.end()))
         else:
             at += 1
@@ -88,7 +172,7 @@ def tokens_of(text: str) -> list[Token]:
     return out
 
 
-def _regex_may_start(out: list[Token]) -> bool:
+def _value_may_start(out: list[Token]) -> bool:
     if not out:
         return True
     last = out[-1]
