@@ -31,7 +31,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("url_key", "position")
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +105,18 @@ r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, ways.v FROM
 SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, r.id = min(r.c) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY r.id
 """,
-    "op6_warc": """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    # Keys and places in the merged index for URLs of a scheme, a host and what follows it, without user and port.
+    "op6_warc": r"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u FROM pages),
+keys AS (
+    SELECT page_id, lower(array_to_string(list_reverse(string_split(u.host, '.')), ',') || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END
+                          || CASE WHEN length(u.query) > 1 THEN u.query ELSE '' END) AS url_key FROM u),
+places AS (SELECT page_id, url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS position FROM keys),
+p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 c AS (SELECT payload_digest, max(page_id) AS carrier FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> carrier THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> carrier THEN carrier END AS refers_to
-FROM p LEFT JOIN c ON p.payload_bytes >= 1000 AND p.payload_digest = c.payload_digest
+       CASE WHEN page_id <> carrier THEN carrier END AS refers_to, url_key, position
+FROM p JOIN places USING (page_id) LEFT JOIN c ON p.payload_bytes >= 1000 AND p.payload_digest = c.payload_digest
 """,
     # For texts whose white space is ASCII and that don't hold the character U+0001.
     "op10_substring_dedup": r"""

@@ -202,28 +202,36 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-LEARNED = T.StructType([T.StructField("toxic", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("own", "other", "none")]])
+LEARNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("toxic", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("own", "other", "none")]])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fit on the rows of at most ``sample`` labelled documents that are not held out."""
+    """Fit on at most ``sample`` rows: one of each labelled document that is not held out.
+
+    Of rows that share a ``doc_id`` that with the least hash of its text is taken, before any row leaves
+    its task for the driver, so neither repeated ids nor repeated rows add to what is gathered.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
             rows = []
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, label, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
                 words = words_of(text)
                 forms = [words]
                 if any(w in _SWAP for w in words):
                     forms += [swapped(words, xxhash.xxh32_intdigest((text or "").encode())), neutral(words)]
-                rows.append((int(label > 0), *[feature_hashes(x)[:MOST_FEATURES].tobytes() for x in forms], *[None] * (3 - len(forms))))
+                mark = xxhash.xxh3_64_intdigest((text or "").encode()) >> 1
+                rows.append((doc, mark, int(label > 0), *[feature_hashes(x)[:MOST_FEATURES].tobytes() for x in forms], *[None] * (3 - len(forms))))
             yield rows
 
-    chosen_rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    chosen_rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     # At most ``sample`` rows of at most three times ``MOST_FEATURES`` hashes; not texts.
-    held = sorted(tuple(r) for r in mapped(chosen_rows, run, LEARNED).select(*[F.coalesce(c, F.lit(b"")).alias(c) if c != "toxic" else c for c in LEARNED.names]).collect())
+    forms = ("own", "other", "none")
+    row = F.struct("mark", "toxic", *[F.coalesce(c, F.lit(b"")).alias(c) for c in forms])
+    firsts = mapped(chosen_rows, run, LEARNED).groupBy("doc_id").agg(F.min(row).alias("row"))
+    held = sorted(tuple(r) for r in firsts.select("row.toxic", *[f"row.{c}" for c in forms]).collect())
     array = lambda x: np.frombuffer(x, dtype=np.uint32)
     pairs = [(array(r[1]), array(x)) for r in held for x in r[2:] if x]
     return fit([array(r[1]) for r in held], [r[0] for r in held], pairs)

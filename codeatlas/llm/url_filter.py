@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ DAMPING = 0.85
 SEED_SHARE = 0.5
 #: Rounds end when no host's score moves by more than this share of itself.
 TOLERANCE = 1e-7
+#: Rounds between two looks at what has moved.
+LOOK = 4
 FACTOR = 1.0
 #: Distrust must exceed trust by this share of it; what is left after the last round lies below.
 MARGIN = 1e-6
@@ -80,23 +83,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """Personalised PageRank for several sides at once.
 
     ``edges``: ``side, src, dst, share`` with shares summing to at most 1 for each source;
-    ``seeds``: ``side, host, weight``. Every round is written to the shared folder; rounds end
-    when no score moves by more than ``tolerance`` times itself and no host is new, so that
+    ``seeds``: ``side, host, weight``. Every round is written to the shared folder, with the score before it
+    beside each new one; every ``LOOK`` rounds these are compared, and rounds end when no score moves by more than ``tolerance`` times itself and no host is new, so that
     neither the number of seeds nor the distance from them decides who gets a score.
     """
     spark = edges.sparkSession
     base = seeds.select("side", "host", (F.col("weight") * (1 - damping)).alias("score"))
     now, path = stored(base, "ranks")
-    while True:
+    none = F.lit(0.0)
+    for number in count(1):
         sent = edges.join(now.select("side", F.col("host").alias("src"), "score"), ["side", "src"]).select("side", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        after, new_path = stored(sent.unionByName(base).groupBy("side", "host").agg(F.sum("score").alias("score")), "ranks")
-        old = now.select("side", "host", F.col("score").alias("old"))
-        share = F.when(F.col("score") > 0, F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) / F.col("score"))
-        moved = after.join(old, ["side", "host"], "left").agg(F.max(share)).first()[0]
+        given = sent.unionByName(base).withColumn("old", none).unionByName(now.select("side", "host", none.alias("score"), F.col("score").alias("old")))
+        after, new_path = stored(given.groupBy("side", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "ranks")
         drop_path(spark, path)
-        now, path = after, new_path
-        if (moved or 0.0) < tolerance:
-            break
+        now, path = after.select("side", "host", "score"), new_path
+        if number % LOOK == 0:
+            moved = after.agg(F.max(F.when(F.col("score") > 0, F.abs(F.col("score") - F.col("old")) / F.col("score")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                break
     # Two rows: the sums of the sides.
     return now.join(F.broadcast(now.groupBy("side").agg(F.sum("score").alias("whole"))), "side").select("side", "host", (F.col("score") / F.col("whole")).alias("score"))
 

@@ -888,7 +888,7 @@ def test_short_repeats_are_returned(spark):
 def test_registered_sql(spark):
     """Every query with SQL against DuckDB, on the smallest tables."""
     duck = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         wanted = duck.sql(sql)
@@ -1197,3 +1197,33 @@ def test_long_lists_of_ends(spark, monkeypatch):
 def test_trie_without_conversations(spark):
     table = turns_table(spark, [])
     assert prefix_trie.prefix_trie(*prefix_trie.rebuilt(table)).collect() == []
+
+
+def test_toxicity_with_repeated_ids(spark):
+    """Rows that share a labelled id count once; the sample bounds what is gathered."""
+    rows = [(1, f"awful thing {i}") for i in range(300)] + [(2, "kind words")] * 50 + [(i, f"plain text {i}") for i in range(3, 12)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.fit
+
+    def counted(samples, *more):
+        seen.append(len(samples))
+        return plain(samples, *more)
+
+    toxicity.fit = counted
+    try:
+        toxicity.learn(docs, labels, sample=4)
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.fit = plain
+    assert seen[0] == 4 and seen[1] <= 11
+
+
+def test_many_hosts(spark):
+    """A ring of hosts: trust and distrust reach all of them, however far."""
+    rows = [(i, f"https://h{i}.example.org/p", f'<a href="https://h{(i + 1) % 40}.example.org/p">x</a>') for i in range(40)]
+    rows += [(100, "https://good.com/", '<a href="https://h0.example.org/p">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, url_filter.RULES).collect()}
+    assert all(got[i].trust > 0 for i in range(40)) and all(r.verdict == "allow" for r in got.values())
