@@ -65,6 +65,9 @@ def inferred_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
 
     ``rows``: facts of all files.
     """
+    calls = "path string, source string, target_name string, target_parent string"
+    if rows.where("fact = 'infer' and a = 'call:'").isEmpty():
+        return rows.sparkSession.createDataFrame([], calls)
     defined = definitions(rows, lambda df, name: keep(df, f"types_{name}"))
     bound = keep(bindings(rows, defined), "types_bindings")
     number = lambda kind: F.concat_ws(":", F.lit(kind), "path", "ord")
@@ -114,32 +117,32 @@ def inferred_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
 
     known_all = new_known = keep(known, "types_slots_0")
     waits_all = new_waits = keep(waits.distinct(), "types_waits_0")
-    seen = keep(states.distinct(), "types_states_0")
-    new_states, out = seen, None
+    seen = new_states = keep(states.distinct(), "types_states_0")
+    # What is new in a round is written once; all that is known is the union of these.
     for step in count(1):
+        if new_states.isEmpty():
+            break
         # What the new states ask for, and what those without steps tell.
         at = _at(new_states)
         ready = at.where("size(steps) = 0").select("id", "term").join(goals.where("slot != 'call'"), "id")
         told = ready.select(here.alias("key"), "owner", F.col("target").alias("name"), "slot", "term").distinct()
-        hits = at.where("size(steps) = 1").withColumn("name", first["m"]).where(first["c"]).join(goals.where("slot = 'call'").select("id", "path", F.col("target").alias("source")), "id")
-        hits = hits.join(methods, ["key", "owner", "name"], "left_semi").select("path", "source", F.col("name").alias("target_name"), F.col("owner").alias("target_parent")).distinct()
-        out = keep(hits if out is None else out.unionByName(hits).distinct(), f"types_hits_{step}")
         going = at.where("size(steps) > 0").withColumn("name", first["m"])
         asked = going.where("owner != '[]'").select("id", "key", "owner", "name", F.when(first["c"], "returns").otherwise("value").alias("slot"), "args", first["t"].alias("given"), rest.alias("steps"))
         elements = going.where("owner = '[]' and name = '[]'").select("id", F.get("args", F.lit(0)).alias("term"), rest.alias("steps"))
         lifted = going.join(own, ["key", "owner", "name"], "left_anti").join(supers, ["key", "owner"]).select("id", filled(F.col("base"), "p", F.col("args")).alias("term"), "steps")
-        fresh_waits = keep(asked.distinct().join(waits_all, ["id", *_SLOT, "args", "given", "steps"], "left_anti") if step > 1 else asked.distinct(), f"types_asked_{step}")
-        new_waits = new_waits.unionByName(fresh_waits) if step == 1 else fresh_waits
-        new_known = keep(told.join(known_all, [*_SLOT, "term"], "left_anti"), f"types_told_{step}")
+        fresh_waits = keep(asked.distinct().join(waits_all, ["id", *_SLOT, "args", "given", "steps"], "left_anti"), f"types_waits_{step}")
+        fresh_known = keep(told.join(known_all, [*_SLOT, "term"], "left_anti"), f"types_slots_{step}")
         # New questions meet all slots, old ones only the new slots.
-        slots = known_all.unionByName(new_known)
-        got = answers(new_waits, slots)
+        new_waits = new_waits.unionByName(fresh_waits) if step == 1 else fresh_waits
+        got = answers(new_waits, known_all.unionByName(fresh_known))
         if step > 1:
-            got = got.unionByName(answers(waits_all, new_known))
-        waits_all = keep(waits_all.unionByName(fresh_waits), f"types_waits_{step}")
-        known_all = keep(slots, f"types_slots_{step}")
+            got = got.unionByName(answers(waits_all, fresh_known))
+        waits_all, known_all = waits_all.unionByName(fresh_waits), known_all.unionByName(fresh_known)
         made = got.unionByName(elements).unionByName(lifted).where("term is not null").distinct()
-        new_states = keep(made.join(seen, ["id", "term", "steps"], "left_anti"), f"types_new_{step}")
-        if new_states.isEmpty():
-            return out
-        seen = keep(seen.unionByName(new_states), f"types_states_{step}")
+        new_states = keep(made.join(seen, ["id", "term", "steps"], "left_anti"), f"types_states_{step}")
+        seen = seen.unionByName(new_states)
+    # A call means the last member of its expression, in the class that declares it.
+    last = _at(seen).where("size(steps) = 1").withColumn("name", first["m"]).where(first["c"])
+    calls = goals.where("slot = 'call'").select("id", "path", F.col("target").alias("source"))
+    hits = last.join(calls, "id").join(methods, ["key", "owner", "name"], "left_semi")
+    return keep(hits.select("path", "source", F.col("name").alias("target_name"), F.col("owner").alias("target_parent")).distinct(), "types_calls")

@@ -39,8 +39,8 @@ def key_of(path: Column) -> Column:
 def definitions(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     """``key, exported, def_key, def_name``: where an exported name of a module is declared.
 
-    Each round follows re-exports one step further, until nothing is found; ``keep`` stores a
-    round's rows, as the next one reads them more than once.
+    Each round follows re-exports of what was new in the last one a step further, until nothing is; ``keep``
+    stores a round's rows, as the next one reads them more than once.
     """
     exports = facts(rows, "export", a="exported", b="local", c="module", d="raw").withColumn("key", key_of(F.col("path")))
     imports = facts(rows, "import", a="local", b="original", c="module").where("module is not null and original != '*'").withColumn("key", key_of(F.col("path")))
@@ -50,16 +50,15 @@ def definitions(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
     direct = own.join(imports.select("key", "local"), ["key", "local"], "left_anti").select("key", "exported", F.col("key").alias("def_key"), F.col("local").alias("def_name"))
     links = exports.where("raw is not null and module is not null and exported != '*'").select("key", "exported", F.col("module").alias("next"), F.col("local").alias("name")).unionByName(passed)
     stars = exports.where("exported = '*' and module is not null").select("key", F.col("module").alias("next"))
-    found, size = keep(direct.distinct(), "definitions_0"), -1
+    found = fresh = keep(direct.distinct(), "definitions_0")
     for step in count(1):
-        now = found.count()
-        if now == size:
+        if fresh.isEmpty():
             return found
-        size = now
-        known = found.select(F.col("key").alias("next"), F.col("exported").alias("name"), "def_key", "def_name")
+        known = fresh.select(F.col("key").alias("next"), F.col("exported").alias("name"), "def_key", "def_name")
         named = links.join(known, ["next", "name"]).select("key", "exported", "def_key", "def_name")
         all_ = stars.join(known, "next").where("name != 'default'").select("key", F.col("name").alias("exported"), "def_key", "def_name")
-        found = keep(found.unionByName(named).unionByName(all_).distinct(), f"definitions_{step}")
+        fresh = keep(named.unionByName(all_).distinct().join(found, ["key", "exported", "def_key", "def_name"], "left_anti"), f"new_definitions_{step}")
+        found = keep(found.unionByName(fresh), f"definitions_{step}")
 
 
 def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:
@@ -97,3 +96,31 @@ def semantic_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
         now = keep(more.join(placed, ["key", "type", "member"]).select("id", "path", "source", F.expr("slice(steps, 2, size(steps) - 1)").alias("steps"), F.col("next_key").alias("key"), F.col("next_type").alias("type")), f"chains_{step}")
         if now.isEmpty():
             return reduce(DataFrame.unionByName, out).distinct()
+
+
+def module_edges(rows: DataFrame) -> DataFrame:
+    """``path, module``: which files import from or re-export which modules (keys of :func:`key_of`)."""
+    imports = facts(rows, "import", c="module").where("module is not null").select("path", "module")
+    exports = facts(rows, "export", c="module").where("module is not null").select("path", "module")
+    return imports.union(exports).distinct()
+
+
+def dependent_files(edges: DataFrame, paths: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
+    """``paths`` (``path``) and all files that import from them, directly or by way of others."""
+    links = edges.withColumnRenamed("path", "by")
+    return _reached(paths, lambda new: links.join(new.select(key_of(F.col("path")).alias("module")).distinct(), "module").select(F.col("by").alias("path")), keep, "dependents")
+
+
+def needed_files(edges: DataFrame, files: DataFrame, paths: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
+    """``paths`` and all of ``files`` that they import from, directly or by way of others."""
+    keys = files.select(key_of(F.col("path")).alias("module"), F.col("path").alias("of"))
+    return _reached(paths, lambda new: new.join(edges, "path").select("module").distinct().join(keys, "module").select(F.col("of").alias("path")), keep, "needed")
+
+
+def _reached(paths: DataFrame, step: Callable[[DataFrame], DataFrame], keep: Keep, name: str) -> DataFrame:
+    found = fresh = keep(paths.select("path").distinct(), f"{name}_0")
+    for n in count(1):
+        fresh = keep(step(fresh).distinct().join(found, "path", "left_anti"), f"{name}_new_{n}")
+        if fresh.isEmpty():
+            return found
+        found = keep(found.unionByName(fresh), f"{name}_{n}")

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.shared import stored
 
-#: After so many steps the pairs of an alias closure are written together, to keep partitions few.
-MERGED_STEPS = 16
-
-
 def dedupe_targets(refs: DataFrame, source: str = "source_id") -> DataFrame:
     """Each (name, parent) of a source once; names without a parent go where one with a parent exists.
 
@@ -52,19 +46,18 @@ def resolve_targets(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 def alias_closure(edges: DataFrame) -> DataFrame:
     """``name, reach``: every name that a name stands for, itself included.
 
-    ``edges``: ``name, target``, where cycles and self loops may occur. Pairs that are new in a
-    step are all that the next one extends; the loop ends when there are none. Each step's pairs
-    are written to the shared folder, so that plans don't grow with the depth.
+    ``edges``: ``name, target``, where cycles and self loops may occur. Paths are doubled: a step joins the
+    pairs that were new in the last one, whose shortest way is the longest so far, with all known pairs, so
+    that rounds grow with the logarithm of the depth. Each step's pairs are written to the shared
+    folder, which keeps plans short; the loop ends when there are no new ones.
     """
     cut = lambda df: stored(df, "aliases")[0]
-    steps = cut(edges.where("name != target").distinct())
+    fresh = cut(edges.select("name", F.col("target").alias("reach")).where("name != reach").distinct())
     names = edges.select("name").union(edges.select("target")).distinct()
-    known = fresh = cut(names.select("name", F.col("name").alias("reach")))
-    for step in count(1):
-        following = fresh.join(steps.select(F.col("name").alias("reach"), "target"), "reach").select("name", F.col("target").alias("reach")).distinct()
+    known = cut(names.select("name", F.col("name").alias("reach")).unionByName(fresh))
+    while not fresh.isEmpty():
+        onward = known.select(F.col("name").alias("reach"), F.col("reach").alias("further"))
+        following = fresh.join(onward, "reach").select("name", F.col("further").alias("reach")).distinct()
         fresh = cut(following.join(known, ["name", "reach"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = known.union(fresh)
-        if step % MERGED_STEPS == 0:
-            known = cut(known.repartition("name", "reach"))
+        known = cut(known.unionByName(fresh))
+    return known

@@ -14,7 +14,7 @@ from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
 from codeatlas.operators.inference import inferred_refs
-from codeatlas.operators.program import Keep, facts, in_shared_folder, semantic_refs
+from codeatlas.operators.program import Keep, dependent_files, facts, in_shared_folder, module_edges, needed_files, semantic_refs
 from codeatlas.operators.relations import dedupe_targets, resolve_targets
 from codeatlas.plans.providers import resolve_provider
 from codeatlas.sources.parser import parse_files
@@ -52,10 +52,11 @@ def stored_symbols(rows: DataFrame) -> DataFrame:
     return rows.select("id", "file_id", "parent_symbol_id", "name", "kind", signature_of(F.col("kind"), F.col("content"), F.col("name")).alias("signature"), "start_line", "end_line", "exported")
 
 
-def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
+def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_shared_folder, only: DataFrame | None = None) -> DataFrame:
     """Edges of the whole program: references of each file and across files, resolved to symbols.
 
-    ``parsed``: facts of all files; ``symbols`` and ``files``: their stored rows.
+    ``parsed``: facts of all files; ``symbols`` and ``files``: their stored rows. With ``only`` (``path``) these
+    are the edges that start in some files; facts of what they import, all the way, must be there.
     """
     declared = facts(parsed, "symbol", a="key", b="name", c="kind", d="parent").join(parsed.where("fact = 'symbol'").select("path", "ord", "start_line", "end_line"), ["path", "ord"])
     stored = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
@@ -75,18 +76,53 @@ def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, kee
     followed = semantic_refs(source_files, keep).unionByName(inferred_refs(source_files, keep))
     semantic = followed.select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
     refs = syntactic.unionByName(semantic).join(sources, ["path", "key"])
+    if only is not None:
+        refs = refs.join(only, "path", "left_semi")
     unique = dedupe_targets(refs, "source_id").withColumn("ref_id", F.xxhash64("target_name", "target_parent"))
     wanted = unique.join(sources.select("source_id", "source_file").distinct(), "source_id")
     found = resolve_targets(wanted, placed.select("id", "name", "parent_name", "file_id", "path", "start_line", "exported"))
     return found.select(F.col("source_id").alias("source_symbol_id"), F.col("target_id").alias("target_symbol_id"), F.lit("calls").alias("relation_type"), "ref_id")
 
 
+def affected_files(facts_now: DataFrame, facts_before: DataFrame, reworked: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
+    """``path`` of the files whose edges a change may move.
+
+    These are the reworked files and those that import from them, directly or by way of others, as types and names
+    flow along imports, and files that mean a name by itself that a reworked file declares or declared.
+    """
+    edges = module_edges(facts_now).unionByName(module_edges(facts_before.join(reworked, "path", "left_semi"))).distinct()
+    dependents = dependent_files(edges, reworked, keep)
+    declared = facts(facts_now.unionByName(facts_before), "symbol", b="name").join(reworked, "path", "left_semi").select("name").distinct()
+    meant = facts(facts_now, "ref", b="name").select("path", "name").unionByName(facts(facts_now, "chain", c="steps").select("path", F.substring_index("steps", ".", -1).alias("name")))
+    meant = meant.unionByName(facts(facts_now, "infer", d="steps").select("path", F.explode(F.regexp_extract_all("steps", F.lit('"m":"([^"]+)"'), 1)).alias("name")))
+    named = meant.distinct().join(keep(declared, "declared"), "name", "left_semi").select("path")
+    return keep(dependents.unionByName(named).distinct(), "affected")
+
+
+def refreshed_relations(
+    relations: DataFrame, facts_now: DataFrame, facts_before: DataFrame, reworked: DataFrame, symbols: DataFrame, files: DataFrame, keep: Keep = in_shared_folder
+) -> DataFrame:
+    """Edges after a change: old ones of files that it can't have moved, and new ones of the others.
+
+    ``relations`` are the old edges whose ends are still there; ``facts_before`` and ``facts_now``: facts of all files
+    before and after; ``reworked``: paths that came, changed or went. New edges have no ``id`` yet.
+    """
+    affected = affected_files(facts_now, facts_before, reworked, keep)
+    needed = needed_files(module_edges(facts_now), files, affected, keep)
+    some = keep(facts_now.join(needed, "path", "left_semi"), "needed_facts")
+    edges = build_relations(some, symbols, files, keep, affected).withColumn("id", F.lit(None).cast("long"))
+    owners = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select(F.col("id").alias("source_symbol_id"), "path")
+    kept = relations.join(owners, "source_symbol_id").join(affected, "path", "left_anti").withColumn("ref_id", F.lit(None).cast("long"))
+    columns = ["id", "source_symbol_id", "target_symbol_id", "relation_type", "ref_id"]
+    return kept.select(*columns).unionByName(edges.select(*columns))
+
+
 def index_repository(spark: SparkSession, root: str, config: dict[str, Any]) -> dict[str, int]:
     """Bring the index in line with the tree; how many rows that took.
 
     Files are compared by their details, then by content. Only changed files get new symbols
-    and chunks; edges are rebuilt whenever a file was changed or removed, as names may resolve
-    anew. Everything goes into one new snapshot.
+    and chunks, and only edges that a change can have moved are made anew. Everything goes into one
+    new snapshot.
     """
     store = IndexStore(spark, root)
     store.ensure()
@@ -171,13 +207,22 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
     new_chunks = staged(new_chunks, "new_chunks")
     tokens = staged(S.field_tokens(S.searchable(new_chunks, files, symbols), porter=True), "tokens")
     all_symbols = staged(symbols, "symbols")
-    edges = numbered(build_relations(facts_now, all_symbols, files, staged), ["source_symbol_id", "target_symbol_id", "ref_id"], 1, store.stage("edge_ids"))
+    if whole:
+        unnumbered = build_relations(facts_now, all_symbols, files, staged)
+        kept_edges = tables["relations"].limit(0)
+    else:
+        known_facts = tables["facts"].select(*facts_now.columns)
+        both = staged(refreshed_relations(left["relations"], facts_now, known_facts, reworked, all_symbols, files, staged), "edges")
+        kept_edges, unnumbered = both.where("id is not null").drop("ref_id"), both.where("id is null").drop("id")
+    new_edges = numbered(unnumbered, ["source_symbol_id", "target_symbol_id", "ref_id"], 1 if whole else _highest(tables["relations"]) + 1, store.stage("edge_ids"))
+    edge_columns = ["id", "source_symbol_id", "target_symbol_id", "relation_type"]
+    edges = kept_edges.select(*edge_columns).unionByName(new_edges.select(*edge_columns))
     after = tables | left | {
         "files": files,
         "facts": facts_now,
         "symbols": all_symbols,
         "chunks": left["chunks"].unionByName(new_chunks),
-        "relations": staged(edges.select("id", "source_symbol_id", "target_symbol_id", "relation_type"), "relations"),
+        "relations": staged(edges, "relations"),
         "postings": left["postings"].unionByName(S.postings(tokens)),
         "doc_lengths": left["doc_lengths"].unionByName(S.doc_lengths(tokens)),
     }

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 
@@ -144,6 +145,58 @@ def test_refresh(atlas):
     assert atlas.index() == {"ok": True, "scanned": 0, "inserted": 0, "updated": 0, "removed": 0, "symbols": 0, "relations": 0, "chunks": 0}
 
 
+def test_edges_after_changes_equal_those_of_a_new_index(spark, tmp_path):
+    """Names that come, go and move, barrels, types by inference: the refreshed index has the edges of a rebuilt one."""
+    root = str(tmp_path / "repo")
+    os.makedirs(f"{root}/src")
+    (tmp_path / "repo" / "package.json").write_text("{}")
+    first = {
+        "make.ts": "export class Pump { push() { return 1; } }\nexport function make() { return new Pump(); }\n",
+        "barrel.ts": "export { make as build } from './make';\n",
+        "user.ts": "import { build } from './barrel';\nexport function run() { build().push(); }\n",
+        "plain.ts": "export function lone() { helper(); }\nfunction own() { return 2; }\nexport function uses() { own(); }\n",
+        "zz.ts": "export function helper() { return 3; }\n",
+        "still.ts": "function calm() { return quiet(); }\nfunction quiet() { return 1; }\n",
+    }
+    steps = [
+        {"make.ts": "export class Pump { push() { return 1; } }\nexport class Fan { push() { return 2; } }\nexport function make() { return new Fan(); }\n"},
+        {"aa.ts": "export function helper() { return 4; }\n"},
+        {"aa.ts": None, "barrel.ts": "export { make as build } from './other';\n", "other.ts": "import { Pump } from './make';\nexport const make = () => new Pump();\n"},
+        {"zz.ts": None},
+    ]
+
+    def edges(store):
+        t = store.tables()
+        placed = t["symbols"].join(t["files"].selectExpr("id AS file_id", "path"), "file_id").selectExpr("id", "concat(path, '#', name, ':', start_line) AS place")
+        rows = t["relations"].join(placed.selectExpr("id AS source_symbol_id", "place AS a"), "source_symbol_id").join(placed.selectExpr("id AS target_symbol_id", "place AS b"), "target_symbol_id")
+        assert rows.count() == t["relations"].count() == t["relations"].select("id").distinct().count()
+        return sorted((r.a, r.b) for r in rows.collect())
+
+    for name, text in first.items():
+        put(root, name, text)
+    atlas = CodeAtlas(spark, root)
+    atlas.init()
+    atlas.index()
+    kept = {(r.id, r.source_symbol_id, r.target_symbol_id) for r in atlas.store.table("relations").collect()}
+    assert ("src/user.ts#run:2", "src/make.ts#push:1") in edges(atlas.store)
+    for n, step in enumerate(steps):
+        for name, text in step.items():
+            os.remove(f"{root}/src/{name}") if text is None else put(root, name, text)
+        atlas.index()
+        got = edges(atlas.store)
+        other = str(tmp_path / f"again{n}")
+        shutil.copytree(f"{root}/src", f"{other}/src")
+        (tmp_path / f"again{n}" / "package.json").write_text("{}")
+        fresh = CodeAtlas(spark, other)
+        fresh.init()
+        fresh.index()
+        assert got == edges(fresh.store)
+        if n == 1:  # a new helper takes the call over; what has nothing to do with it keeps its edge
+            assert ("src/plain.ts#lone:1", "src/aa.ts#helper:1") in got
+            now = {(r.id, r.source_symbol_id, r.target_symbol_id) for r in atlas.store.table("relations").collect()}
+            assert len(kept & now) == 1
+
+
 def test_watch(atlas, tmp_path):
     from codeatlas.streaming.watch import watch
 
