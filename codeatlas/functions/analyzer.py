@@ -1,9 +1,8 @@
-"""Full-text analyzers: plain folding as column expressions, and stemming by an Arrow UDF."""
+"""Full-text analyzers: plain folding as column expressions, and stems of a vocabulary by an Arrow UDF."""
 
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,21 +37,10 @@ def plain_tokens(col: Column | str) -> Column:
     return F.filter(F.split(folded(F.coalesce(col, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
-#: Stems that a worker process keeps from batch to batch.
-STEMS = 200_000
-_stem = lru_cache(maxsize=STEMS)(stem)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(tokens: pd.Series) -> pd.Series:
-    from codeatlas.functions.analyzer import _stem as of  # the process's own table, not a copy sent along
-
-    return tokens.map(lambda words: [of(w) for w in words])
-
-
-def porter_tokens(col: Column | str) -> Column:
-    """Tokens of the stemming analyzer, in order."""
-    return _stems(plain_tokens(col))
+@F.pandas_udf(T.StringType())
+def stems_of(words: pd.Series) -> pd.Series:
+    """Stems of words; meant for a vocabulary, where each word comes once."""
+    return words.map(stem)
 
 
 def fold_value(text: str) -> str:

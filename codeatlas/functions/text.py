@@ -28,6 +28,11 @@ LEAST_TOKEN = 2
 SIGNATURE_CHARS = 256
 
 
+def by_locale(col: str) -> list[Column]:
+    """Order of a text as readers sort it: letters before case and accents; equal ones by their code points."""
+    return [F.collate(F.col(col), "UNICODE"), F.col(col)]
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-case A-Z alone; other letters keep their case in stored values."""
     return F.translate(col, UPPER, LOWER)

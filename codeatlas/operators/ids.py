@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], start: int, stage: str, name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], start: int, stage: str, name: str = "id") -> DataFrame:
     """``df`` with ``name`` counting from ``start`` in the order of the given columns.
 
     Rows are dealt out by ranges of the order and written to ``stage``, which fixes the

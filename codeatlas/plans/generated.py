@@ -284,8 +284,8 @@ def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each symbol, its digest, and the terms that its name has in the inverted index."""
     t = indexed(spark, sf_dir)
     chunks = t["rows"].select("id", "file_id", F.col("id").alias("symbol_id"), "content")
-    tokens = S.field_tokens(S.searchable(chunks, t["files"], t["rows"]), porter=True)
-    named = S.postings(tokens).where("col = 'symbol_name'").groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("name_terms"))
+    tokens = S.field_tokens(S.searchable(chunks, t["files"], t["rows"]))
+    named = S.postings(tokens, porter=True).where("col = 'symbol_name'").groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("name_terms"))
     return t["rows"].join(named, "id", "left").select("path", "name", F.lit("symbol").alias("chunk_type"), "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("content_sha1"), "name_terms")
 
 

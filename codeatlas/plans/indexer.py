@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeatlas.functions.text import is_source, signature_of
+from codeatlas.functions.text import by_locale, is_source, signature_of
 from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
@@ -37,7 +37,7 @@ def symbol_rows(parsed: DataFrame, files: DataFrame, first: int, stage: str) ->
         "path", "ord", F.col("a").alias("key"), F.col("b").alias("name"), F.col("c").alias("kind"), F.col("d").alias("parent"), "start_line", "end_line", F.col("flag").alias("exported")
     )
     content = parsed.where("fact = 'content'").select("path", "ord", F.col("a").alias("content"))
-    with_ids = numbered(declared.join(content, ["path", "ord"]), ["path", "ord"], first, stage)
+    with_ids = numbered(declared.join(content, ["path", "ord"]), [*by_locale("path"), "ord"], first, stage)
     with_ids = with_ids.join(files.select("path", F.col("id").alias("file_id")), "path")
     owners = with_ids.where("kind = 'class'").select("path", F.concat(F.lit("class:"), "name").alias("owner_key"), F.col("id").alias("owner_id"), F.col("ord").alias("owner_ord"))
     owned = with_ids.withColumn("owner_key", F.concat(F.lit("class:"), "parent")).join(owners, ["path", "owner_key"], "left")
@@ -181,7 +181,7 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
     # Files keep their id; new ones follow the highest.
     kept_ids = tables["files"].select("path", "id", F.col("updated_at").alias("old_at"))
     known = tree.join(actions, "path").join(kept_ids, "path", "left")
-    new = numbered(known.where("id is null").drop("id"), ["path"], _highest(tables["files"]) + 1, store.stage("file_ids"))
+    new = numbered(known.where("id is null").drop("id"), by_locale("path"), _highest(tables["files"]) + 1, store.stage("file_ids"))
     stamped = F.when(F.col("action") == "skip", F.col("old_at")).otherwise(F.lit(now)).alias("updated_at")
     columns = ["id", "path", "language", "sha1", stamped, "size_bytes", "mtime_ms"]
     files = staged(known.where("id is not null").select(*columns).unionByName(new.select(*columns)), "files")
@@ -205,7 +205,7 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
         "id", "file_id", "symbol_id", F.lit("symbol").alias("chunk_type"), "content", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("content_sha1")
     )
     new_chunks = staged(new_chunks, "new_chunks")
-    tokens = staged(S.field_tokens(S.searchable(new_chunks, files, symbols), porter=True), "tokens")
+    tokens = staged(S.field_tokens(S.searchable(new_chunks, files, symbols)), "tokens")
     all_symbols = staged(symbols, "symbols")
     if whole:
         unnumbered = build_relations(facts_now, all_symbols, files, staged)
@@ -223,7 +223,7 @@ def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[s
         "symbols": all_symbols,
         "chunks": left["chunks"].unionByName(new_chunks),
         "relations": staged(edges, "relations"),
-        "postings": left["postings"].unionByName(S.postings(tokens)),
+        "postings": left["postings"].unionByName(S.postings(tokens, porter=True)),
         "doc_lengths": left["doc_lengths"].unionByName(S.doc_lengths(tokens)),
     }
     result |= {"symbols": rows.count(), "chunks": new_chunks.count(), "relations": after["relations"].count()}

@@ -47,19 +47,24 @@ def _ask(endpoint: str, key: str, model: str, size: int, texts: list[str]) -> li
     request = urllib.request.Request(endpoint, body, {"content-type": "application/json", "authorization": f"Bearer {key}"})
     with urllib.request.urlopen(request, timeout=SECONDS) as reply:
         data = json.load(reply).get("data") or []
-    vectors = [x.get("embedding") or [] for x in data]
-    return (vectors + [[]] * len(texts))[: len(texts)]
+    # An answer says which text it belongs to; without that, answers come in the order of the texts.
+    found = {x.get("index", n): x.get("embedding") or [] for n, x in enumerate(data)}
+    return [found.get(n, []) for n in range(len(texts))]
 
 
 def _remote(config: dict[str, Any]) -> Provider | None:
-    """Vectors from a service over HTTP, a batch of texts to a request; none without a key."""
-    key, size, model, endpoint = os.environ.get(KEY_VARIABLE, "").strip(), config["dimensions"], config["model"], ENDPOINT
-    if not key:
+    """Vectors from a service over HTTP, a batch of texts to a request; none without a key.
+
+    Workers read the key from their own environment (``spark.executorEnv`` on a cluster), so that it is
+    no part of a plan.
+    """
+    size, model, endpoint, variable = config["dimensions"], config["model"], ENDPOINT, KEY_VARIABLE
+    if not os.environ.get(variable, "").strip():
         return None
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
-        asked = texts.fillna("").tolist()
+        key, asked = os.environ.get(variable, "").strip(), texts.fillna("").tolist()
         return pd.Series([x for at in range(0, len(asked), TEXTS) for x in _ask(endpoint, key, model, size, asked[at : at + TEXTS])], dtype=object)
 
     return Provider("openai", model, size, lambda text: embed(text))

@@ -396,8 +396,8 @@ def _index(spark: SparkSession, sf_dir: str, porter: bool = False) -> tuple[Virt
     key = spark.sparkContext.applicationId, sf_dir, porter, files_of(v.table("documents"))
     paths = _BUILT.get(key)
     if paths is None or not all(exists(spark, x) for x in paths):
-        tokens, path = stored(S.field_tokens(S.searchable(v.chunks(), v.files()), porter=porter), "tokens")
-        index = S.postings(tokens)
+        tokens, path = stored(S.field_tokens(S.searchable(v.chunks(), v.files())), "tokens")
+        index = S.postings(tokens, porter)
         paths = stored(index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")[1], stored(S.doc_lengths(tokens), "lengths")[1]
         drop_path(spark, path)
         _BUILT[key] = paths

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 DATA = "/root/testdata/sf0.001"
+# Workers read a provider's key from the environment that the session starts with.
+os.environ["OPENAI_API_KEY"] = "k"
 
 
 @pytest.fixture(scope="session")

@@ -52,7 +52,7 @@ def test_remote_provider(spark, monkeypatch):
         def do_POST(self):
             asked = json.loads(self.rfile.read(int(self.headers["content-length"])))
             assert self.headers["authorization"] == "Bearer k" and asked["model"] == "m" and asked["dimensions"] == 2
-            data = [{"embedding": [float(len(x)), 1.0]} if x else {} for x in asked["input"]]
+            data = [{"index": n, "embedding": [float(len(x)), 1.0]} for n, x in enumerate(asked["input"]) if x][::-1]
             body = json.dumps({"data": data}).encode()
             self.send_response(200)
             self.end_headers()
@@ -66,7 +66,7 @@ def test_remote_provider(spark, monkeypatch):
     config = parse_config({"embeddings": {"enabled": True, "provider": "openai", "model": "m", "dimensions": 2}})
     monkeypatch.delenv(providers.KEY_VARIABLE, raising=False)
     assert providers.resolve_provider(config) is None
-    monkeypatch.setenv(providers.KEY_VARIABLE, " k ")
+    monkeypatch.setenv(providers.KEY_VARIABLE, " k ")  # workers have theirs from the session's start
     monkeypatch.setattr(providers, "ENDPOINT", f"http://127.0.0.1:{service.server_port}/")
     provider = providers.resolve_provider(config)
     ship(spark)
