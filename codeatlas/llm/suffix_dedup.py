@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeatlas.llm.common import drop_path, mapped, release, shared_dir, shuffle_partitions, stored
 from codeatlas.llm.induced import HELD, Alphabet, DiskSort, Tape, repeated
@@ -54,7 +55,8 @@ BLOCK = 64
 HOT = 512
 #: Bytes of segments in a shard, and of texts in a bucket.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
-_CHUNK = 1 << 20
+#: Windows looked at together: their hashes fit a processor's cache.
+_CHUNK = 1 << 17
 _PLACE = np.uint64((1 << 21) - 1)
 
 SEGMENTS = T.StructType(
@@ -102,9 +104,13 @@ def least_places(hashes: np.ndarray, count: int) -> np.ndarray:
     return (found & _PLACE).astype(np.int64)
 
 
-def segments_of(texts: list[bytes], size: int = ANCHOR) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, start, size, bytes before the anchor, hash of the anchor) of the segments of ``texts``; anchors have ``size`` bytes."""
-    whole = np.frombuffer(b"".join(texts), np.uint8)
+def segments_of(texts: list[bytes], size: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of the segments of ``texts``: text, start, size, bytes before the anchor, hash of the anchor, digest.
+
+    Anchors have ``size`` bytes.
+    """
+    joined = b"".join(texts)
+    whole, view, blake = np.frombuffer(joined, np.uint8), memoryview(joined), hashlib.blake2b
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     for at in range(0, len(whole) - SPAN + 1, _CHUNK):
@@ -122,24 +128,19 @@ def segments_of(texts: list[bytes], size: int = ANCHOR) -> Iterator[tuple[int, i
         stop = np.minimum(stop[np.searchsorted(stop, first, side="right")], ends[owner[first]] - SPAN + 1 - at)
         own = owner[first]
         begin = first + at - (ends[own] - sizes[own])
-        yield from zip(own.tolist(), begin.tolist(), (stop - first + SPAN - 1).tolist(), (anchors[first] - first).tolist(), hashes[anchors[first]].view(np.int64).tolist(), strict=True)
+        digests = b"".join([blake(view[a:b], digest_size=8).digest() for a, b in zip((first + at).tolist(), (stop + at + SPAN - 1).tolist(), strict=True)])
+        yield own, begin, stop - first + SPAN - 1, anchors[first] - first, hashes[anchors[first]].view(np.int64), np.frombuffer(digests, "<i8")
 
 
 def segment_table(numbered: DataFrame, size: int = ANCHOR) -> DataFrame:
     """Hashes and places of all segments of ``numbered`` (``row, text``)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        digest = hashlib.blake2b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows, texts = batch["row"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()
-            out = []
-            for n, start, long, lead, anchor in segments_of([t or b"" for t in texts], size):
-                sign = digest(texts[n][start : start + long], digest_size=8).digest()
-                out.append((rows[n], start, long, lead, anchor, int.from_bytes(sign, "little", signed=True)))
-                if len(out) == 50_000:
-                    yield out
-                    out = []
-            yield out
+            rows = batch["row"].to_numpy(zero_copy_only=False)
+            for own, *columns in segments_of([t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()], size):
+                held = [rows[own], *columns]
+                yield {f.name: pa.array(c, f.type) for f, c in zip(to_arrow_schema(SEGMENTS), held, strict=True)}
 
     return mapped(numbered.select("row", "text"), run, SEGMENTS)
 
