@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.functions.text import ascii_lower
+from codeatlas.operators.names import NameIndex, contained, like, literal
 from codeatlas.operators.selector import Selector, candidates, order_keys, parse_selector, place
 from codeatlas.shared import stored
 
@@ -15,7 +16,17 @@ LOOKUP_LIMIT, GRAPH_LIMIT, MATCHED_LIMIT = 10, 20, 10
 def lookup(symbols: DataFrame, files: DataFrame, selector: str | Selector, limit: int = LOOKUP_LIMIT) -> DataFrame:
     """Where a symbol is defined."""
     selector = parse_selector(selector) if isinstance(selector, str) else selector
-    hits = candidates(place(symbols, files), selector, limit)
+    return _shown(candidates(place(symbols, files), selector, limit), selector)
+
+
+def lookup_stored(index: NameIndex, selector: str | Selector, limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """Rows of :func:`lookup`, reading only symbols whose name contains the one that is asked for."""
+    selector = parse_selector(selector) if isinstance(selector, str) else selector
+    placed = index.symbols_like(selector.symbol.lower()).drop("bucket", "folded")
+    return _shown(candidates(placed, selector, limit), selector)
+
+
+def _shown(hits: DataFrame, selector: Selector) -> DataFrame:
     return hits.orderBy(*order_keys(selector)).select(
         F.col("path").alias("file_path"),
         F.col("name").alias("symbol_name"),
@@ -82,39 +93,9 @@ def parse_selectors(queries: DataFrame) -> DataFrame:
     )
 
 
-def _like(col: Column, pattern: Column) -> Column:
-    """LIKE of a pattern column made from a raw term, with its wildcards live."""
-    return F.like(col, F.concat(F.lit("%"), F.replace(pattern, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
-
-
 def _fitting(rows: DataFrame) -> DataFrame:
     """Rows whose path is one that their selector asks for."""
-    return rows.where(F.col("path_hint").isNull() | _like(ascii_lower("path"), F.col("path_hint")))
-
-
-#: Length of the substrings by which contained names are found.
-GRAM = 3
-
-
-def _literal(term: Column) -> Column:
-    """The longest stretch of a term without wildcards; the first of equal ones."""
-    parts = F.split(term, "[%_]")
-    return F.element_at(F.filter(parts, lambda x: F.length(x) == F.array_max(F.transform(parts, F.length))), 1)
-
-
-def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
-    """``symbol, folded``: terms and the names that contain them, by an equi-join on substrings.
-
-    ``names``: ``folded``; ``terms``: ``symbol``, none of wildcards alone; both distinct. A term is looked
-    up by the first ``GRAM`` characters of its longest literal stretch, or all of it if it is shorter, and
-    names by all their substrings of such lengths; LIKE then decides.
-    """
-    asked = terms.withColumn("gram", F.substring(_literal(F.col("symbol")), 1, GRAM)).withColumn("size", F.length("gram"))
-    sizes = asked.select("size").distinct()  # at most GRAM rows
-    places = F.sequence(F.lit(1), F.greatest(F.length("folded") - F.col("size") + 1, F.lit(1)))
-    grams = names.join(F.broadcast(sizes)).select("folded", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("folded"), i, F.col("size"))))).alias("gram"))
-    met = grams.join(asked.select("gram", "symbol"), "gram")
-    return met.where(_like(F.col("folded"), F.col("symbol"))).select("symbol", "folded").distinct()
+    return rows.where(F.col("path_hint").isNull() | like(ascii_lower("path"), F.col("path_hint")))
 
 
 _ASKED = ("symbol", "container", "path_hint")
@@ -134,7 +115,7 @@ def _wild(placed: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     scoped = _fitting(long(placed.join(asked.where("container is not null"), F.col("folded_parent") == F.col("container"))))
     # A path is compared once for each file and hint.
     hinted = asked.where("container is null and path_hint is not null")
-    paths = placed.select("path").distinct().join(hinted.select("path_hint").distinct(), _like(ascii_lower("path"), F.col("path_hint")))
+    paths = placed.select("path").distinct().join(hinted.select("path_hint").distinct(), like(ascii_lower("path"), F.col("path_hint")))
     hinted = long(placed.join(paths, "path").join(hinted, "path_hint"))
     # Without container and hint the best few names of each length are enough: all terms have the same order.
     order = Window.partitionBy(F.length("folded")).orderBy(F.when(F.col("folded_parent") == "", 0).otherwise(1), F.col("exported").desc(), "path", "start_line", "id")
@@ -144,12 +125,13 @@ def _wild(placed: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return scoped.select(*columns).unionByName(hinted.select(*columns)).unionByName(bare.select(*columns))
 
 
-def lookup_batch(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
+def lookup_batch(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit: int = LOOKUP_LIMIT, index: NameIndex | None = None) -> DataFrame:
     """Lookup of many selectors: exact names, or contained ones for selectors without; then top-k by query.
 
     What is asked more than once is looked up once. Where a container is given, symbols are met by name and
     parent together, so a method name that many classes share costs a selector no more than another. What
-    the exact join finds is stored: it is read again to tell which selectors need the fallback.
+    the exact join finds is stored: it is read again to tell which selectors need the fallback. With an ``index`` of
+    the same symbols contained names come from its substrings, else these are made of all names.
     """
     parsed, _ = stored(parse_selectors(queries), "selectors")
     asked = parsed.select(*_ASKED).distinct()
@@ -165,8 +147,9 @@ def lookup_batch(symbols: DataFrame, files: DataFrame, queries: DataFrame, limit
     found, _ = stored(_ranked(named(asked.withColumn("folded", F.col("symbol"))), limit), "exact")
     loose, _ = stored(asked.join(found.where("nth = 1").select(*[F.col(c).alias(f"met_{c}") for c in _ASKED]), [F.col(c).eqNullSafe(F.col(f"met_{c}")) for c in _ASKED], "left_anti"), "loose")
     if not loose.isEmpty():
-        wild = _literal(F.col("symbol")) == ""
-        pairs = contained(placed.select("folded").distinct(), loose.where(~wild).select("symbol").distinct())
+        wild = literal(F.col("symbol")) == ""
+        terms = loose.where(~wild).select("symbol").distinct()
+        pairs = index.contained(terms) if index else contained(placed.select("folded").distinct(), terms)
         near = named(loose.where(~wild).join(pairs, "symbol")).unionByName(_wild(placed, loose.where(wild), limit))
         found = found.unionByName(_ranked(near, limit))
     met = [found[c].eqNullSafe(parsed[c]) if c != "symbol" else found[c] == parsed[c] for c in _ASKED]

@@ -14,6 +14,7 @@ from codeatlas.operators import maintenance as M
 from codeatlas.operators import relations as R
 from codeatlas.operators import search as S
 from codeatlas.operators import symbols as G
+from codeatlas.operators.names import NameIndex, build_name_index
 from codeatlas.plans import generated
 from codeatlas.shared import drop_path, exists, stored
 from codeatlas.sources.tree import DEFAULT_EXCLUDE, glob_regex
@@ -133,6 +134,23 @@ def _lookup(selector: str, limit: int = 10) -> Query:
     return query
 
 
+_NAMES: dict[tuple[str, str, str], NameIndex] = {}
+
+
+def _name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """The index of a folder's names, built once for each application and state of the files."""
+    v = VirtualIndex(spark, sf_dir)
+    key = spark.sparkContext.applicationId, sf_dir, files_of(v.table("part"))
+    if key not in _NAMES or not exists(spark, _NAMES[key].path):
+        _NAMES[key] = build_name_index(G.place(v.symbols(), v.symbol_files()))
+    return _NAMES[key]
+
+
+def _lookup_like(selector: str, limit: int = 10) -> Query:
+    """A lookup by a part of a name, through the stored index."""
+    return lambda spark, sf_dir: G.lookup_stored(_name_index(spark, sf_dir), selector, limit)
+
+
 def _graph(side: str, selector: str, limit: int = 20) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = VirtualIndex(spark, sf_dir)
@@ -148,8 +166,8 @@ def _add(name: str, query: Query, sql: str | None) -> None:
 
 
 _add("symbol_exact", _lookup("red widget"), _lookup_sql("red widget"))
-_add("symbol_like", _lookup("widg"), _lookup_sql("widg"))
-_add("symbol_like_wildcard", _lookup("r_d%t"), _lookup_sql("r_d%t"))
+_add("symbol_like", _lookup_like("widg"), _lookup_sql("widg"))
+_add("symbol_like_wildcard", _lookup_like("r_d%t"), _lookup_sql("r_d%t"))
 _add("symbol_class", _lookup("BRAND_2"), _lookup_sql("brand_2"))
 _add("symbol_container", _lookup("Brand_2.red widget"), _lookup_sql("red widget", "brand_2"))
 _add("symbol_path_container", _lookup("brand/1#Brand_12.widget", 20), _lookup_sql("widget", "brand_12", "brand/1", 20))
@@ -193,7 +211,7 @@ def lookup_batch_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.substring("p_name", 2, 5)
     name = F.concat(F.lit("Brand_"), F.substring_index("p_brand", "#", -1), F.lit("."), some)
     asked = v.table("part").select(F.concat("p_brand", F.lit(":"), some).alias("qid"), name.alias("selector")).distinct()
-    return G.lookup_batch(v.symbols(), v.symbol_files(), asked).select("qid", "id", "nth")
+    return G.lookup_batch(v.symbols(), v.symbol_files(), asked, index=_name_index(spark, sf_dir)).select("qid", "id", "nth")
 
 
 @registered(
