@@ -128,13 +128,13 @@ def index_repository(spark: SparkSession, root: str, config: dict[str, Any]) ->
     store.ensure()
     tables = store.tables()
     include, exclude = config["include"], config["exclude"]
-    listed = list_tree(spark, root, include, exclude)
+    listed = list_tree(spark, root, include, exclude, store.stage("listing"))
     changes = M.pending_changes(listed, tables["files"]).first()
     provider = resolve_provider(config)
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
     result = dict(NOTHING)
     if changes["freshness"] == "stale":
-        tables, result = _refreshed(spark, root, store, tables, include, exclude, now)
+        tables, result = _refreshed(spark, listed, store, tables, include, exclude, now)
     if provider is not None:
         missing = M.missing_embeddings(tables["chunks"], tables["chunk_embeddings"], provider.model)
         new = missing.select(
@@ -153,20 +153,19 @@ def index_repository(spark: SparkSession, root: str, config: dict[str, Any]) ->
     return result
 
 
-def _refreshed(spark: SparkSession, root: str, store: IndexStore, tables: dict[str, DataFrame], include, exclude, now: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """Tables after the changes of the tree, and the counters."""
+def _refreshed(spark: SparkSession, details: DataFrame, store: IndexStore, tables: dict[str, DataFrame], include, exclude, now: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Tables after the changes of the tree (``details``: its listing), and the counters."""
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(store.stage(name))
         return spark.read.schema(df.schema).parquet(store.stage(name))
 
-    details = list_tree(spark, root, include, exclude)
     held = tables["files"].select("path", F.col("sha1").alias("old_sha1"), F.col("size_bytes").alias("old_size"), F.col("mtime_ms").alias("old_mtime"))
     listed = details.join(held, "path", "left")
     # An index without facts, a new one or one of an older version, needs all texts.
     whole = tables["facts"].isEmpty()
     moved = ~(F.col("size_bytes").eqNullSafe(F.col("old_size")) & F.col("mtime_ms").eqNullSafe(F.col("old_mtime")))
-    # Paths of a listing that was made on the driver.
+    # The reader takes its paths from the driver: changed files of one repository, or none listed for a new index.
     wanted = None if whole else [r[0] for r in listed.where(moved).select("path").collect()]
     columns = ["path", "text", "sha1"]
     texts = spark.createDataFrame([], "path string, text string, sha1 string") if wanted == [] else read_tree(spark, f"file://{store.root}", include, exclude, wanted).select(columns)

@@ -15,6 +15,7 @@ from codeatlas.operators import symbols as G
 from codeatlas.operators.selector import candidates, parse_selector, place
 from codeatlas.plans.indexer import index_repository
 from codeatlas.plans.providers import resolve_provider
+from codeatlas.shared import drop_path, shared_dir
 from codeatlas.sources.config import InvalidInput, check_limit, check_query, config_path, find_root, load_config, parse_config, save_config
 from codeatlas.sources.store import IndexStore
 from codeatlas.sources.tree import INDEX_FOLDER, list_tree
@@ -57,8 +58,12 @@ class CodeAtlas:
 
     def pending(self) -> dict[str, Any]:
         config = load_config(self.root)
-        listed = list_tree(self.spark, self.root, config["include"], config["exclude"])
-        return M.pending_changes(listed, self.store.table("files")).first().asDict()
+        into = shared_dir(self.spark, "pending")
+        try:
+            listed = list_tree(self.spark, self.root, config["include"], config["exclude"], into)
+            return M.pending_changes(listed, self.store.table("files")).first().asDict()
+        finally:
+            drop_path(self.spark, into)
 
     def _ready(self, policy: str) -> dict[str, Any]:
         """Check the index before a read; ``{"ok", "stale"}`` or a failure."""

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeatlas.shared import drop_path, shared_dir
 from codeatlas.sources.schema import SCHEMA_VERSION, TABLES, empty, migrated
 from codeatlas.sources.tree import INDEX_FOLDER
 
 
+#: Seconds for which a snapshot stays after the next one took its place, for those who still read it.
+GRACE = 120
+
+
 class IndexStore:
     """Index of a repository below its root; readers see one whole snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
+    def __init__(self, spark: SparkSession, root: str, grace: float = GRACE):
+        self.spark, self.root, self.grace = spark, os.path.abspath(root), grace
+        self._stage: str | None = None
         self.folder = os.path.join(self.root, INDEX_FOLDER, "index")
 
     @property
@@ -55,13 +62,15 @@ class IndexStore:
             self.write({name: empty(self.spark, name) for name in TABLES} | {"index_metadata": meta})
 
     def stage(self, name: str) -> str:
-        """A place for intermediate rows of the next snapshot."""
-        return f"file://{self.folder}/stage/{name}"
+        """A place for intermediate rows of the next snapshot, in the folder that executors share."""
+        self._stage = self._stage or shared_dir(self.spark, "stage")
+        return f"{self._stage}/{name}"
 
     def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a whole snapshot, then move the pointer to it; older ones are removed after that.
+        """Write a whole snapshot, then move the pointer to it.
 
-        A failure before the last step leaves the old snapshot in force.
+        A failure before the last step leaves the old snapshot in force. Older ones are removed by the first write
+        that comes more than ``grace`` seconds after they were replaced, so a read that was begun on one can end.
         """
         os.makedirs(self.folder, exist_ok=True)
         old = [d for d in os.listdir(self.folder) if d.startswith("snap_")]
@@ -73,7 +82,15 @@ class IndexStore:
         with open(draft, "w", encoding="utf-8") as file:
             file.write(name)
         os.replace(draft, self.pointer)
-        for d in old:
-            shutil.rmtree(os.path.join(self.folder, d), ignore_errors=True)
-        shutil.rmtree(os.path.join(self.folder, "stage"), ignore_errors=True)
+        self._expire([*old, name])
+        if self._stage:
+            drop_path(self.spark, self._stage)
+            self._stage = None
         return name
+
+    def _expire(self, names: list[str]) -> None:
+        """Remove snapshots whose follower is older than the grace time."""
+        ordered = sorted(names, key=lambda d: int(d.removeprefix("snap_")))
+        for d, follower in zip(ordered, ordered[1:]):
+            if time.time() - os.path.getmtime(os.path.join(self.folder, follower)) >= self.grace:
+                shutil.rmtree(os.path.join(self.folder, d), ignore_errors=True)
