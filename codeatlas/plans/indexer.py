@@ -122,9 +122,16 @@ def index_repository(spark: SparkSession, root: str, config: dict[str, Any]) ->
 
     Files are compared by their details, then by content. Only changed files get new symbols
     and chunks, and only edges that a change can have moved are made anew. Everything goes into one
-    new snapshot.
+    new snapshot; intermediate rows are removed in the end, after a failure too.
     """
     store = IndexStore(spark, root)
+    try:
+        return _indexed(spark, root, config, store)
+    finally:
+        store.unstage()
+
+
+def _indexed(spark: SparkSession, root: str, config: dict[str, Any], store: IndexStore) -> dict[str, int]:
     store.ensure()
     tables = store.tables()
     include, exclude = config["include"], config["exclude"]

@@ -66,6 +66,12 @@ class IndexStore:
         self._stage = self._stage or shared_dir(self.spark, "stage")
         return f"{self._stage}/{name}"
 
+    def unstage(self) -> None:
+        """Remove intermediate rows, which a written snapshot doesn't need."""
+        if self._stage:
+            drop_path(self.spark, self._stage)
+            self._stage = None
+
     def write(self, tables: dict[str, DataFrame]) -> str:
         """Write a whole snapshot, then move the pointer to it.
 
@@ -83,9 +89,6 @@ class IndexStore:
             file.write(name)
         os.replace(draft, self.pointer)
         self._expire([*old, name])
-        if self._stage:
-            drop_path(self.spark, self._stage)
-            self._stage = None
         return name
 
     def _expire(self, names: list[str]) -> None:

@@ -64,3 +64,15 @@ def test_a_reader_of_the_last_snapshot_ends(spark, tmp_path):
     short = IndexStore(spark, str(tmp_path), grace=0)
     short.write(short.tables())
     assert sorted(d for d in os.listdir(short.folder) if d.startswith("snap_")) == ["snap_3"]
+
+
+def test_a_failed_run_leaves_no_stage(spark, tmp_path, monkeypatch):
+    from codeatlas.plans import indexer
+    from codeatlas.sources.config import parse_config
+
+    staged = []
+    monkeypatch.setattr(indexer, "_refreshed", lambda spark, details, store, *rest: staged.append(store.stage("")) or 1 / 0)
+    (tmp_path / "a.ts").write_text("export const a = 1;\n")
+    with pytest.raises(ZeroDivisionError):
+        indexer.index_repository(spark, str(tmp_path), parse_config({}))
+    assert staged and not os.path.exists(staged[0].removeprefix("file:"))
