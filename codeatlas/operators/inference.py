@@ -24,7 +24,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.operators.program import Keep, bindings, definitions, facts, in_shared_folder, key_of
+from codeatlas.operators.program import Keep, facts, in_shared_folder, key_of
+from codeatlas.operators.program import named as program_names
 
 LONGEST = 2000
 _TERM = "h string, a array<string>"
@@ -60,16 +61,15 @@ def _at(states: DataFrame) -> DataFrame:
     return parts.withColumns({"key": F.substring_index("parts.h", "|", 1), "owner": F.substring_index("parts.h", "|", -1), "args": F.col("parts.a")}).drop("parts")
 
 
-def inferred_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
+def inferred_refs(rows: DataFrame, keep: Keep = in_shared_folder, names: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``path, source, target_name, target_parent`` of calls whose owner's type follows from values.
 
-    ``rows``: facts of all files.
+    ``rows``: facts of all files; ``names``: what :func:`named` makes of them, where it is there.
     """
     calls = "path string, source string, target_name string, target_parent string"
     if rows.where("fact = 'infer' and a = 'call:'").isEmpty():
         return rows.sparkSession.createDataFrame([], calls)
-    defined = definitions(rows, lambda df, name: keep(df, f"types_{name}"))
-    bound = keep(bindings(rows, defined), "types_bindings")
+    defined, bound = names or program_names(rows, lambda df, name: keep(df, f"types_{name}"))
     number = lambda kind: F.concat_ws(":", F.lit(kind), "path", "ord")
 
     typed = resolved(facts(rows, "typed", a="owner", b="name", c="slot", d="term").withColumn("id", number("t")), ["term"], bound)

@@ -68,10 +68,15 @@ def bindings(rows: DataFrame, defined: DataFrame) -> DataFrame:
     return imports.join(known, ["module", "original"]).select("path", "local", "def_key", "def_name").distinct()
 
 
-def semantic_refs(rows: DataFrame, keep: Keep = in_shared_folder) -> DataFrame:
-    """``path, source, target_name, target_parent`` that follow from imports and declared types."""
+def named(rows: DataFrame, keep: Keep = in_shared_folder) -> tuple[DataFrame, DataFrame]:
+    """:func:`definitions` and :func:`bindings` of the facts of all files."""
     defined = definitions(rows, keep)
-    bound = keep(bindings(rows, defined), "bindings")
+    return defined, keep(bindings(rows, defined), "bindings")
+
+
+def semantic_refs(rows: DataFrame, keep: Keep = in_shared_folder, names: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``path, source, target_name, target_parent`` that follow from imports and declared types; ``names``: :func:`named`."""
+    defined, bound = names or named(rows, keep)
     chains = facts(rows, "chain", a="source", b="root", c="steps").withColumns({"id": F.concat_ws(":", "path", F.lpad(F.col("ord").cast("string"), 9, "0")), "steps": F.filter(F.split("steps", r"\."), lambda x: x != "")})
     # Where the root's type is declared: by the import that binds it, else in the file itself.
     at = chains.join(bound.withColumnRenamed("local", "root"), ["path", "root"], "left").select(

@@ -14,7 +14,7 @@ from codeatlas.operators import maintenance as M
 from codeatlas.operators import search as S
 from codeatlas.operators.ids import numbered
 from codeatlas.operators.inference import inferred_refs
-from codeatlas.operators.program import Keep, dependent_files, facts, in_shared_folder, module_edges, needed_files, semantic_refs
+from codeatlas.operators.program import Keep, dependent_files, facts, in_shared_folder, module_edges, named, needed_files, semantic_refs
 from codeatlas.operators.relations import dedupe_targets, resolve_targets
 from codeatlas.plans.providers import resolve_provider
 from codeatlas.sources.parser import parse_files
@@ -73,7 +73,8 @@ def build_relations(parsed: DataFrame, symbols: DataFrame, files: DataFrame, kee
     )
     syntactic = facts(parsed, "ref", a="key", b="target_name", c="target_parent").select("path", "key", "target_name", "target_parent", "ord")
     source_files = parsed.where(is_source("path"))
-    followed = semantic_refs(source_files, keep).unionByName(inferred_refs(source_files, keep))
+    names = named(source_files, keep)
+    followed = semantic_refs(source_files, keep, names).unionByName(inferred_refs(source_files, keep, names))
     semantic = followed.select("path", F.col("source").alias("key"), "target_name", "target_parent", F.lit(1 << 30).alias("ord"))
     refs = syntactic.unionByName(semantic).join(sources, ["path", "key"])
     if only is not None:

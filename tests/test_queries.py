@@ -5,6 +5,8 @@ import pytest
 
 from codeatlas.operators import program as P
 from codeatlas.operators import relations as R
+from codeatlas.plans import generated
+from codeatlas.plans.indexer import build_relations, stored_symbols
 from codeatlas.plans.registry import QUERIES, SQL
 from tests.conftest import DATA
 
@@ -140,3 +142,27 @@ def test_an_index_follows_its_files(spark):
         rows.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
         terms = {r.term: r.hits for r in QUERIES["postings_stats"](spark, folder).collect()}
         assert {t: n for t, n in terms.items() if t in ("one", "two", "three")} == ({"one": 1, "two": 2} if " " in text else {"three": 1})
+
+
+def test_symbols_of_the_program_make_no_edges_and_facts_lie_by_their_sort(spark):
+    generated._INDEXED.clear()
+    assert set(generated.indexed(spark, DATA)) == {"files", "rows"}
+    (held,) = generated._INDEXED.values()
+    assert "relations" not in held
+    parsed = spark.read.schema(held["parsed"][1]).parquet(held["parsed"][0])
+    assert all("/fact=import/" in path for path in parsed.where("fact = 'import'").select("_metadata.file_path").distinct().toPandas()["file_path"])
+    assert set(generated.indexed(spark, DATA, edges=True)) == {"files", "rows", "relations"}
+
+
+def test_definitions_are_made_once_for_both_sorts_of_references(spark):
+    generated.indexed(spark, DATA)
+    (held,) = generated._INDEXED.values()
+    parsed, rows, files = (spark.read.schema(held[n][1]).parquet(held[n][0]) for n in ("parsed", "rows", "files"))
+    names = []
+
+    def keep(df, name):
+        names.append(name)
+        return P.in_shared_folder(df, name)
+
+    build_relations(parsed, stored_symbols(rows), files, keep)
+    assert [n for n in names if n.endswith("definitions_0")] == ["definitions_0"]
