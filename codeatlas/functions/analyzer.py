@@ -1,10 +1,11 @@
-"""Full-text analyzers: plain folding as column expressions, and stems of a vocabulary by an Arrow UDF."""
+"""Full-text analyzers: plain folding as column expressions, and stems of lists of tokens by an Arrow UDF."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,13 @@ def plain_tokens(col: Column | str) -> Column:
     return F.filter(F.split(folded(F.coalesce(col, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
-@F.pandas_udf(T.StringType())
-def stems_of(words: pd.Series) -> pd.Series:
-    """Stems of words; meant for a vocabulary, where each word comes once."""
-    return words.map(stem)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems_of(tokens: pa.Array) -> pa.Array:
+    """Stems of lists of tokens; each word of a batch is stemmed once."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(word) for word in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0)).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), stems)
 
 
 def fold_value(text: str) -> str:

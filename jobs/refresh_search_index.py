@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeatlas.operators import search as S
@@ -33,6 +33,9 @@ from jobs.settings import command, settings
 
 LOG = logging.getLogger("refresh_search_index")
 
+#: Characters of text that one task indexes, about.
+TASK_CHARACTERS = 32 << 20
+
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 POSTINGS = "doc_id long, field string, term string, positions array<int>, batch long, language string"
 VERSIONS = "doc_id long, fingerprint string, language string, path string, length long, batch long"
@@ -80,26 +83,28 @@ def index_batch(batch: DataFrame, number: int, output: str) -> dict[str, int]:
     versions = table(spark, output, "versions")
     if not versions.where(F.col("batch") > number).isEmpty():
         raise ValueError(f"{output} holds later batches than {number}: it was written with another checkpoint")
-    rows = prepared(batch)
-    best = rows.groupBy("doc_id").agg(F.max(F.struct("size", "fingerprint"))["fingerprint"].alias("fingerprint"))
-    known = newest(versions.where(F.col("batch") < number)).select("doc_id", "fingerprint")
-    changed = best.join(known, ["doc_id", "fingerprint"], "left_anti")
-    fresh = rows.join(changed, ["doc_id", "fingerprint"], "left_semi").dropDuplicates(["doc_id"])
-
-    # The two tables are written one after the other; what both need is small: documents without texts.
-    fields = fresh.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("symbol_name"))
-    tokens = S.field_tokens(fields)
-    index = S.postings(tokens).select(F.col("chunk_id").alias("doc_id"), F.col("col").alias("field"), "term", "positions")
+    size = batch.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id"), F.sum(F.length("text")).alias("characters")).first()
+    # Dealt out by the size of the batch, so that a task's texts and postings fit its memory.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(size["characters"] or 0) // TASK_CHARACTERS))
+    rows = prepared(batch).repartition(tasks, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy(F.col("size").desc(), F.col("fingerprint").desc())
+    best = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    known = newest(versions.where(F.col("batch") < number)).select("doc_id", F.col("fingerprint").alias("known"))
+    fresh = best.join(known, "doc_id", "left").where(~F.col("fingerprint").eqNullSafe(F.col("known")))
+
+    # The two tables are written one after the other; the second needs documents without texts, and lengths from the first.
+    fields = fresh.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("symbol_name"), "language")
+    index = S.postings(S.field_tokens(fields)).select(F.col("chunk_id").alias("doc_id"), F.col("col").alias("field"), "term", "positions", "language")
+    index.write.mode("overwrite").partitionBy("language").parquet(f"{output}/postings/batch={number}")
+    added = table(spark, output, "postings").where(F.col("batch") == number)
+    lengths = added.groupBy("doc_id").agg(F.sum(F.size("positions")).cast("long").alias("length"))
     details = fresh.select("doc_id", "fingerprint", "language", "path")
-    placed = index.join(details.select("doc_id", "language"), "doc_id")
-    placed.write.mode("overwrite").partitionBy("language").parquet(f"{output}/postings/batch={number}")
-    lengths = S.doc_lengths(tokens).withColumnRenamed("chunk_id", "doc_id")
     lengths = details.join(lengths, "doc_id", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
     lengths.write.mode("overwrite").parquet(f"{output}/versions/batch={number}")
 
     counts = {
-        "read": batch.count(),
-        "without_id": batch.where("doc_id IS NULL").count(),
+        "read": size["read"],
+        "without_id": size["without_id"],
         "indexed": table(spark, output, "versions").where(F.col("batch") == number).count(),
         "postings": table(spark, output, "postings").where(F.col("batch") == number).count(),
     }
