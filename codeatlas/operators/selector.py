@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from codeatlas.functions.text import ascii_lower, contains_like
 
 
+#: Order by place. Where an id has several rows, as it may be that of two symbols or have two parents, what the rows show
+#: ends the tie, so that a result doesn't hang on the order in which a join gave them.
+BY_PLACE = ("path", "start_line", "id", "kind", "name", "parent_name")
+
+
 @dataclass(frozen=True)
 class Selector:
     symbol: str
@@ -62,7 +67,7 @@ def matches(placed: DataFrame, selector: Selector, exact: bool) -> DataFrame:
 
 
 def order_keys(selector: Selector) -> list[Column]:
-    """Exact name, then parent, then path match, exported first, then place; the id ends every tie.
+    """Exact name, then parent, then path match, exported first, then place; what a row shows ends every tie.
 
     Without a container, symbols without a parent come first, as an absent parent counts as
     the empty name.
@@ -71,7 +76,7 @@ def order_keys(selector: Selector) -> list[Column]:
     keys = [F.when(ascii_lower("name") == selector.symbol.lower(), 0).otherwise(1), F.when(parent, 0).otherwise(1)]
     if selector.path:
         keys.append(F.when(contains_like(ascii_lower("path"), selector.path.lower()), 0).otherwise(1))
-    return [*keys, F.col("exported").desc(), F.col("path"), F.col("start_line"), F.col("id")]
+    return [*keys, F.col("exported").desc(), *map(F.col, BY_PLACE)]
 
 
 def candidates(placed: DataFrame, selector: Selector, limit: int) -> DataFrame:

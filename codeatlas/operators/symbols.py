@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeatlas.functions.text import ascii_lower
 from codeatlas.operators.names import NameIndex, contained, like, literal
-from codeatlas.operators.selector import Selector, candidates, order_keys, parse_selector, place
+from codeatlas.operators.selector import BY_PLACE, Selector, candidates, order_keys, parse_selector, place
 from codeatlas.shared import stored
 
 LOOKUP_LIMIT, GRAPH_LIMIT, MATCHED_LIMIT = 10, 20, 10
@@ -46,11 +46,11 @@ def _neighbours(symbols: DataFrame, files: DataFrame, relations: DataFrame, sele
     # At most MATCHED_LIMIT ids, so this side is always small enough to broadcast.
     edges = relations.join(F.broadcast(matched), anchor, "left_semi").select(F.col(other).alias("id"), "relation_type")
     hits = placed.join(edges, "id").select("name", "kind", "parent_name", "path", "start_line", "end_line", "relation_type", "id")
-    top = hits.orderBy("path", "start_line", "id").limit(limit)
+    top = hits.orderBy(*BY_PLACE).limit(limit)
     # The limit comes before the deduplication, so fewer than ``limit`` rows may come back.
     key = ("name", "kind", "parent_name", "path", "start_line", "end_line", "relation_type")
     first = top.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("nth = 1")
-    return first.orderBy("path", "start_line", "id").select(
+    return first.orderBy(*BY_PLACE).select(
         F.col("name").alias(f"{side}_symbol_name"),
         F.col("kind").alias(f"{side}_kind"),
         F.col("parent_name").alias(f"{side}_parent_symbol_name"),
@@ -104,7 +104,7 @@ _ASKED = ("symbol", "container", "path_hint")
 def _ranked(rows: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` symbols of each thing asked, with their place."""
     top_level = F.when(F.col("folded_parent") == F.coalesce("container", F.lit("")), 0).otherwise(1)
-    order = Window.partitionBy(*_ASKED).orderBy(top_level, F.col("exported").desc(), "path", "start_line", "id")
+    order = Window.partitionBy(*_ASKED).orderBy(top_level, F.col("exported").desc(), *BY_PLACE)
     return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
 
@@ -118,7 +118,7 @@ def _wild(placed: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     paths = placed.select("path").distinct().join(hinted.select("path_hint").distinct(), like(ascii_lower("path"), F.col("path_hint")))
     hinted = long(placed.join(paths, "path").join(hinted, "path_hint"))
     # Without container and hint the best few names of each length are enough: all terms have the same order.
-    order = Window.partitionBy(F.length("folded")).orderBy(F.when(F.col("folded_parent") == "", 0).otherwise(1), F.col("exported").desc(), "path", "start_line", "id")
+    order = Window.partitionBy(F.length("folded")).orderBy(F.when(F.col("folded_parent") == "", 0).otherwise(1), F.col("exported").desc(), *BY_PLACE)
     best = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).drop("nth")
     bare = best.join(asked.where("container is null and path_hint is null"), F.length("folded") >= F.col("least"))
     columns = [*placed.columns, *_ASKED]
@@ -162,6 +162,6 @@ def callers_batch(symbols: DataFrame, files: DataFrame, relations: DataFrame, qu
     matched = lookup_batch(symbols, files, queries, MATCHED_LIMIT).select("qid", F.col("id").alias(anchor))
     edges = relations.join(matched, anchor).select("qid", F.col(other).alias("id"), "relation_type")
     hits = edges.join(place(symbols, files), "id")
-    ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("path", "start_line", "id"))).where(F.col("nth") <= limit)
+    ranked = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(*BY_PLACE))).where(F.col("nth") <= limit)
     key = ("qid", "name", "kind", "parent_name", "path", "start_line", "end_line", "relation_type")
     return ranked.groupBy(*key).agg(F.min("nth").alias("nth"))

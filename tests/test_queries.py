@@ -179,3 +179,34 @@ def test_tasks_grow_with_the_files_of_a_table(spark, monkeypatch):
 def test_rerank_reads_texts_of_candidates_without_shuffling_the_others(spark):
     plan = QUERIES["rerank_fts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 2
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark, tmp_path_factory):
+    """A folder where parts have the ids of classes, so that a method has two parents and an id two symbols."""
+    folder = str(tmp_path_factory.mktemp("shared_ids"))
+    for table, key in (("part", "p_partkey"), ("lineitem", "l_partkey")):
+        rows = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/{table}.parquet")
+        rows.withColumn(key, rows[key] + virtual.CLASS_BASE).write.parquet(f"{folder}/{table}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("partitions", ["2", "7"])
+def test_what_rows_show_ends_ties_of_ids_with_two_parents(spark, shared_ids, partitions):
+    """``callers_batch`` leaves no tie open: it has the places that its SQL gives when its order is completed."""
+    connection = duckdb.connect()
+    for table in ("part", "lineitem"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{shared_ids}/{table}.parquet/*.parquet'")
+    order = "ORDER BY s.path, s.start_line, s.id)"
+    assert SQL["callers_batch"].count(order) == 1
+    wanted = connection.sql(SQL["callers_batch"].replace(order, order[:-1] + ", s.kind, s.name, s.parent_name NULLS FIRST)"))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = QUERIES["callers_batch"](spark, shared_ids)
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert plain(rows, got.columns) == plain(wanted.fetchall(), wanted.columns)
+    # Every row has its twin: the same place in the file below another parent.
+    assert {r[got.columns.index("parent_name")].startswith("Brand_") for r in rows if r[got.columns.index("kind")] == "method"} == {True, False}
