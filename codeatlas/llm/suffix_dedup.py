@@ -47,8 +47,8 @@ from codeatlas.llm.common import drop_path, mapped, release, shared_dir, shuffle
 from codeatlas.llm.induced import HELD, Alphabet, DiskSort, Tape, repeated
 
 SPAN = 200
-#: Bytes of an anchor, and of the finer anchors that tell which windows of a shard can be equal.
-ANCHOR, FINER = 64, 160
+#: Bytes of an anchor, of the longer anchors for hot ones, and of those that tell which windows of a shard can be equal.
+ANCHOR, FINER, FINEST = 64, 160, 192
 #: Bytes of a block behind the place where windows of an anchor begin last.
 BLOCK = 64
 #: Different segments of an anchor from which its windows are counted one by one.
@@ -151,8 +151,8 @@ def segment_table(numbered: DataFrame, size: int = ANCHOR) -> DataFrame:
 def _finer_keys(texts: list[bytes], anchors: list[int]) -> Iterator[np.ndarray]:
     """For each text a key of each of its windows; equal windows of segments with equal anchors have equal keys."""
     whole = np.frombuffer(b"".join(texts), np.uint8)
-    hashes = grams(whole, FINER)
-    keys = hashes[least_places(hashes, SPAN - FINER + 1)]
+    hashes = grams(whole, FINEST)
+    keys = hashes[least_places(hashes, SPAN - FINEST + 1)]
     at = 0
     for text, anchor in zip(texts, anchors, strict=True):
         yield keys[at : at + len(text) - SPAN + 1] ^ np.uint64(anchor & (2**64 - 1))
